@@ -8,8 +8,9 @@ hashes. Eight sketch values make a band; two documents that share a band are can
 similarity of 0.8 a pair shares none of 64 bands with probability 8e-6.
 
 Candidates are confirmed on full sets, without all pairs of a group: each band bucket's smallest
-document is compared to the rest, components are formed, and only pairs of a bucket that are still in
-different components are compared after that. So components are those of all confirmed candidate pairs.
+document is compared to the rest and components are formed; documents in other components are compared to a
+few drawn members; and only pairs of a bucket that are still in different components are compared after that: as rows in buckets with
+few such pairs, else pack by pack, where sets meet as 0/1 matrices and only links come out. So components are those of all confirmed candidate pairs.
 
 Cases: null or blank texts have an empty set and link with nothing (component: themselves). Equal sets
 are one node until the end, so copies cost nothing. Rows without an id keep component null and kept
@@ -29,6 +30,10 @@ from pyspark.sql import functions as F
 from sitelens.llm import session, text
 
 BANDS, ROWS = 64, 8
+#: Members of a bucket, drawn by hash, that its documents of other components are compared to before all of them are.
+PIVOTS = 8
+#: A bucket with more open pairs than PAIRS is compared in packs of about PACK set elements each, which emit links alone.
+PAIRS, PACK = 4096, 1 << 15
 
 
 def sketch(values: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> np.ndarray:
@@ -103,6 +108,37 @@ def _confirm(percent: int):
     return run
 
 
+def _confirm_packs(percent: int):
+    def flat(members) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        cuts = [np.frombuffer(x.as_buffer(), np.uint64) for x in members.field("values")]
+        sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        return members.field("id").to_numpy(), members.field("comp").to_numpy(), sizes, np.concatenate(cuts)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, lc, ln, lv = flat(batch.column(0).slice(k, 1).flatten())
+                right, rc, rn, rv = flat(batch.column(1).slice(k, 1).flatten())
+                common = np.intersect1d(lv, rv)
+                shared = np.zeros((len(left), len(right)), np.float32)
+                for at in range(0, len(common), 4096):
+                    part = common[at : at + 4096]
+                    has = []
+                    for v, n in ((lv, ln), (rv, rn)):
+                        place = np.searchsorted(part, v)
+                        place[place == len(part)] = 0
+                        ok = part[place] == v
+                        table = np.zeros((len(n), len(part)), np.float32)
+                        table[np.repeat(np.arange(len(n)), n)[ok], place[ok]] = 1
+                        has.append(table)
+                    shared += has[0] @ has[1].T
+                link = (100 * shared >= percent * (ln[:, None] + rn[None, :] - shared)) & (lc[:, None] != rc[None, :])
+                a, b = np.nonzero(link)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(left[a], right[b])), pa.array(np.minimum(left[a], right[b]))], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept (doc_id is its component's smallest).
 
@@ -127,13 +163,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = met.where(f"id <> p and {alike}").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
     links = confirmed(first)
     found = session.settle(session.components(links))
-    named = met.join(found, "id", "left").select("bucket", "id", "n", "p", F.coalesce("component", "id").alias("comp"))
-    split = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    open_rows = session.settle(named.join(split, "bucket"))
-    left, right = open_rows.alias("x"), open_rows.alias("y")
-    cross = left.join(right, F.expr(f"x.bucket = y.bucket and x.comp < y.comp and x.id <> x.p and y.id <> y.p and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    second = confirmed(cross.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct())
-    merged = session.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(second))
+
+    def still_open() -> DataFrame:
+        named = met.join(found, "id", "left").select("bucket", "id", "n", "p", F.coalesce("component", "id").alias("comp"))
+        split = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+        return session.settle(named.join(split, "bucket"))
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        more = confirmed(pairs.distinct())
+        if more.isEmpty():
+            return found
+        return session.settle(session.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more)))
+
+    rows = still_open()
+    drawn = rows.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "comp")).alias(f"d{k}") for k in range(PIVOTS)])
+    drawn = drawn.select("bucket", F.explode(F.array_distinct(F.array(*[f"d{k}" for k in range(PIVOTS)]))).alias("d"))
+    near = rows.alias("x").join(drawn.alias("y"), F.expr(f"x.bucket = y.bucket and x.comp <> y.d.comp and 100 * least(x.n, y.d.n) >= {percent} * greatest(x.n, y.d.n)"))
+    found = joined(near.select(F.greatest("x.id", "y.d.id").alias("a"), F.least("x.id", "y.d.id").alias("b")))
+    rows = still_open()
+    size = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    size = size.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.sum("c").alias("m"), F.max("c").alias("c"), F.sum("s").alias("s"))
+    rows = rows.join(size, "bucket").withColumn("hot", F.expr(f"m * (m - c) > {PAIRS}"))
+    few = rows.where("not hot")
+    cross = few.alias("x").join(few.alias("y"), F.expr(f"x.bucket = y.bucket and x.comp < y.comp and x.id <> x.p and y.id <> y.p and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
+    last = confirmed(cross.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct())
+    many = rows.where("hot").withColumn("pack", F.expr(f"pmod(xxhash64(id), greatest(1, ceil(s / {PACK})))")).join(sets, "id")
+    packs = session.settle(many.groupBy("bucket", "pack").agg(F.collect_list(F.struct("id", "comp", "values", (F.col("comp") == F.col("big")).alias("main"))).alias("members")))
+    outer = packs.select("bucket", F.expr("filter(members, x -> not x.main)").alias("left")).where("size(left) > 0")
+    dense = session.settle(outer.join(packs, "bucket").select("left", "members").mapInArrow(_confirm_packs(percent), "a long, b long"))
+    last = last.unionAll(dense.distinct())
+    merged = found if last.isEmpty() else session.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(last))
     final = node.join(merged, node.node == merged.id, "left").select("key", F.coalesce("component", "node").alias("component"))
     out = seen.select("id", "n", "key").join(final, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
