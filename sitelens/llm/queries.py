@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import fingerprint, langid, minhash, mixing, pieces, secrets
+from sitelens.llm import fingerprint, langid, maxent, minhash, mixing, passages, pieces, resampling, secrets, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (pieces.op2_pieces, mixing.op3_mixing, fingerprint.op5_fingerprints, langid.op6_language_id, secrets.op7_secret_scan, minhash.op10_minhash_near_dedup)
+    found = (maxent.op1_lm_scoring, pieces.op2_pieces, mixing.op3_mixing, resampling.op4_importance_resampling, fingerprint.op5_fingerprints, langid.op6_language_id, secrets.op7_secret_scan, vectors.op8_embedding_near_dedup, passages.op9_repeated_passages, minhash.op10_minhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
