@@ -33,7 +33,7 @@ BANDS, ROWS = 64, 8
 #: Members of a bucket, drawn by hash, that its documents of other components are compared to before all of them are.
 PIVOTS = 8
 #: A bucket with more open pairs than PAIRS is compared in packs of about PACK set elements each, which emit links alone.
-PAIRS, PACK = 4096, 1 << 15
+PAIRS, PACK = 256, 1 << 15
 
 
 def sketch(values: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> np.ndarray:
