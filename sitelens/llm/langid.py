@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from sitelens.llm import session, text
 
 BUCKETS = 1 << 15
+#: Characters whose n-grams are in memory at once, if no single text has more.
+CHUNK = 1 << 18
 _LETTER: list[np.ndarray] = []
 
 
@@ -70,7 +72,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _slices(batch: pa.RecordBatch, column: int):
-    for at, to, _, _ in text.pieces(batch.column(column)):
+    for at, to, _, _ in text.pieces(batch.column(column), CHUNK):
         yield at, to, [x or "" for x in batch.column(column).slice(at, to - at).to_pylist()]
 
 
@@ -115,7 +117,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             at = 0
             while at < len(texts):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= text.CHUNK):
+                while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
                     size += len(texts[to])
                     to += 1
                 n = to - at
