@@ -34,8 +34,8 @@ def nearest(rows: DataFrame, ident: str, group: str, columns: list[str], k: int)
     a, b = z.alias("a"), z.alias("b")
     pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{ident}") != F.col(f"b.{ident}")))
     dist = F.sqrt(sum(((F.col(f"a.z_{c}") - F.col(f"b.z_{c}")) * (F.col(f"a.z_{c}") - F.col(f"b.z_{c}")) for c in columns), F.lit(0.0)))
-    near = pairs.select(F.col(f"a.{ident}").alias(ident), F.struct(dist.alias("dist"), F.col(f"b.{ident}").alias("similar")).alias("s"))
-    return near.groupBy(ident).agg(F.slice(F.array_sort(F.collect_list("s")), 1, k).alias("best")).select(ident, F.posexplode("best").alias("pos", "b")).select(ident, (F.col("pos") + 1).alias("rn"), "b.similar", "b.dist")
+    near = pairs.select(F.col(f"a.{ident}").alias(ident), F.struct(dist.alias("dist"), F.col(f"b.{ident}").alias("vizinho")).alias("s"))
+    return near.groupBy(ident).agg(F.slice(F.array_sort(F.collect_list("s")), 1, k).alias("best")).select(ident, F.posexplode("best").alias("pos", "b")).select(ident, (F.col("pos") + 1).alias("rn"), "b.vizinho", "b.dist")
 
 
 def similarity(dist: Column) -> Column:

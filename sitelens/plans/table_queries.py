@@ -33,8 +33,8 @@ def places(spark, sf) -> DataFrame:
 _KNN = """e as (select vec_id, label, cast(embedding[1] as double) as x1, cast(embedding[2] as double) as x2, cast(embedding[3] as double) as x3 from embeddings),
  m as (select label, cast(count(*) as double) as n, """ + ", ".join(f"cast(sum(cast(x{k} as decimal(38,10))) as double) as s{k}, cast(sum(cast(x{k} * x{k} as decimal(38,10))) as double) as q{k}" for k in (1, 2, 3)) + """ from e group by label),
  z as (select vec_id, e.label, """ + ", ".join(f"(x{k} - s{k} / n) / coalesce(nullif(sqrt(greatest(0, q{k} / n - s{k} / n * (s{k} / n))), 0), 1) as z{k}" for k in (1, 2, 3)) + """ from e join m on e.label = m.label),
- d as (select a.vec_id, b.vec_id as similar, sqrt((a.z1 - b.z1) * (a.z1 - b.z1) + (a.z2 - b.z2) * (a.z2 - b.z2) + (a.z3 - b.z3) * (a.z3 - b.z3)) as dist from z a join z b on a.label = b.label and a.vec_id <> b.vec_id),
- k as (select vec_id, cast(rn as int) as rn, similar, dist from (select *, row_number() over (partition by vec_id order by dist, similar) as rn from d) x where rn <= 3)"""
+ d as (select a.vec_id, b.vec_id as vizinho, sqrt((a.z1 - b.z1) * (a.z1 - b.z1) + (a.z2 - b.z2) * (a.z2 - b.z2) + (a.z3 - b.z3) * (a.z3 - b.z3)) as dist from z a join z b on a.label = b.label and a.vec_id <> b.vec_id),
+ k as (select vec_id, cast(rn as int) as rn, vizinho, dist from (select *, row_number() over (partition by vec_id order by dist, vizinho) as rn from d) x where rn <= 3)"""
 
 
 def knn(spark, sf) -> DataFrame:
@@ -42,7 +42,7 @@ def knn(spark, sf) -> DataFrame:
     return M.nearest(e, "vec_id", "label", ["x1", "x2", "x3"], 3)
 
 
-@query("knn_similar", f"with {_KNN} select vec_id, rn, similar, dist from k")
+@query("knn_similar", f"with {_KNN} select vec_id, rn, vizinho, dist from k")
 def knn_similar(spark, sf):
     return knn(spark, sf)
 
