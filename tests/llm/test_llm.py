@@ -176,6 +176,16 @@ def test_passages(docs):
     assert {d for d, _ in got} <= {7, 8, 15}
 
 
+def test_passage_whose_seeds_come_first_elsewhere(spark):
+    session.workers_find_package(spark)
+    rng = random.Random(8)
+    fresh = [f"v{k}" for k in rng.sample(range(10**6), 400)]
+    whole = fresh[:61]
+    rows = [(1, " ".join(fresh[100:150] + whole[13:] + fresh[150:160])), (2, " ".join(whole)), (3, " ".join(whole)), (4, "ab cd " * 40), (5, " ".join(fresh[200:230]) + " ab cd" * 35)]
+    got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(3, 2), (5, 4)} <= got and all({d, r} != {1, 4} for d, r in got)
+
+
 def test_chain_equals_quadratic():
     rng = np.random.default_rng(6)
     for _ in range(20):
