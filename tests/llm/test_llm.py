@@ -186,6 +186,29 @@ def test_passage_whose_seeds_come_first_elsewhere(spark):
     assert {(3, 2), (5, 4)} <= got and all({d, r} != {1, 4} for d, r in got)
 
 
+def test_bands_equal_one_by_one():
+    """Score and ends of many bands at once are those of a plain table per pair, and turned back they give the passage."""
+    rng, pairs = random.Random(8), []
+    for _ in range(60):
+        a = [rng.randrange(3, 40) for _ in range(rng.randint(1, 60))]
+        b = [x for x in a if rng.random() > 0.1] + [rng.randrange(3, 40) for _ in range(rng.randint(0, 9))]
+        low = rng.randint(-6, 3)
+        pairs.append((np.array(a, np.uint64), np.array(b, np.uint64), low, low + rng.choice([1, 4, 9, 30])))
+    pairs += [(np.zeros(0, np.uint64), np.zeros(3, np.uint64), -1, 1)]
+    for (a, b, low, high), found in zip(pairs, passages._ends(pairs)):
+        table = {}
+        for i in range(len(a)):
+            for j in range(len(b)):
+                if low <= i - j <= high:
+                    table[i, j] = max(0, table.get((i - 1, j - 1), 0) + (1 if a[i] == b[j] else -1), table.get((i - 1, j), 0) - 1, table.get((i, j - 1), 0) - 1)
+        best = max(table.values(), default=0)
+        assert found[0] == best
+        assert not best or table[found[1] - 1, found[2] - 1] == best
+    for (a, b, _, _), (a0, a1, b0, b1, score) in zip(pairs, passages.align(pairs)):
+        assert 0 <= a0 <= a1 <= len(a) and 0 <= b0 <= b1 <= len(b)
+        assert score <= min(a1 - a0, b1 - b0)
+
+
 def test_chain_equals_quadratic():
     rng = np.random.default_rng(6)
     for _ in range(20):
