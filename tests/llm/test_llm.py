@@ -186,6 +186,40 @@ def test_passage_whose_seeds_come_first_elsewhere(spark):
     assert {(3, 2), (5, 4)} <= got and all({d, r} != {1, 4} for d, r in got)
 
 
+def test_passages_left_and_right_of_a_gap(spark):
+    """Header, gap, footer: both exact passages come out, though the alignment over both agrees in less than 0.8."""
+    session.workers_find_package(spark)
+    rng = random.Random(12)
+    v = [f"u{k}" for k in rng.sample(range(10**6), 600)]
+    head, foot = v[:60], v[60:120]
+    rows = [(1, " ".join(head + v[120:160] + foot)), (2, " ".join(head + v[160:200] + foot)), (3, " ".join(v[200:320])), (4, " ".join(v[200:260] + v[320:360] + v[260:320]))]
+    got = {tuple(r)[:6] for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 1, 0, 60, 0, 60), (2, 1, 100, 160, 100, 160), (4, 3, 0, 60, 0, 60), (4, 3, 100, 160, 60, 120)}
+
+
+def test_parts_cover_every_agreeing_stretch():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        gain = np.where(rng.random(80) < rng.choice([0.6, 0.75, 0.9]), 1, -1)
+        parts = passages._parts(gain, 12, 0.8)
+        assert all(y - x >= 12 and (gain[x:y] > 0).mean() >= 0.8 for x, y in parts)
+        for x in range(80):
+            for y in range(x + 12, 81):
+                if gain[x] > 0 and gain[y - 1] > 0 and (gain[x:y] > 0).mean() >= 0.8:
+                    assert any(max(x, u) < min(y, w) for u, w in parts)
+
+
+def test_path_has_the_alignment_s_score():
+    rng = np.random.default_rng(4)
+    for n in (40, 300):
+        a = rng.integers(3, 999, n).astype(np.uint64)
+        b = np.concatenate((a[: n // 2], rng.integers(3, 999, 7).astype(np.uint64), a[n // 2 :]))
+        ((a0, a1, b0, b1, score),) = passages.align([(a, b, -7, 0)])
+        i, j, gain = passages._path(a[a0:a1], b[b0:b1], -7 - passages.BAND - a0 + b0, passages.BAND - a0 + b0)
+        assert gain.sum() == score and i[-1] == a1 - a0 and j[-1] == b1 - b0
+        assert all(gain[k] < 0 or a[a0 + i[k] - 1] == b[b0 + j[k] - 1] for k in range(len(i)))
+
+
 def test_bands_equal_one_by_one():
     """Score and ends of many bands at once are those of a plain table per pair, and turned back they give the passage."""
     rng, pairs = random.Random(8), []
