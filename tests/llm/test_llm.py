@@ -197,6 +197,26 @@ def test_passages_left_and_right_of_a_gap(spark):
     assert got == {(2, 1, 0, 60, 0, 60), (2, 1, 100, 160, 100, 160), (4, 3, 0, 60, 0, 60), (4, 3, 100, 160, 60, 120)}
 
 
+def test_fuzzy_passages_have_seeds(spark):
+    """Copies of 50 to 80 words with every fifth, sixth, eighth and twelfth word changed, and with changes by chance."""
+    session.workers_find_package(spark)
+    rng = random.Random(21)
+    v = [f"s{k}" for k in rng.sample(range(10**6), 9000)]
+    rows, want = [], []
+    for k in range(40):
+        n, every = rng.randint(50, 80), (5, 6, 8, 12)[k % 4]
+        own = v[100 * k : 100 * k + n]
+        off = set(range(every - 2, n, every)) if k % 8 < 4 else set(rng.sample(range(1, n - 1), n // every))
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(v[5000 + 40 * k : 5020 + 40 * k] + [f"x{k}y{j}" if j in off else w for j, w in enumerate(own)] + v[5020 + 40 * k : 5040 + 40 * k]))]
+        if len(off) * 5 <= n - 2:
+            want.append((2 * k + 1, 2 * k, n))
+    got = {(r.doc_id, r.other_id): r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 25
+    for d, r, n in want:
+        if n - 1 > 50:
+            assert got[d, r].last_word - got[d, r].first_word >= 50 and got[d, r].identity >= 0.8
+
+
 def test_parts_cover_every_agreeing_stretch():
     rng = np.random.default_rng(3)
     for _ in range(60):
