@@ -13,6 +13,7 @@ CLASSES = {1: "vegetacao_densa", 2: "vegetacao_rala", 3: "solo_exposto_obras", 4
 #: Codes of the nine-class land cover product, in our five classes; other codes are no data.
 NINE_CLASSES = {0: 5, 1: 1, 2: 2, 3: 5, 4: 2, 5: 2, 6: 4, 7: 3, 8: 0}
 BANDS = ["blue", "green", "red", "nir", "swir1", "swir2"]
+INDICES = ["ndvi", "evi", "ndwi", "mndwi", "ndbi", "bsi", "ndmi"]
 #: Bits 1 to 4 of the quality band: dilated cloud, cirrus, cloud and shadow. Dating looks at bits 3 and 4 only.
 CLOUD_MASK, DATING_MASK = 30, 24
 
@@ -29,18 +30,21 @@ def celsius(dn: Column) -> Column:
     return dn * F.lit(0.02) - F.lit(273.15)
 
 
-def indices(pixels: DataFrame) -> DataFrame:
-    """Adds seven spectral indices; a pixel with any null band or too small a denominator has all of them null."""
+def indices(pixels: DataFrame, names: list[str] = INDICES) -> DataFrame:
+    """Adds spectral indices; a pixel with any null band or too small a denominator has all of them null."""
     b, g, r, n, s1, s2 = (F.col(x) for x in BANDS)
-    made = {
+    known = {
         "ndvi": safe_ratio(n - r, n + r),
-        "ndbi": safe_ratio(s1 - n, s1 + n),
+        "evi": safe_ratio((n - r) * F.lit(2.5), n + r * F.lit(6.0) - b * F.lit(7.5) + F.lit(1.0), high=2.5),
         "ndwi": safe_ratio(g - n, g + n),
         "mndwi": safe_ratio(g - s1, g + s1),
-        "nbr": safe_ratio(n - s2, n + s2),
+        "ndbi": safe_ratio(s1 - n, s1 + n),
         "bsi": safe_ratio((s1 + r) - (n + b), (s1 + r) + (n + b)),
+        "ndmi": safe_ratio(n - s1, n + s1),
+        "nbr": safe_ratio(n - s2, n + s2),
         "savi": safe_ratio((n - r) * F.lit(1.5), n + r + F.lit(0.5), low=-1.5, high=1.5),
     }
+    made = {c: known[c] for c in names}
     out = pixels.withColumns(made)
     sound = F.lit(True)
     for c in [*BANDS, *made]:

@@ -152,7 +152,16 @@ _INDEX = {"ndvi": ("nir - red", "nir + red"), "ndbi": ("swir1 - nir", "swir1 + n
 @query("spectral_indices", f"with b as (select l_orderkey, l_linenumber, {', '.join(f'{e} as {n}' for n, e in _BANDS.items())} from lineitem), i as (select l_orderkey, l_linenumber, {', '.join(f'{_ratio(*p)} as {n}' for n, p in _INDEX.items())} from b) select l_orderkey, l_linenumber, {', '.join(f'case when {" and ".join(f"{c} is not null" for c in _INDEX)} then {n} end as {n}' for n in _INDEX)} from i")
 def spectral_indices(spark, sf):
     b = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(e).alias(n) for n, e in _BANDS.items()])
-    return R.indices(b).select("l_orderkey", "l_linenumber", *_INDEX)
+    return R.indices(b, list(_INDEX)).select("l_orderkey", "l_linenumber", *_INDEX)
+
+
+_SEVEN = {"ndvi": ("nir - red", "nir + red", "-1e0", "1e0"), "evi": ("2.5e0 * (nir - red)", "nir + 6e0 * red - 7.5e0 * blue + 1e0", "-1e0", "2.5e0"), "ndwi": ("green - nir", "green + nir", "-1e0", "1e0"), "mndwi": ("green - swir1", "green + swir1", "-1e0", "1e0"), "ndbi": ("swir1 - nir", "swir1 + nir", "-1e0", "1e0"), "bsi": ("(swir1 + red) - (nir + blue)", "(swir1 + red) + (nir + blue)", "-1e0", "1e0"), "ndmi": ("nir - swir1", "nir + swir1", "-1e0", "1e0")}
+
+
+@query("spectral_indices_reference", f"with b as (select l_orderkey, l_linenumber, {', '.join(f'{e} as {n}' for n, e in _BANDS.items())} from lineitem), i as (select *, {', '.join(f'case when abs({d}) >= 1e-6 then greatest({lo}, least({hi}, ({n}) / ({d}))) end as {k}' for k, (n, d, lo, hi) in _SEVEN.items())} from b) select l_orderkey, l_linenumber, {', '.join(f'case when {" and ".join(f"{c} is not null" for c in (*_BANDS, *_SEVEN))} then {k} end as {k}' for k in _SEVEN)} from i")
+def spectral_indices_reference(spark, sf):
+    b = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(e).alias(n) for n, e in _BANDS.items()])
+    return R.indices(b).select("l_orderkey", "l_linenumber", *_SEVEN)
 
 
 @query("bitmask_filter", "select l_orderkey, l_linenumber, (l_orderkey & 24) = 0 as dating_clear from lineitem where (l_orderkey & 30) = 0 and l_linenumber % 2 = 1")

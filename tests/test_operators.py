@@ -72,6 +72,16 @@ def test_indices_are_null_together(spark):
     assert abs(got[0].ndvi - 0.1 / 0.7) < 1e-12 and got[1].ndbi is None and got[2].ndvi is None
 
 
+def test_indices_are_the_reference_s_seven(spark):
+    rows = [(0.1, 0.2, 0.3, 0.4, 0.5, 0.6), (0.24, 0.2, 0.1, 0.3, 0.5, 0.6), (0.2, 0.2, 0.1, 0.4, 0.5, -0.4), (0.4, 0.2, 0.1, 1.6, 0.5, 0.6)]
+    got = raster.indices(spark.createDataFrame(rows, ", ".join(f"{b} double" for b in raster.BANDS))).collect()
+    assert set(got[0].asDict()) == {*raster.BANDS, "ndvi", "evi", "ndwi", "mndwi", "ndbi", "bsi", "ndmi"}
+    assert abs(got[0].evi - 2.5 * 0.1 / 2.45) < 1e-12 and abs(got[0].ndmi + 0.1 / 0.9) < 1e-12
+    assert got[2].ndvi is not None and got[3].evi == 2.5
+    flat = raster.indices(spark.createDataFrame([((0.4 + 0.6 + 1) / 7.5, 0.2, 0.1, 0.4, 0.5, 0.6)], ", ".join(f"{b} double" for b in raster.BANDS))).first()
+    assert flat.evi is None and flat.ndvi is None
+
+
 def test_values(spark):
     r = spark.range(1).select(V.fold(F.lit("São José")).alias("f"), V.scaled_short(F.lit(0.00025)).alias("s"), V.scaled_short(F.lit(None).cast("double")).alias("n"), V.rgb(F.lit("#0a10ff")).alias("c"), V.pair_quality(F.lit(0.2)).alias("q")).first()
     assert (r.f, r.s, r.n, r.c, r.q) == ("sao jose", 2, -9999, [10, 16, 255], "aceitavel")
