@@ -11,7 +11,7 @@ from sitelens.operators.graph import components
 
 CLASSES = {1: "vegetacao_densa", 2: "vegetacao_rala", 3: "solo_exposto_obras", 4: "construida_urbana", 5: "agua"}
 #: Codes of the nine-class land cover product, in our five classes; other codes are no data.
-NINE_CLASSES = {0: 5, 1: 1, 2: 2, 3: 5, 4: 2, 5: 2, 6: 4, 7: 3, 8: 0}
+NINE_CLASSES = {0: 5, 1: 1, 2: 2, 3: 5, 4: 2, 5: 2, 6: 4, 7: 3, 8: 5}
 BANDS = ["blue", "green", "red", "nir", "swir1", "swir2"]
 INDICES = ["ndvi", "evi", "ndwi", "mndwi", "ndbi", "bsi", "ndmi"]
 #: Bits 1 to 4 of the quality band: dilated cloud, cirrus, cloud and shadow. Dating looks at bits 3 and 4 only.

@@ -82,6 +82,11 @@ def test_indices_are_the_reference_s_seven(spark):
     assert flat.evi is None and flat.ndvi is None
 
 
+def test_snow_and_ice_is_water():
+    """The table remaps.dynamic_world of the reference's classes.yml."""
+    assert raster.NINE_CLASSES == {0: 5, 1: 1, 2: 2, 3: 5, 4: 2, 5: 2, 6: 4, 7: 3, 8: 5}
+
+
 def test_values(spark):
     r = spark.range(1).select(V.fold(F.lit("São José")).alias("f"), V.scaled_short(F.lit(0.00025)).alias("s"), V.scaled_short(F.lit(None).cast("double")).alias("n"), V.rgb(F.lit("#0a10ff")).alias("c"), V.pair_quality(F.lit(0.2)).alias("q")).first()
     assert (r.f, r.s, r.n, r.c, r.q) == ("sao jose", 2, -9999, [10, 16, 255], "aceitavel")
