@@ -217,6 +217,13 @@ def star_except(spark, sf):
     return j.select(*[x for x in c.columns if x not in ("c_acctbal", "c_mktsegment")], "n_name", "r_name")
 
 
+@query("star_except_all", "select c.* exclude (c_acctbal, c_mktsegment), n.n_name, r.r_name from customer c join nation n on c_nationkey = n_nationkey left join region r on n_regionkey = r_regionkey")
+def star_except_all(spark, sf):
+    c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
+    j = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return j.select(*[x for x in c.columns if x not in ("c_acctbal", "c_mktsegment")], "n_name", "r_name")
+
+
 @query("majority_vote", "select l_partkey, l_suppkey, n from (select *, row_number() over (partition by l_partkey order by n desc, l_suppkey) as rn from (select l_partkey, l_suppkey, cast(count(*) as bigint) as n from lineitem group by 1, 2) x) y where rn = 1")
 def majority_vote(spark, sf):
     return I.majority(table(spark, sf, "lineitem"), "l_partkey", "l_suppkey")
@@ -258,6 +265,12 @@ def accent_fold_join(spark, sf):
     return w.join(w.select("chave").where("chave <> ''").distinct(), "chave")
 
 
+@query("accent_fold_join_all", "with w as (select doc_id, unnest(string_split(text, ' ')) as palavra from documents), f as (select *, regexp_replace(lower(strip_accents(palavra)), '[^\\x00-\\x7F]', '', 'g') as chave from w) select doc_id, palavra, f.chave from f join (select distinct chave from f) d on f.chave = d.chave where f.chave <> ''")
+def accent_fold_join_all(spark, sf):
+    w = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("palavra")).withColumn("chave", V.fold(F.col("palavra")))
+    return w.join(w.select("chave").where("chave <> ''").distinct(), "chave")
+
+
 @query("html_title_extract", "select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as titulo, regexp_extract(html, '<script>([^<]*)', 1) as script, false as bloqueada from pages")
 def html_title_extract(spark, sf):
     blocked = N.rate_limited(N.page_props(F.col("html")))
@@ -319,6 +332,22 @@ def tooltip_lists(spark, sf):
     return o.groupBy("o_custkey").agg(text.alias("texto")).withColumn("cor", ((F.dense_rank().over(Window.orderBy("o_custkey")) - 1) % 6).cast("int"))
 
 
+@query("tooltip_lists_all", "select o_custkey, string_agg(cast(o_orderkey as varchar) || ': ' || o_orderpriority, '; ' order by o_orderkey) as texto, cast((dense_rank() over (order by o_custkey) - 1) % 6 as int) as cor from orders group by o_custkey")
+def tooltip_lists_all(spark, sf):
+    from sitelens.llm.session import settle
+
+    own = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))
+    text = F.array_join(F.transform(own, lambda x: F.concat(x["o_orderkey"].cast("string"), F.lit(": "), x["o_orderpriority"])), "; ")
+    groups = table(spark, sf, "orders").groupBy("o_custkey").agg(text.alias("texto"))
+    # the place in the sorted part, after the sizes of the parts before it, is the rank
+    ids = settle(groups.repartitionByRange("o_custkey").sortWithinPartitions("o_custkey").withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", 33).cast("int")
+    sizes = sorted((r.part, r.n) for r in ids.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = [(p, sum(n for _, n in sizes[:k])) for k, (p, _) in enumerate(sizes)]
+    starts = F.broadcast(spark.createDataFrame(before, "part int, before long"))
+    return ids.withColumn("part", part).join(starts, "part").select("o_custkey", "texto", ((F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)) % 6).cast("int").alias("cor"))
+
+
 @query("set_operations", "select distinct ano, origem from (select cast(year(o_orderdate) as int) as ano, 'pedido' as origem from orders union all select cast(year(l_shipdate) as int), 'envio' from lineitem) x where ano in (select cast(year(o_orderdate) as int) from orders intersect select cast(year(l_shipdate) as int) from lineitem)")
 def set_operations(spark, sf):
     o = table(spark, sf, "orders").select(F.year("o_orderdate").cast("int").alias("ano")).distinct()
