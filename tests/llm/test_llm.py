@@ -66,6 +66,13 @@ def test_lm_base_counts_and_gain(docs, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_tail_class_is_one_for_all_spellings():
+    data = np.frombuffer(b"NASA nasa Ox ox a b a Nasa", np.uint8)
+    h, _, tail = maxent.tokens(data, np.array([0, len(data)]))
+    for x in np.unique(h):
+        assert len(set(tail[h == x].tolist())) == 1
+
+
 def test_lm_probabilities_add_up():
     head = np.sort(np.random.default_rng(1).integers(1, 2**63, maxent.HEAD).astype(np.uint64))
     m = maxent.Model(head, np.arange(maxent.HEAD, 0, -1.0), np.full(maxent.TAIL, 5.0), np.full(maxent.TAIL, 2.0))
