@@ -7,7 +7,8 @@ smoothed log-probabilities is broadcast; texts are scored in batches, each as sp
 
 Cases: a null text, or one without letters, gets `und` and score 0. Without any training row, all texts do.
 Ties go to the language first in alphabetical order. Null languages are not learned from. Rows keep their
-id, nulls and repeats included; other columns are not looked at.
+id, nulls and repeats included; other columns are not looked at, but `predict` puts its own lang_pred and score in the place of
+columns of these names. A text of any length is scored whole, and memory follows the longest one. An empty table gives no rows.
 """
 
 from __future__ import annotations

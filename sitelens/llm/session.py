@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and driver and executors are one machine.
+
+    Raises ValueError where it is unset on a cluster: its executors would not find each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sitelens-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -23,13 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: a lost executor costs no recomputation of what came before.
 
-    The table is removed when the driver's Python ends.
+    The table is removed by forget(), or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/sitelens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._settled = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a settled table that nothing reads any more."""
+    path = getattr(df, "_settled", None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -40,8 +54,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Bytes of an Arrow batch, where the session has Spark's own default: a Python worker holds a few times as much.
+BATCH_BYTES = 8 << 20
+
+
 def workers_find_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it, and bounds the batches they get."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
@@ -54,7 +74,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps; each works on the link table with one aggregation and
     one join, and the table is written to shared storage between rounds. Rounds grow with the logarithm
     of the number of links, not with the length of chains. Links to itself and repeated links do no harm; null
-    ids are left out.
+    ids are left out; no links give no rows.
     """
     edge = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     edge = settle(edge.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -65,7 +85,8 @@ def components(links: DataFrame) -> DataFrame:
         star = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = star.groupBy("a").agg(F.min("b").alias("m"))
         down = star.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edge = settle(down.unionAll(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        before, edge = edge, settle(down.unionAll(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        forget(before)
         mark = _mark(edge)
         if mark == seen:
             break
