@@ -12,31 +12,50 @@ CONFIDENCE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those of no clear language; learns from the labelled rows of its own input."""
+    """Drops texts without letters (null and empty ones too) and those of no clear language; learns from the labelled rows of its own input.
+
+    Without any labelled row nothing is known of any language, and all texts go. Equal texts share their fate; repeated and null ids, and
+    all columns, whatever their names, stay as they are. An empty table stays empty.
+    """
     session.workers_find_package(spark)
     model = langid.train(docs.where(~langid.held_out()).select("lang", "text"))
-    return langid.predict(docs, model).where(f"lang_pred <> 'und' and score >= {CONFIDENCE}").select(docs.columns)
+    found = langid.predict(docs.select("text", F.struct("*").alias("row")), model)
+    return found.where(f"lang_pred <> 'und' and score >= {CONFIDENCE}").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five words, similarity 0.8): that of the least id; repeated ids stay once."""
+    """Keeps one document of each group of near copies (five words, similarity 0.8): that of the least id.
+
+    Empty and null texts link with nothing and stay; rows without an id stay. Rows that repeat id and text stay once (that whose other columns
+    come first as JSON); different texts under one id are one document, which stays or goes with all its texts. An empty table stays empty.
+    """
     session.workers_find_package(spark)
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    found = minhash.near_duplicates(docs).where("kept and doc_id is not null")
+    kept = session.settle(found.groupBy("doc_id").agg((F.count("*") > 1).alias("_again")))
+    out = docs.join(kept.where("not _again").select("doc_id"), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    again = kept.where("_again").select("doc_id")
+    if again.isEmpty():
+        return out
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"]
+    rows = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_rest"))
+    return out.unionByName(rows.select([c if c in ("doc_id", "text") else f"_rest.`{c}`" for c in docs.columns]))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts."""
+    """Replaces secrets in the texts, and makes n_chars new; every row stays, null and empty texts as they are, and all other columns."""
     return secrets.masked(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents by the production weights; a document that is in several epochs comes as often."""
+    """Takes documents by the production weights; a document that is in several epochs comes as often.
+
+    What counts as size of null and empty texts, and how ties of the order fall, is as `mixing` states; columns stay. An empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes every text: doc_id, n_tokens, ids, and the hash of the text decoded from them."""
+    """Encodes every text: doc_id, n_tokens, ids, and the hash of the text decoded from them; null texts give nulls, empty ones no ids."""
     session.workers_find_package(spark)
     return pieces.encode(docs).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
