@@ -12,6 +12,9 @@ any size is spread over as many tasks as its share asks for. After it, what is k
 rows): for the at most HOT buckets that hold more than a share of 1 / HOT of all rows these are broadcast, and the
 rows of such a bucket stay where they are; all others are joined.
 
+Sets are written once, in buckets of their id, so no confirmation moves them all: a pair moves one of its two sets, and the
+set that many are compared to is copied once per SALTED of them, so no task meets all of them.
+
 Candidates are confirmed on full sets, without all pairs of a group: each band bucket's smallest
 document is compared to the rest and components are formed; documents in other components are compared to a
 few drawn members; and only pairs of a bucket that are still in different components are compared after that: as rows in buckets with
@@ -40,6 +43,8 @@ BANDS, ROWS = 64, 8
 PIVOTS = 8
 #: A bucket with more open pairs than PAIRS is compared in tiles of two packs, each of about PACK set elements or MEMBERS sets.
 PAIRS, PACK, MEMBERS = 256, 1 << 15, 512
+#: Rows that one copy of a much-asked set is compared with.
+SALTED = 1024
 #: At most so many buckets are broadcast: those with more than this part of all rows.
 HOT = 1 << 13
 
@@ -218,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = session.settle(slim.mapInArrow(_describe(width, bands, rows_per_band), "id long, n long, key binary, bands array<long>"))
     linked = seen.where("id is not null and n > 0")
-    node = linked.groupBy("key").agg(F.min("id").alias("node"))
+    node = linked.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("c"))
     reps = linked.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     rows = reps.select(F.explode("bands").alias("bucket"), "id", "n").repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
     rows = session.settle(rows.mapInArrow(_spread, "bucket long, id long, n long"))
@@ -229,13 +234,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = session.settle(_by_bucket(rows, pivot).select("bucket", "id", "n", "hot", F.col("p.id").alias("p"), F.col("p.n").alias("pn")))
     alike = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
     ids = met.select("id").distinct()
-    sets = session.settle(slim.join(ids, "id", "left_semi").mapInArrow(_full_sets(width), "id long, values binary"))
+    sets = session.settle_by(slim.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_full_sets(width), "id long, values binary"), "id")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a").join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b")
+        pairs = session.settle(pairs.distinct())
+        size = pairs.groupBy("b").agg(F.count("*").alias("c"))
+        hot = size.where(F.col("c") * HOT > F.lit(pairs.count())).select("b", F.ceil(F.col("c") / SALTED).cast("int").alias("salts"))
+        salts = F.coalesce("salts", F.lit(1))
+        salted = pairs.join(F.broadcast(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"))
+        asked = size.join(F.broadcast(hot), "b", "left").select("b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        left = salted.join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a")
+        right = asked.join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b")
+        both = left.join(right, ["b", "salt"])
         return session.settle(both.select("a", "b", "va", "vb").mapInArrow(_confirm(percent), "a long, b long"))
 
-    first = met.where(f"id <> p and {alike}").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
+    first = met.where(f"id <> p and {alike}").select(F.col("id").alias("a"), F.col("p").alias("b"))
     links = confirmed(first)
     found = session.settle(session.components(links))
 
@@ -245,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return session.settle(_by_bucket(named, split))
 
     def joined(pairs: DataFrame) -> DataFrame:
-        more = confirmed(pairs.distinct())
+        more = confirmed(pairs)
         if more.isEmpty():
             return found
         return session.settle(session.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more)))
@@ -254,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drawn = rows.groupBy("bucket", "hot").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "comp")).alias(f"d{k}") for k in range(PIVOTS)])
     drawn = drawn.select("bucket", "hot", F.explode(F.array_distinct(F.transform(F.array(*[f"d{k}" for k in range(PIVOTS)]), lambda d: d.dropFields("h")))).alias("d"))
     near = _by_bucket(rows, drawn).where(f"comp <> d.comp and 100 * least(n, d.n) >= {percent} * greatest(n, d.n)")
-    found = joined(near.select(F.greatest("id", "d.id").alias("a"), F.least("id", "d.id").alias("b")))
+    found = joined(near.select(F.col("id").alias("a"), F.col("d.id").alias("b")))
     rows = still_open()
     size = rows.groupBy("bucket", "hot", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     size = size.groupBy("bucket", "hot").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.sum("c").alias("m"), F.max("c").alias("c"), F.sum("s").alias("s"), F.max_by("s", F.struct("c", "comp")).alias("bs"))
@@ -263,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = session.settle(_by_bucket(rows, size.select("bucket", "hot", "big", "many", "outer", "all")))
     few = rows.where("not many")
     cross = few.alias("x").join(few.alias("y"), F.expr(f"x.bucket = y.bucket and x.comp < y.comp and x.id <> x.p and y.id <> y.p and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    last = confirmed(cross.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct())
+    last = confirmed(cross.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")))
     many = rows.where("many").join(sets, "id")
 
     def packed(side: DataFrame, count: str, name: str) -> DataFrame:
@@ -275,9 +288,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dense = session.settle(tiles.join(left, ["bucket", "l"]).join(right, ["bucket", "r"]).select("ls", "rs").mapInArrow(_confirm_packs(percent), "a long, b long"))
     last = last.unionAll(dense.distinct())
     merged = found if last.isEmpty() else session.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(last))
-    final = node.join(merged, node.node == merged.id, "left").select("key", F.coalesce("component", "node").alias("component"))
-    out = seen.select("id", "n", "key").join(final, "key", "left")
+    final = node.join(merged, node.node == merged.id, "left").select("key", F.coalesce("component", "node").alias("component"), (F.col("c") * HOT > F.lit(linked.count())).alias("hot"))
+    final = session.settle(final)
+    out = seen.select("id", "n", "key").join(F.broadcast(final.where("hot").select("key", F.col("component").alias("own"))), "key", "left")
+    few = out.where("own is null").join(final.where("not hot").select("key", "component"), "key", "left")
+    out = few.select("id", "n", "component").unionByName(out.where("own is not null").select("id", "n", F.col("own").alias("component")))
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    session.forget(sets)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id")).withColumn("kept", F.expr("doc_id is null or doc_id = component_id"))
 
 

@@ -39,13 +39,35 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def settle_by(df: DataFrame, key: str) -> DataFrame:
+    """As settle, in as many buckets of key as the session has shuffle partitions: joins on key do not move the table again."""
+    spark = df.sparkSession
+    name = f"sitelens_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(name)
+    atexit.register(_unname, spark, name, path)
+    out = spark.table(name)
+    out._settled, out._name = path, name
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Removes a settled table that nothing reads any more."""
     path = getattr(df, "_settled", None)
-    if path:
+    if path and getattr(df, "_name", None):
+        _unname(df.sparkSession, df._name, path)
+    elif path:
         _remove(df.sparkSession, path)
 
 
+def _unname(spark: SparkSession, name: str, path: str) -> None:
+    try:
+        spark.sql(f"drop table if exists {name}")
+    except Exception:  # the session has ended, and its names with it
+        pass
+    _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
