@@ -2,15 +2,18 @@
 
 Two first-order models over the characters of a token, one of random strings and one of ordinary
 identifiers, are counted from labelled samples: random are what the patterns catch in a bounded sample of
-documents and digests of a counter in base64 and hex; ordinary are the other long tokens of those
-documents. A token of 16 characters or more whose log-likelihood ratio reaches the threshold is added as a
-span of kind `random`, unless it overlaps a pattern's span. All of it is DataFrame expressions.
+documents and strings drawn from digests of a counter over the alphabets that keys are written in; ordinary are the other
+tokens of those documents, as they are and in capitals. A token of 16 characters or more whose log-likelihood ratio reaches
+the threshold is added as a span of kind `random`, unless it overlaps a pattern's span. All of it is DataFrame expressions.
 
-Places of matches come from the lengths of the matches and of the gaps between them, in code points.
+Places of matches come from the lengths of the matches and of the gaps between them, in code points, added up in blocks of
+about the root of their number, so that nothing is copied along from match to match (an aggregation copies its state at every
+step). Spans meet by ranks in sorted lists, and tokens and texts are read in blocks: a token of a megabyte or a text with
+100000 matches takes seconds.
 
 Cases: null text counts as empty; without any match counts are 0 and spans is empty. Copies and repeated
-ids give a row each; null ids stay. An empty table gives no rows (its models are those of the digests).
-Other columns are not looked at.
+ids give a row each; null ids stay. An empty table gives no rows (its models are those of the digests). Matches of two kinds
+that start together come in the order of kinds. Other columns are not looked at; `masked` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,18 +31,41 @@ KINDS = (
 )
 TOKEN = r"[A-Za-z0-9+/_-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Alphabets of the random strings drawn for training: base 64 of both kinds, letters and digits, base 36, base 32, hex in capitals.
+DRAWN = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF")
+#: Documents that the models are fitted on, at most.
 SAMPLE_DOCUMENTS = 2000
 THRESHOLD = 12.0
+#: Code points of a block of text.
+BLOCK = 1024
 
 _SPAN = "array<struct<first:bigint,last:bigint,kind:int>>"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of body with a name for a value, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+_NONE = "cast(array() as array<bigint>)"
+
+
+def _before(numbers: str) -> str:
+    """SQL for the sum of what is before each of an array of bigint, which is not empty."""
+    total = lambda x: f"aggregate({x}, 0L, (s, y) -> s + y)"
+    inner = f"transform(blk, (y, i) -> start + {total('slice(blk, 1, i)')})"
+    outer = f"flatten(transform(blks, (blk, k) -> {_let('start', total('slice(sums, 1, k)'), inner)}))"
+    cut = "transform(sequence(0, int(ceil(size(nums) / width)) - 1), k -> slice(nums, k * width + 1, width))"
+    return _let("nums", numbers, _let("width", "int(ceil(sqrt(size(nums))))", _let("blks", cut, _let("sums", f"transform(blks, w -> {total('w')})", outer))))
+
+
 def _places(found: str, gaps: str, kind: int, keep: str) -> str:
-    """SQL for the spans of matches `found` between `gaps`; keep: the condition on match number i (from 1)."""
-    span = f"named_struct('first', acc.at + length({gaps}[i-1]), 'last', acc.at + length({gaps}[i-1]) + length({found}[i-1]), 'kind', {kind})"
-    step = f"named_struct('at', acc.at + length({gaps}[i-1]) + length({found}[i-1]), 'out', if({keep}, concat(acc.out, array({span})), acc.out))"
-    none = f"cast(array() as {_SPAN})"
-    return f"if(size({found}) = 0, {none}, aggregate(sequence(1, size({found})), named_struct('at', 0L, 'out', {none}), (acc, i) -> {step}, acc -> acc.out))"
+    """SQL for the spans of matches `found` between `gaps`; keep: an array of which matches count."""
+    both = f"zip_with({found}, slice({gaps}, 1, size({found})), (m, g) -> named_struct('m', bigint(length(m)), 'g', bigint(length(g))))"
+    span = f"cast(named_struct('first', p + z.g, 'last', p + z.g + z.m, 'kind', {kind}) as struct<first:bigint,last:bigint,kind:int>)"
+    spans = f"zip_with(both, {_before('transform(both, z -> z.m + z.g)')}, (z, p) -> {span})"
+    kept = f"transform(filter(zip_with({_let('both', both, spans)}, {keep}, (x, k) -> named_struct('x', x, 'k', k)), y -> y.k), y -> y.x)"
+    return f"if(size({found}) = 0, cast(array() as {_SPAN}), {kept})"
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -51,59 +77,82 @@ def _base(docs: DataFrame) -> DataFrame:
         some = F.size(f"m{k}") > 0
         none = F.expr("cast(array() as array<string>)")
         out = out.withColumns({f"g{k}": F.when(some, F.split("text", pattern, -1)).otherwise(none), f"v{k}": F.when(some, F.regexp_extract_all("text", p, F.lit(group))).otherwise(none) if group else F.col(f"m{k}")})
-        out = out.withColumn(f"s{k}", F.expr(_places(f"m{k}", f"g{k}", k, f"length(v{k}[i-1]) >= {least}"))).drop(f"g{k}", f"m{k}")
+        out = out.withColumn(f"s{k}", F.expr(_places(f"m{k}", f"g{k}", k, f"transform(v{k}, x -> length(x) >= {least})"))).drop(f"g{k}", f"m{k}")
     return out
 
 
-def _pairs(token: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.substring(token, i, F.lit(2)))
+#: All pairs of neighbouring characters of a token, and a token's blocks, which share a character with the next.
+_PAIRS, _BLOCKS = "(?=(..))", f"(?=(.{{1,{BLOCK + 1}}})).{{1,{BLOCK}}}"
 
 
 def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> list[float]:
-    """The table of log-likelihood ratios, row by first character, from at most `documents` documents.
+    """The table of log-likelihood ratios, by ASCII codes of two characters, from `documents` documents or all if there are fewer.
 
-    The sample is that of the least hashes of texts, so it does not depend on the order of rows.
-    What reaches the driver is one row per label and character pair.
+    The sample is that of the least hashes of rows, so it does not depend on their order: tasks send hashes alone, rows are
+    picked where they are, and rows equal in all columns count once. What reaches the driver is one row per label and character pair.
     """
     spark = docs.sparkSession
-    sample = docs.select("text").orderBy(F.xxhash64("text"), "text").limit(documents)
+    own = docs.select("text", F.xxhash64(*docs.columns).alias("h"))
+    last = own.select("h").orderBy("h").limit(documents).agg(F.max("h")).first()[0]
+    sample = own.where(F.col("h") <= F.lit(last)).distinct() if last is not None else own
     caught = _base(sample).select("text", F.concat("v0", "v1", "v2").alias("caught"))
     secret = caught.select(F.lit(1).alias("label"), F.explode("caught").alias("token")).where(F.length("token") >= 12)
-    plain = caught.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_-]{6,}"), F.lit(0))).alias("token"), "caught")
-    plain = plain.where("not exists(caught, c -> instr(c, token) > 0 or instr(token, c) > 0 and length(c) >= 12)").select(F.lit(0).alias("label"), "token")
-    digest = F.sha2(F.col("id").cast("string"), 256)
-    drawn = spark.range(2000).select(F.lit(1).alias("label"), F.explode(F.array(F.base64(F.unhex(digest)), F.upper(F.substring(digest, 1, 20)), F.substring(digest, 21, 32))).alias("token"))
-    pairs = secret.unionAll(plain).unionAll(drawn).select("label", F.explode(_pairs(F.col("token"))).alias("pair"))
+    rest = F.col("text")
+    for _, pattern, *_ in KINDS:
+        rest = F.regexp_replace(rest, pattern, " ")
+    plain = caught.select(F.explode(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_-]{6,}"), F.lit(0))).alias("token"))
+    plain = plain.select(F.lit(0).alias("label"), F.explode(F.array("token", F.upper("token"), F.initcap("token"))).alias("token"))
+    digest = F.sha2(F.concat_ws(" ", F.col("id"), F.col("k")), 256)
+    drawn = spark.range(1000).select("id", F.posexplode(F.array(*[F.lit(x) for x in DRAWN])).alias("k", "a"))
+    drawn = drawn.select(F.lit(1).alias("label"), F.col("a"), digest.alias("d")).select("label", F.expr("array_join(transform(sequence(0, 31), i -> substring(a, int(conv(substring(d, 2 * i + 1, 2), 16, 10)) % length(a) + 1, 1)), '')").alias("token"))
+    blocks = secret.unionAll(plain).unionAll(drawn).select("label", F.explode(F.regexp_extract_all("token", F.lit(_BLOCKS), F.lit(1))).alias("b"))
+    pairs = blocks.select("label", F.explode(F.regexp_extract_all("b", F.lit(_PAIRS), F.lit(1))).alias("pair"))
     size = len(ALPHABET)
     counts = [[1.0] * (size * size), [1.0] * (size * size)]
     place = {c: k for k, c in enumerate(ALPHABET)}
     for r in pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).where(F.col("pair").rlike(r"^[A-Za-z0-9+/_-]{2}$")).collect():
         counts[r.label][place[r.pair[0]] * size + place[r.pair[1]]] += r.n
-    logs = []
-    for c in counts:
-        total = [sum(c[k * size : (k + 1) * size]) for k in range(size)]
-        logs.append([math.log(x / total[k // size]) for k, x in enumerate(c)])
-    return [a - b for b, a in zip(*logs)]
+    totals = [[sum(c[k * size : (k + 1) * size]) for k in range(size)] for c in counts]
+    table = [0.0] * (128 * 128)
+    for a in ALPHABET:
+        for b in ALPHABET:
+            at = place[a] * size + place[b]
+            table[ord(a) * 128 + ord(b)] = math.log(counts[1][at] / totals[1][place[a]]) - math.log(counts[0][at] / totals[0][place[a]])
+    return table
 
 
-def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Every row as a struct `row`, its text, and `base` and `spans`: arrays of (first, last, kind), kind 3 being random."""
-    slim = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    table = train(slim)
+def ratio(token: Column, table: list[float]) -> Column:
+    """The log-likelihood ratio of a token of ALPHABET, random over ordinary."""
     ratios = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")
-    size = len(ALPHABET)
+    one = lambda p: F.element_at(ratios, (F.ascii(p) * 128 + F.ascii(F.substring(p, 2, 1)) + 1).cast("int"))
+    block = lambda b: F.aggregate(F.regexp_extract_all(b, F.lit(_PAIRS), F.lit(1)), F.lit(0.0), lambda acc, p: acc + one(p))
+    return F.aggregate(F.regexp_extract_all(token, F.lit(_BLOCKS), F.lit(1)), F.lit(0.0), lambda acc, b: acc + block(b))
+
+
+def _rank(points: str, ends: str, first: bool) -> str:
+    """SQL for how many of `ends` are below each of the sorted `points`, or not above it if `first`."""
+    tag = (0, 1) if first else (1, 0)
+    rows = f"array_sort(concat(transform({ends}, e -> named_struct('v', e, 't', {tag[0]})), transform({points}, e -> named_struct('v', e, 't', {tag[1]}))))"
+    at = f"filter(transform({rows}, (e, i) -> named_struct('t', e.t, 'i', i)), e -> e.t = {tag[1]})"
+    return f"transform({at}, (e, j) -> e.i - j)"
+
 
-    def score(token: Column) -> Column:
-        place = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-        return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(ratios, ((place(i) - 1) * size + place(i + 1)).cast("int")))
+#: SQL for the spans of `own`, sorted and apart, that overlap none of `base`: as many of these begin before its end as end by its start.
+_ALONE = f"transform(filter(zip_with(own, zip_with({_rank('transform(own, x -> x.last)', 'transform(base, x -> x.first)', False)}, {_rank('transform(own, x -> x.first)', 'transform(base, x -> x.last)', True)}, (a, b) -> a = b), (x, k) -> named_struct('x', x, 'k', k)), y -> y.k), y -> y.x)"
 
+
+def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Every row as a struct `row`, its text, and `base` and `spans`: arrays of (first, last, kind), kind 3 being random."""
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    slim = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    table = train(docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"_{k}") for k, (c, t) in enumerate(docs.dtypes) if c != text_col and "map<" not in t and "variant" not in t]))
     out = _base(slim).withColumn("base", F.array_sort(F.concat("s0", "s1", "s2")))
     out = out.withColumn("m3", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
-    out = out.withColumn("r3", F.transform("m3", lambda t: score(t) >= threshold))
+    out = out.withColumn("r3", F.transform("m3", lambda t: ratio(t, table) >= threshold))
     out = out.withColumn("g3", F.when(F.expr("exists(r3, r -> r)"), F.split("text", TOKEN, -1)))
-    own = F.when(F.col("g3").isNotNull(), F.expr(_places("m3", "g3", 3, "r3[i-1]"))).otherwise(F.expr(f"cast(array() as {_SPAN})"))
-    out = out.withColumn("own", own).withColumn("own", F.expr("filter(own, x -> not exists(base, b -> b.first < x.last and x.first < b.last))"))
-    return out.select("row", "text", "base", F.array_sort(F.concat("base", "own")).alias("spans"))
+    out = out.withColumn("own", F.when(F.col("g3").isNotNull(), F.expr(_places("m3", "g3", 3, "r3"))))
+    own = F.when(F.col("own").isNotNull(), F.expr(_ALONE)).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+    return out.select("row", "text", "base", F.array_sort(F.concat("base", own)).alias("spans"))
 
 
 def _digest(spans: str) -> Column:
@@ -120,9 +169,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
     """The input with [secret] in place of every span (overlapping spans become one) and n_chars made new; null stays null."""
-    step = "if(x.first >= acc.at, named_struct('at', x.last, 'out', concat(acc.out, substring(text, int(acc.at + 1), int(x.first - acc.at)), '[secret]')), named_struct('at', greatest(acc.at, x.last), 'out', acc.out))"
-    whole = f"aggregate(spans, named_struct('at', 0L, 'out', ''), (acc, x) -> {step}, acc -> concat(acc.out, substring(text, int(acc.at + 1))))"
-    found = scan(docs, text_col).withColumn("clean", F.when(F.col("row").getField(text_col).isNotNull(), F.when(F.expr("size(spans) = 0"), F.col("text")).otherwise(F.expr(whole))))
+    blocks = f"regexp_extract_all(text, '(?s).{{1,{BLOCK}}}', 0)"
+    events = "array_sort(concat(transform(spans, x -> named_struct('at', x.first, 'd', 1L)), transform(spans, x -> named_struct('at', x.last, 'd', -1L))))"
+    depth = f"zip_with(ev, {_before('transform(ev, e -> e.d)')}, (e, n) -> named_struct('at', e.at, 'd', e.d, 'n', n))"
+    edge = lambda d, n: f"transform(filter(deep, e -> e.d = {d} and e.n = {n}), e -> e.at)"
+    between = f"if(t > f, array_join(transform(sequence(f div {BLOCK}, (t - 1) div {BLOCK}), b -> substring(blocks[int(b)], int(greatest(f - b * {BLOCK}, 0)) + 1, int(least(t - b * {BLOCK}, {BLOCK}) - greatest(f - b * {BLOCK}, 0)))), ''), '')"
+    rest = f"array_join(zip_with(concat(array(0L), {edge(-1, 1)}), concat({edge(1, 0)}, array(bigint(length(text)))), (f, t) -> {between}), '[secret]')"
+    whole = _let("blocks", blocks, _let("ev", events, _let("deep", depth, rest)))
+    found = scan(docs, text_col)
+    found = found.withColumn("clean", F.when(F.col("row").getField(text_col).isNotNull(), F.when(F.expr("size(spans) = 0"), F.col("text")).otherwise(F.expr(whole))))
     made = {text_col: F.col("clean"), count_col: F.char_length("clean").cast("long")}
     return found.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
