@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RADIUS_KM = 6371.0
@@ -57,3 +59,46 @@ def closed_ring(ring: Column) -> Column:
 def vertex_mean(ring: Column, name: str) -> Column:
     """Mean of one coordinate over the vertices of a ring."""
     return F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[name]) / F.size(ring)
+
+
+def _row(lat: Column, km: float) -> Column:
+    return F.floor(lat / F.lit(km / 111.0)).cast("int")
+
+
+def _cells(row: Column, km: float) -> Column:
+    """Cells in a row of latitude: each is as wide as two places less than km apart can differ that are in this row and the next to it."""
+    high = km / 111.0
+    least = F.least(F.cos(F.radians((row - 1) * F.lit(high))), F.cos(F.radians((row + 2) * F.lit(high))))
+    part = F.lit(math.sin(min(math.pi / 2, km / (2 * RADIUS_KM))) * (1 + 1e-9)) / least
+    wide = F.degrees(F.lit(2.0) * F.asin(part))
+    sure = (least > 0.001) & (part < 0.99) & (F.abs((row + F.lit(0.5)) * F.lit(high)) + F.lit(1.5 * high) < 90)
+    return F.when(sure, F.greatest(F.lit(1), F.floor(F.lit(360.0) / wide))).otherwise(F.lit(1)).cast("int")
+
+
+def _cell_at(lon: Column, n: Column) -> Column:
+    return F.pmod(F.floor((lon + F.lit(180.0)) * n / F.lit(360.0)), n).cast("int")
+
+
+def placed(rows: DataFrame, lat: str, lon: str, km: float) -> DataFrame:
+    """rows with the cell (cy, cx) that each place is in."""
+    return rows.withColumn("cy", _row(F.col(lat), km)).withColumn("cx", _cell_at(F.col(lon), _cells(F.col("cy"), km)))
+
+
+def around(rows: DataFrame, lat: str, lon: str, km: float) -> DataFrame:
+    """rows once for each cell (cy, cx) in which `placed` puts what may be within km of them, across the date line too."""
+    out = rows.withColumn("cy", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _row(F.col(lat), km) + d)))
+    n = _cells(F.col("cy"), km)
+    near = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(_cell_at(F.col(lon), n) + d, n).cast("int")))
+    return out.withColumn("cx", F.explode(near))
+
+
+def wkt_point(text: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of POINT(lon lat); nulls where the text is none."""
+    part = lambda k: F.nullif(F.regexp_extract(text, r"^POINT ?\((-?[0-9.]+) (-?[0-9.]+)\)$", k), F.lit("")).try_cast("double")
+    return part(2), part(1)
+
+
+def rectangle(transform: Column, width: Column, height: Column) -> Column:
+    """West, south, east and north of a grid by its transform (x step, 0, x origin, 0, negative y step, y origin) and size."""
+    west, north = transform[2], transform[5]
+    return F.struct(west.alias("oeste"), (north + height * transform[4]).alias("sul"), (west + width * transform[0]).alias("leste"), north.alias("norte"))

@@ -2,61 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import geo
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Writes df to the folder of spark.checkpoint.dir (a temporary one where that is unset) and reads it back.
-
-    A written table has a size of its own; estimates carried through checkpoints would multiply from round to round.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="sitelens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/links-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+from sitelens.operators.storage import drop, settle
 
 
 def proximity(places: DataFrame, km: float, cell: float | None = None) -> DataFrame:
     """Pairs a < b of places (id, lat, lon) less than km apart, met in the same or neighbouring grid cells.
 
     With `cell` degrees, cells are truncated toward zero and only the 3 x 3 neighbours are looked at, so far north
-    some pairs are missed; without it, cells are rows of latitude at least km high and no pair is.
+    some pairs are missed; without it, cells are as high and, at their latitude, as wide as no pair can exceed, and no pair is.
     """
     if cell is None:
-        row = F.floor(F.col("lat") / F.lit(km / 111.0)).cast("int")
-        own = places.withColumn("cy", row).withColumn("cx", F.lit(0))
-        offsets = [(dy, 0) for dy in (-1, 0, 1)]
+        left = geo.around(places.select(F.col("id").alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon")), "alat", "alon", km)
+        right = geo.placed(places.select(F.col("id").alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon")), "blat", "blon", km)
     else:
         own = places.withColumn("cy", geo.cell(F.col("lat"), cell)).withColumn("cx", geo.cell(F.col("lon"), cell))
         offsets = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    around = F.explode(F.array(*[F.struct((F.col("cy") + dy).alias("cy"), (F.col("cx") + dx).alias("cx")) for dy, dx in offsets]))
-    left = own.select(F.col("id").alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), around.alias("c")).select("a", "alat", "alon", "c.cy", "c.cx")
-    right = own.select(F.col("id").alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), "cy", "cx")
+        around = F.explode(F.array(*[F.struct((F.col("cy") + dy).alias("cy"), (F.col("cx") + dx).alias("cx")) for dy, dx in offsets]))
+        left = own.select(F.col("id").alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), around.alias("c")).select("a", "alat", "alon", "c.cy", "c.cx")
+        right = own.select(F.col("id").alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), "cy", "cx")
     near = left.join(right, ["cy", "cx"]).where(F.col("a") < F.col("b"))
     return near.where(geo.haversine(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")) < km).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all linked ids; component is the least id reached. Labels spread and then jump to their label's label."""
-    both = _cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = _cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")))
+    both = settle(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")))
     while True:
         spread = both.join(label.select(F.col("a").alias("b"), F.col("c").alias("n")), "b").groupBy("a").agg(F.min("n").alias("n"))
         nearer = label.join(spread, "a").select("a", F.col("c").alias("old"), F.least("c", "n").alias("c"))
         jump = nearer.join(label.select(F.col("a").alias("c"), F.col("c").alias("cc")), "c", "left")
-        after = _cut(jump.select("a", "old", F.least("c", F.coalesce("cc", "c")).alias("c")))
+        after = settle(jump.select("a", "old", F.least("c", F.coalesce("cc", "c")).alias("c")))
         changed = after.where("old <> c").limit(1).count()
-        label = after.select("a", "c")
+        drop(label)
+        label = after
         if not changed:
             return label.select(F.col("a").alias("id"), F.col("c").alias("component"))
 
@@ -66,3 +49,9 @@ def campuses(places: DataFrame, km: float, cell: float | None = None) -> DataFra
     named = places.join(components(proximity(places, km, cell)), "id", "left").withColumn("campus", F.coalesce("component", "id"))
     mean = lambda c: F.sum(F.col(c).cast("decimal(28,10)")).cast("double") / F.count(c).cast("double")
     return named.groupBy("campus").agg(F.count("*").alias("n_predios"), mean("lat").alias("lat"), mean("lon").alias("lon"))
+
+
+def campus_tags(members: DataFrame) -> DataFrame:
+    """Of members (campus, pos, tags: map) the last non-empty value of each tag by position: campus, tag, valor."""
+    tags = members.select("campus", "pos", F.explode("tags").alias("tag", "valor")).where("valor is not null and valor <> ''")
+    return tags.groupBy("campus", "tag").agg(F.max_by("valor", "pos").alias("valor"))

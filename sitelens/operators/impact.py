@@ -23,9 +23,12 @@ def baseline(panel: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def deltas(panel: DataFrame, variables: list[str]) -> DataFrame:
-    """The panel with delta_<variable>: what each row differs from its site's baseline."""
-    joined = panel.join(baseline(panel, variables), "site")
-    return joined.withColumns({f"delta_{v}": F.col(v) - F.col(f"base_{v}") for v in variables}).drop(*[f"base_{v}" for v in variables])
+    """The panel with base_h and delta_<variable>: what each row differs from its site's baseline. One pass over the panel, by site."""
+    before = F.col("h") < 0
+    rank = F.struct(before.cast("int").alias("pre"), F.when(before, F.col("h")).otherwise(-F.col("h")).alias("near"))
+    base = F.max_by(F.struct("h", *variables), rank).over(Window.partitionBy("site"))
+    out = panel.where("site is not null").withColumn("_base", base).withColumn("base_h", F.col("_base.h"))
+    return out.withColumns({f"delta_{v}": F.col(v) - F.col(f"_base.{v}") for v in variables}).drop("_base")
 
 
 def means(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -48,11 +51,10 @@ def long(rows: DataFrame, keep: list[str], columns: list[str], value: str) -> Da
 
 def net_effect(panel: DataFrame, variables: list[str]) -> DataFrame:
     """pair, h, variavel, efeito: delta of the treated minus the mean delta of the pair's controls, where both are."""
-    d = [f"delta_{v}" for v in variables]
-    rows = deltas(panel, variables).groupBy("pair", "h", "tipo").agg(*[exact_avg(F.col(x)).alias(x) for x in d])
-    t, c = (rows.where(F.col("tipo") == x).drop("tipo") for x in ("tratamento", "controle"))
-    both = t.alias("t").join(c.alias("c"), ["pair", "h"])
-    return long(both.select("pair", "h", *[(F.col(f"t.{x}") - F.col(f"c.{x}")).alias(v) for x, v in zip(d, variables)]), ["pair", "h"], variables, "efeito")
+    mean = lambda v, t: exact_avg(F.when(F.col("tipo") == t, F.col(f"delta_{v}")))
+    some = [F.count(F.when(F.col("tipo") == t, 1)).alias(f"_{t}") for t in ("tratamento", "controle")]
+    rows = deltas(panel, variables).where("pair is not null and h is not null").groupBy("pair", "h").agg(*[(mean(v, "tratamento") - mean(v, "controle")).alias(v) for v in variables], *some)
+    return long(rows.where("_tratamento > 0 and _controle > 0"), ["pair", "h"], variables, "efeito")
 
 
 def spread(c: Column) -> Column:
@@ -76,18 +78,25 @@ def slope(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r for all pairs of columns, over rows where both are known; null where one is constant."""
-    picks = []
-    for a in columns:
-        for b in columns:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-            d = lambda c: F.sum(c.cast("decimal(38,6)")).cast("double")
-            n = F.count(x).cast("double")
+    """a, b, r for all pairs of columns, over rows where both are known; null where one is constant.
+
+    One aggregation: each pair once, and sums that pairs share (those of columns without nulls) once.
+    """
+    holes = rows.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).first()
+    known = {c: None if not holes[c] else F.col(c).isNotNull() for c in columns}
+    d = lambda c: F.sum(c.cast("decimal(38,6)")).cast("double")
+    r = {}
+    for k, a in enumerate(columns):
+        for b in columns[k:]:
+            both = [x for x in {a: known[a], b: known[b]}.values() if x is not None]
+            x, y = (F.when(reduce(lambda p, q: p & q, both), F.col(c)) if both else F.col(c) for c in (a, b))
+            n = F.count(x).cast("double") if both else F.count("*").cast("double")
             top = n * d(x * y) - d(x) * d(y)
             low = F.sqrt(n * d(x * x) - d(x) * d(x)) * F.sqrt(n * d(y * y) - d(y) * d(y))
-            picks.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.try_divide(top, low).alias("r")))
-    return rows.agg(F.array(*picks).alias("m")).select(F.inline("m"))
+            r[a, b] = r[b, a] = F.try_divide(top, low)
+    wide = rows.agg(*[r[a, b].alias(f"{k}_{j}") for k, a in enumerate(columns) for j, b in enumerate(columns) if k <= j])
+    picks = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{min(k, j)}_{max(k, j)}").alias("r")) for k, a in enumerate(columns) for j, b in enumerate(columns)]
+    return wide.select(F.inline(F.array(*picks)))
 
 
 def null_shares(rows: DataFrame, top: int = 15) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import geo
@@ -24,18 +24,40 @@ def z_scores(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
     return out.drop("_n", *[f"_{p}_{c}" for p in "sq" for c in columns])
 
 
-def nearest(rows: DataFrame, ident: str, group: str, columns: list[str], k: int) -> DataFrame:
-    """The k nearest others of each row in its group by Euclidean distance of z-scores; ties by id.
+def nearest(rows: DataFrame, ident: str, group: str | None, columns: list[str], k: int) -> DataFrame:
+    """The k nearest others of each row in its group by Euclidean distance of z-scores; ties by id. Without group, all rows are one.
 
-    Every row meets all others of its group (a region, or one country), as the definition asks; groups are as large as
-    a country's municipalities, and a row's list of distances is sorted and cut to k.
+    Every row meets all others of its group (a region, or one country), as the definition asks; what a task has met is cut to k
+    for each row before it is sorted by rows, so no list of all distances is ever held.
     """
+    if group is None:
+        rows, group = rows.withColumn("_whole", F.lit(1)), "_whole"
     z = z_scores(rows, group, columns).select(ident, group, *[f"z_{c}" for c in columns])
     a, b = z.alias("a"), z.alias("b")
     pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{ident}") != F.col(f"b.{ident}")))
     dist = F.sqrt(sum(((F.col(f"a.z_{c}") - F.col(f"b.z_{c}")) * (F.col(f"a.z_{c}") - F.col(f"b.z_{c}")) for c in columns), F.lit(0.0)))
-    near = pairs.select(F.col(f"a.{ident}").alias(ident), F.struct(dist.alias("dist"), F.col(f"b.{ident}").alias("vizinho")).alias("s"))
-    return near.groupBy(ident).agg(F.slice(F.array_sort(F.collect_list("s")), 1, k).alias("best")).select(ident, F.posexplode("best").alias("pos", "b")).select(ident, (F.col("pos") + 1).alias("rn"), "b.vizinho", "b.dist")
+    near = pairs.select(F.col(f"a.{ident}").alias(ident), F.col(f"b.{ident}").alias("vizinho"), dist.alias("dist"))
+    rank = F.row_number().over(Window.partitionBy(ident).orderBy("dist", "vizinho"))
+    return near.withColumn("rn", rank).where(F.col("rn") <= k).select(ident, "rn", "vizinho", "dist")
+
+
+def similar_wide(rows: DataFrame, ident: str, region: str, columns: list[str], k: int, mode: str = "regiao") -> DataFrame:
+    """One row per row: vizinho_1 .. vizinho_k and dist_1 .. dist_k, within its region or, by mode `pais`, the whole country.
+
+    Rows alone in their group have nulls; another mode is an error.
+    """
+    if mode not in ("regiao", "pais"):
+        raise ValueError(f"mode {mode}: regiao or pais")
+    found = nearest(rows, ident, region if mode == "regiao" else None, columns, k)
+    pick = lambda c, r: F.max(F.when(F.col("rn") == r, F.col(c))).alias(f"{c}_{r}")
+    wide = found.groupBy(ident).agg(*[pick(c, r) for r in range(1, k + 1) for c in ("vizinho", "dist")])
+    return rows.select(ident).join(wide, ident, "left")
+
+
+def similar_coordinates(pairs: DataFrame, places: DataFrame, left: str, right: str, key: str) -> DataFrame:
+    """pairs with lat and lon of both their ends, from one table of places met twice: lat_origem, lon_origem, lat_similar, lon_similar."""
+    side = lambda name, suffix: places.select(F.col(key).alias(name), F.col("lat").alias(f"lat_{suffix}"), F.col("lon").alias(f"lon_{suffix}"))
+    return pairs.join(side(left, "origem"), left, "left").join(side(right, "similar"), right, "left")
 
 
 def similarity(dist: Column) -> Column:
@@ -53,15 +75,13 @@ def ring(rows: DataFrame, lat: str, lon: str, km: Column, start: Column) -> Data
 def free_azimuth(sites: DataFrame, others: DataFrame, km: float, clear_km: float, step: int = 15) -> DataFrame:
     """For each site (id, lat, lon) the first azimuth whose point is clear_km from every other; 0 and found = false if none.
 
-    Others are met through grid cells one clear_km or more wide, so only neighbours are compared.
+    Others are met through grid cells one clear_km or more wide and high, so only neighbours are compared.
     """
     tries = sites.select("id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(360 - step), F.lit(step))).alias("az"))
     to_lat, to_lon = geo.destination(F.col("lat"), F.col("lon"), F.lit(km), F.col("az").cast("double"))
     tries = tries.select("id", "az", to_lat.alias("plat"), to_lon.alias("plon"))
-    band = clear_km / 111.0
-    row = lambda c: F.floor(c / F.lit(band)).cast("int")
-    marked = others.select(F.col("id").alias("oid"), F.col("lat").alias("olat"), F.col("lon").alias("olon"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: row(F.col("lat")) + d)).alias("cell"))
-    hit = tries.withColumn("cell", row(F.col("plat"))).join(marked, "cell").where((F.col("id") != F.col("oid")) & (geo.haversine(F.col("plat"), F.col("plon"), F.col("olat"), F.col("olon")) < clear_km))
+    marked = geo.around(others.select(F.col("id").alias("oid"), F.col("lat").alias("olat"), F.col("lon").alias("olon")), "olat", "olon", clear_km)
+    hit = geo.placed(tries, "plat", "plon", clear_km).join(marked, ["cy", "cx"]).where((F.col("id") != F.col("oid")) & (geo.haversine(F.col("plat"), F.col("plon"), F.col("olat"), F.col("olon")) < clear_km))
     free = tries.join(hit.select("id", "az").distinct(), ["id", "az"], "left_anti").groupBy("id").agg(F.min("az").alias("az"))
     return sites.select("id").join(free, "id", "left").select("id", F.coalesce("az", F.lit(0)).alias("azimuth"), F.col("az").isNotNull().alias("found"))
 
@@ -83,7 +103,12 @@ def thinned(rows: DataFrame, order: Column, km: float, most: int) -> DataFrame:
     return rows.sparkSession.createDataFrame(kept, "place int, id long, lat double, lon double")
 
 
-def pair_distance(shares: DataFrame, classes: list[str]) -> DataFrame:
-    """Sum of absolute differences of mean class shares of treated and controls, by pair."""
+def pair_distance(shares: DataFrame, classes: list[str], before: bool = False) -> DataFrame:
+    """Sum of absolute differences of mean class shares of treated and controls, by pair.
+
+    `before` takes only rows of years before the event (h < 0), and rounds to 6 digits.
+    """
+    if before:
+        return pair_distance(shares.where("h < 0"), classes).withColumn("l1", F.bround("l1", 6))
     means = shares.groupBy("pair").agg(*[exact_avg(F.when(F.col("tipo") == t, F.col(c))).alias(f"{t}_{c}") for t in ("tratamento", "controle") for c in classes])
     return means.select("pair", sum((F.abs(F.col(f"tratamento_{c}") - F.col(f"controle_{c}")) for c in classes), F.lit(0.0)).alias("l1")).where("l1 is not null")

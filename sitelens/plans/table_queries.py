@@ -12,6 +12,7 @@ from sitelens.operators import impact as I
 from sitelens.operators import match as M
 from sitelens.operators import nested as N
 from sitelens.operators import raster as R
+from sitelens.operators.storage import numbered
 from sitelens.plans.panel_queries import table
 from sitelens.plans.registry import query
 
@@ -30,16 +31,17 @@ def places(spark, sf) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), spot(37, 2000, 30.0).alias("lat"), spot(91, 5000, -120.0).alias("lon"))
 
 
-_KNN = """e as (select vec_id, label, cast(embedding[1] as double) as x1, cast(embedding[2] as double) as x2, cast(embedding[3] as double) as x3 from embeddings),
- m as (select label, cast(count(*) as double) as n, """ + ", ".join(f"cast(sum(cast(x{k} as decimal(38,10))) as double) as s{k}, cast(sum(cast(x{k} * x{k} as decimal(38,10))) as double) as q{k}" for k in (1, 2, 3)) + """ from e group by label),
- z as (select vec_id, e.label, """ + ", ".join(f"(x{k} - s{k} / n) / coalesce(nullif(sqrt(greatest(0, q{k} / n - s{k} / n * (s{k} / n))), 0), 1) as z{k}" for k in (1, 2, 3)) + """ from e join m on e.label = m.label),
- d as (select a.vec_id, b.vec_id as vizinho, sqrt((a.z1 - b.z1) * (a.z1 - b.z1) + (a.z2 - b.z2) * (a.z2 - b.z2) + (a.z3 - b.z3) * (a.z3 - b.z3)) as dist from z a join z b on a.label = b.label and a.vec_id <> b.vec_id),
+_DIMS = range(1, 65)
+_KNN = f"""e as (select vec_id, label, {', '.join(f'cast(embedding[{k}] as double) as x{k}' for k in _DIMS)} from embeddings),
+ m as (select label, cast(count(*) as double) as n, {', '.join(f'cast(sum(cast(x{k} as decimal(38,10))) as double) as s{k}, cast(sum(cast(x{k} * x{k} as decimal(38,10))) as double) as q{k}' for k in _DIMS)} from e group by label),
+ z as (select vec_id, e.label, {', '.join(f'(x{k} - s{k} / n) / coalesce(nullif(sqrt(greatest(0, q{k} / n - s{k} / n * (s{k} / n))), 0), 1) as z{k}' for k in _DIMS)} from e join m on e.label = m.label),
+ d as (select a.vec_id, b.vec_id as vizinho, sqrt({' + '.join(f'(a.z{k} - b.z{k}) * (a.z{k} - b.z{k})' for k in _DIMS)}) as dist from z a join z b on a.label = b.label and a.vec_id <> b.vec_id),
  k as (select vec_id, cast(rn as int) as rn, vizinho, dist from (select *, row_number() over (partition by vec_id order by dist, vizinho) as rn from d) x where rn <= 3)"""
 
 
 def knn(spark, sf) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("vec_id", "label", *[F.get("embedding", k - 1).cast("double").alias(f"x{k}") for k in (1, 2, 3)])
-    return M.nearest(e, "vec_id", "label", ["x1", "x2", "x3"], 3)
+    e = table(spark, sf, "embeddings").select("vec_id", "label", *[F.get("embedding", k - 1).cast("double").alias(f"x{k}") for k in _DIMS])
+    return M.nearest(e, "vec_id", "label", [f"x{k}" for k in _DIMS], 3)
 
 
 @query("knn_similar", f"with {_KNN} select vec_id, rn, vizinho, dist from k")
@@ -86,7 +88,10 @@ def control_azimuth(spark, sf):
     return M.free_azimuth(p, p, 50.0, 40.0)
 
 
-@query("greedy_thinning")
+@query("greedy_thinning", f"""with recursive {PLACES}, o as (select *, row_number() over (order by nation, id) as i from places),
+ g as (select cast(0 as bigint) as i, cast([] as struct(id bigint, lat double, lon double)[]) as kept union all
+ select o.i, case when len(kept) < 16 and len(list_filter(kept, lambda k: {_hav('k.lat', 'k.lon', 'o.lat', 'o.lon')} < 300e0)) = 0 then list_append(kept, struct_pack(id := o.id, lat := o.lat, lon := o.lon)) else kept end from g join o on o.i = g.i + 1),
+ f as (select unnest(kept) as k, unnest(range(0, len(kept))) as place from g where i = (select max(i) from o)) select cast(place as int) as place, k.id as id, k.lat as lat, k.lon as lon from f""")
 def greedy_thinning(spark, sf):
     return M.thinned(places(spark, sf), F.col("nation"), 300.0, 16)
 
@@ -101,7 +106,7 @@ def campus_components(spark, sf):
 
 
 _GRID = "px as (select l_suppkey as site, cast(year(l_shipdate) as int) as ano, (l_linenumber - 1) as code from lineitem)"
-_REMAP = "case code when 0 then 5 when 1 then 1 when 2 then 2 when 3 then 5 when 4 then 2 when 5 then 2 when 6 then 4 when 7 then 3 when 8 then 0 else 0 end"
+_REMAP = "case when code in (0, 3, 8) then 5 when code = 1 then 1 when code in (2, 4, 5) then 2 when code = 6 then 4 when code = 7 then 3 else 0 end"
 _HIST = f"""w as (select site, ano, count(*) as n_total, sum(case when classe between 1 and 5 then 1 else 0 end) as n_valid, {', '.join(f"sum(case when classe = {k} then 1 else 0 end) as c{k}" for k in range(1, 6))} from (select site, ano, {_REMAP} as classe from px) y group by site, ano),
  h as ({' union all '.join(f'select site, ano, n_total, n_valid, {k} as classe, c{k} as n from w' for k in range(1, 6))})"""
 _SHARES = "site, ano, cast(classe as int) as classe, cast(n as bigint) as n, cast(n_total as bigint) as n_total, cast(n_valid as bigint) as n_valid"
@@ -117,9 +122,9 @@ def class_histogram_dense(spark, sf):
     return classes(spark, sf)
 
 
-@query("class_share_check", f"with {_GRID}, {_HIST} select site, ano, true as ok from h group by site, ano")
+@query("class_share_check", f"with {_GRID}, {_HIST} select site, ano, round(cast(sum(case when n_valid > 0 then cast(n as double) * 100 / n_valid end) as double), 6) as s, coalesce(abs(sum(case when n_valid > 0 then cast(n as double) * 100 / n_valid end) - 100) <= 0.01, true) as ok from h group by site, ano")
 def class_share_check(spark, sf):
-    return R.checked(classes(spark, sf), ["site", "ano"]).select("site", "ano", "ok")
+    return R.checked(classes(spark, sf), ["site", "ano"]).select("site", "ano", F.round("s", 6).alias("s"), "ok")
 
 
 @query("area_by_class", f"with {_GRID}, {_HIST} select site, ano, cast(classe as int) as classe, cast(n as double) * 900 as area_m2, cast(n as double) * 900 / 10000 as area_ha, cast(n as double) * 900 / 10000 * case classe when 3 then cast(1.25 as double) when 4 then cast(0.9 as double) else 1 end as area_ha_corrigida from h")
@@ -136,35 +141,17 @@ def pivot_class_wide(spark, sf):
 
 @query("code_remap", f"select p_partkey, p_size, {_REMAP.replace('code', 'p_size % 12')} as classe from part")
 def code_remap(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", "p_size", V.mapped(F.col("p_size") % 12, {**R.NINE_CLASSES, 8: 0}, F.lit(0)).alias("classe"))  # the SQL has 8 as no data
-
-
-@query("code_remap_reference", "select p_partkey, p_size, case when p_size % 12 in (0, 3, 8) then 5 when p_size % 12 = 1 then 1 when p_size % 12 in (2, 4, 5) then 2 when p_size % 12 = 6 then 4 when p_size % 12 = 7 then 3 else 0 end as classe from part")
-def code_remap_reference(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", "p_size", V.mapped(F.col("p_size") % 12, R.NINE_CLASSES, F.lit(0)).alias("classe"))
+    return table(spark, sf, "part").select("p_partkey", "p_size", V.mapped(F.col("p_size") % 12, R.remap_table("dynamic_world"), F.lit(0)).alias("classe"))
 
 
 _BANDS = {"blue": "l_discount", "green": "l_tax", "red": "l_quantity / 50e0", "nir": "l_extendedprice / 1e5", "swir1": "(l_quantity + 7e0) / 60e0", "swir2": "l_linenumber / 7e0"}
 
 
-def _ratio(n: str, d: str, lim: str = "1e0") -> str:
-    return f"case when abs({d}) >= 1e-6 then greatest(-{lim}, least({lim}, ({n}) / ({d}))) end"
-
-
-_INDEX = {"ndvi": ("nir - red", "nir + red"), "ndbi": ("swir1 - nir", "swir1 + nir"), "ndwi": ("green - nir", "green + nir"), "mndwi": ("green - swir1", "green + swir1"), "nbr": ("nir - swir2", "nir + swir2"), "bsi": ("(swir1 + red) - (nir + blue)", "(swir1 + red) + (nir + blue)"), "savi": ("(nir - red) * 1.5e0", "nir + red + 0.5e0", "1.5e0")}
-
-
-@query("spectral_indices", f"with b as (select l_orderkey, l_linenumber, {', '.join(f'{e} as {n}' for n, e in _BANDS.items())} from lineitem), i as (select l_orderkey, l_linenumber, {', '.join(f'{_ratio(*p)} as {n}' for n, p in _INDEX.items())} from b) select l_orderkey, l_linenumber, {', '.join(f'case when {" and ".join(f"{c} is not null" for c in _INDEX)} then {n} end as {n}' for n in _INDEX)} from i")
-def spectral_indices(spark, sf):
-    b = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(e).alias(n) for n, e in _BANDS.items()])
-    return R.indices(b, list(_INDEX)).select("l_orderkey", "l_linenumber", *_INDEX)
-
-
 _SEVEN = {"ndvi": ("nir - red", "nir + red", "-1e0", "1e0"), "evi": ("2.5e0 * (nir - red)", "nir + 6e0 * red - 7.5e0 * blue + 1e0", "-1e0", "2.5e0"), "ndwi": ("green - nir", "green + nir", "-1e0", "1e0"), "mndwi": ("green - swir1", "green + swir1", "-1e0", "1e0"), "ndbi": ("swir1 - nir", "swir1 + nir", "-1e0", "1e0"), "bsi": ("(swir1 + red) - (nir + blue)", "(swir1 + red) + (nir + blue)", "-1e0", "1e0"), "ndmi": ("nir - swir1", "nir + swir1", "-1e0", "1e0")}
 
 
-@query("spectral_indices_reference", f"with b as (select l_orderkey, l_linenumber, {', '.join(f'{e} as {n}' for n, e in _BANDS.items())} from lineitem), i as (select *, {', '.join(f'case when abs({d}) >= 1e-6 then greatest({lo}, least({hi}, ({n}) / ({d}))) end as {k}' for k, (n, d, lo, hi) in _SEVEN.items())} from b) select l_orderkey, l_linenumber, {', '.join(f'case when {" and ".join(f"{c} is not null" for c in (*_BANDS, *_SEVEN))} then {k} end as {k}' for k in _SEVEN)} from i")
-def spectral_indices_reference(spark, sf):
+@query("spectral_indices", f"with b as (select l_orderkey, l_linenumber, {', '.join(f'{e} as {n}' for n, e in _BANDS.items())} from lineitem), i as (select *, {', '.join(f'case when abs({d}) >= 1e-6 then greatest({lo}, least({hi}, ({n}) / ({d}))) end as {k}' for k, (n, d, lo, hi) in _SEVEN.items())} from b) select l_orderkey, l_linenumber, {', '.join(f'case when {" and ".join(f"{c} is not null" for c in (*_BANDS, *_SEVEN))} then {k} end as {k}' for k in _SEVEN)} from i")
+def spectral_indices(spark, sf):
     b = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(e).alias(n) for n, e in _BANDS.items()])
     return R.indices(b).select("l_orderkey", "l_linenumber", *_SEVEN)
 
@@ -210,15 +197,8 @@ def safe_divide_shares(spark, sf):
     return j.groupBy("n_nationkey", block.alias("bloco")).agg(F.try_divide(total, F.count_distinct("c_custkey").cast("double")).alias("per_capita"), F.try_divide(F.sum((F.col("o_orderstatus") == "F").cast("int")).cast("double"), F.count("o_orderkey").cast("double")).alias("pct_f"))
 
 
-@query("star_except", "select c.* exclude (c_acctbal, c_mktsegment), n.n_name, r.r_name from customer c join nation n on c_nationkey = n_nationkey left join region r on n_regionkey = r_regionkey where c_custkey between 10 and 500")
+@query("star_except", "select c.* exclude (c_acctbal, c_mktsegment), n.n_name, r.r_name from customer c join nation n on c_nationkey = n_nationkey left join region r on n_regionkey = r_regionkey")
 def star_except(spark, sf):
-    c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
-    j = c.where(F.col("c_custkey").between(10, 500)).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return j.select(*[x for x in c.columns if x not in ("c_acctbal", "c_mktsegment")], "n_name", "r_name")
-
-
-@query("star_except_all", "select c.* exclude (c_acctbal, c_mktsegment), n.n_name, r.r_name from customer c join nation n on c_nationkey = n_nationkey left join region r on n_regionkey = r_regionkey")
-def star_except_all(spark, sf):
     c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
     j = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return j.select(*[x for x in c.columns if x not in ("c_acctbal", "c_mktsegment")], "n_name", "r_name")
@@ -259,14 +239,8 @@ def overwrite_complement(spark, sf):
     return j.select("c_custkey", V.overwrite(ok, F.col("n_name"), F.col("c_name")).alias("nome"), V.complement(ok, F.col("n_name"), F.col("seg")).alias("segmento"))
 
 
-@query("accent_fold_join", "with w as (select doc_id, split_part(text, ' ', 1) as palavra from documents), d as (select distinct regexp_replace(lower(strip_accents(palavra)), '[^\\x00-\\x7F]', '', 'g') as chave from w where lower(palavra) = palavra or palavra is not null) select doc_id, palavra, chave from w join d on regexp_replace(lower(strip_accents(palavra)), '[^\\x00-\\x7F]', '', 'g') = chave where chave <> ''")
+@query("accent_fold_join", "with w as (select doc_id, unnest(string_split(text, ' ')) as palavra from documents), f as (select *, regexp_replace(lower(strip_accents(palavra)), '[^\\x00-\\x7F]', '', 'g') as chave from w) select doc_id, palavra, f.chave from f join (select distinct chave from f) d on f.chave = d.chave where f.chave <> ''")
 def accent_fold_join(spark, sf):
-    w = table(spark, sf, "documents").select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("palavra")).withColumn("chave", V.fold(F.col("palavra")))
-    return w.join(w.select("chave").where("chave <> ''").distinct(), "chave")
-
-
-@query("accent_fold_join_all", "with w as (select doc_id, unnest(string_split(text, ' ')) as palavra from documents), f as (select *, regexp_replace(lower(strip_accents(palavra)), '[^\\x00-\\x7F]', '', 'g') as chave from w) select doc_id, palavra, f.chave from f join (select distinct chave from f) d on f.chave = d.chave where f.chave <> ''")
-def accent_fold_join_all(spark, sf):
     w = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("palavra")).withColumn("chave", V.fold(F.col("palavra")))
     return w.join(w.select("chave").where("chave <> ''").distinct(), "chave")
 
@@ -324,28 +298,12 @@ def sha_fingerprint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-@query("tooltip_lists", "select o_custkey, string_agg(cast(o_orderkey as varchar) || ': ' || o_orderpriority, '; ' order by o_orderkey) as texto, cast(dense_rank() over (order by o_custkey) - 1 as int) % 6 as cor from orders where o_custkey < 50 group by o_custkey")
+@query("tooltip_lists", "select o_custkey, string_agg(cast(o_orderkey as varchar) || ': ' || o_orderpriority, '; ' order by o_orderkey) as texto, cast((dense_rank() over (order by o_custkey) - 1) % 6 as int) as cor from orders group by o_custkey")
 def tooltip_lists(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey < 50")
-    own = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))
-    text = F.array_join(F.transform(own, lambda x: F.concat(x["o_orderkey"].cast("string"), F.lit(": "), x["o_orderpriority"])), "; ")
-    return o.groupBy("o_custkey").agg(text.alias("texto")).withColumn("cor", ((F.dense_rank().over(Window.orderBy("o_custkey")) - 1) % 6).cast("int"))
-
-
-@query("tooltip_lists_all", "select o_custkey, string_agg(cast(o_orderkey as varchar) || ': ' || o_orderpriority, '; ' order by o_orderkey) as texto, cast((dense_rank() over (order by o_custkey) - 1) % 6 as int) as cor from orders group by o_custkey")
-def tooltip_lists_all(spark, sf):
-    from sitelens.llm.session import settle
-
     own = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))
     text = F.array_join(F.transform(own, lambda x: F.concat(x["o_orderkey"].cast("string"), F.lit(": "), x["o_orderpriority"])), "; ")
-    groups = table(spark, sf, "orders").groupBy("o_custkey").agg(text.alias("texto"))
-    # the place in the sorted part, after the sizes of the parts before it, is the rank
-    ids = settle(groups.repartitionByRange("o_custkey").sortWithinPartitions("o_custkey").withColumn("id", F.monotonically_increasing_id()))
-    part = F.shiftright("id", 33).cast("int")
-    sizes = sorted((r.part, r.n) for r in ids.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
-    before = [(p, sum(n for _, n in sizes[:k])) for k, (p, _) in enumerate(sizes)]
-    starts = F.broadcast(spark.createDataFrame(before, "part int, before long"))
-    return ids.withColumn("part", part).join(starts, "part").select("o_custkey", "texto", ((F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)) % 6).cast("int").alias("cor"))
+    groups = numbered(table(spark, sf, "orders").select("o_custkey").distinct(), ["o_custkey"])
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(text.alias("texto")).join(groups, "o_custkey").select("o_custkey", "texto", (F.col("place") % 6).cast("int").alias("cor"))
 
 
 @query("set_operations", "select distinct ano, origem from (select cast(year(o_orderdate) as int) as ano, 'pedido' as origem from orders union all select cast(year(l_shipdate) as int), 'envio' from lineitem) x where ano in (select cast(year(o_orderdate) as int) from orders intersect select cast(year(l_shipdate) as int) from lineitem)")
@@ -358,12 +316,13 @@ def set_operations(spark, sf):
 
 @query("band_stretch", "with p as (select quantile_cont(l_quantity, 0.02) as lo, quantile_cont(l_quantity, 0.98) as hi from lineitem) select l_orderkey, l_linenumber, greatest(0, least(1, (l_quantity - lo) / (hi - lo))) as v from lineitem cross join p")
 def band_stretch(spark, sf):
-    li = table(spark, sf, "lineitem")
-    p = li.agg(F.percentile("l_quantity", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
-    return li.join(F.broadcast(p)).select("l_orderkey", "l_linenumber", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("l_quantity") - F.col("p")[0], F.col("p")[1] - F.col("p")[0]))).alias("v"))
+    return R.stretched(table(spark, sf, "lineitem"), "l_quantity", 0.02, 0.98).select("l_orderkey", "l_linenumber", F.col("stretched").alias("v"))
 
 
-@query("polygon_min_area")
+@query("polygon_min_area", """with recursive px as (select l_orderkey % 60 as r, l_partkey % 60 as c, min(l_linenumber) % 3 as classe from lineitem group by 1, 2),
+ n as (select r * 100 + c as id, r, c, classe from px), e as (select a.id as a, b.id as b from n a join n b on a.classe = b.classe and (b.id = a.id + 1 or b.id = a.id - 1 or b.id = a.id + 100 or b.id = a.id - 100)),
+ w as (select id, id as o from n union select e.b, w.o from w join e on w.id = e.a where w.o < e.b), m as (select id, min(o) as o from w group by id),
+ s as (select classe, o, count(*) * 900e0 as area_m2 from n join m on n.id = m.id group by 1, 2) select 1 as scene, classe, sum(area_m2) as area_m2, cast(count(*) as bigint) as n_patches from s where area_m2 >= 1800 group by 2""")
 def polygon_min_area(spark, sf):
     li = table(spark, sf, "lineitem").select(F.lit(1).alias("scene"), (F.col("l_orderkey") % 60).cast("int").alias("row"), (F.col("l_partkey") % 60).cast("int").alias("col"), "l_linenumber")
     px = li.groupBy("scene", "row", "col").agg((F.min("l_linenumber") % 3).alias("classe"))
