@@ -1,4 +1,4 @@
-"""The queries of this subpackage by name, and the SQL of those that SQL can express."""
+"""The queries of this subpackage by name, and the SQL of those that SQL can express: the two whose contract leaves no choice of model, sketch or hash."""
 
 from __future__ import annotations
 
@@ -8,6 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sitelens.llm import fingerprint, langid, maxent, minhash, mixing, passages, pieces, resampling, secrets, vectors
 
+#: Classes by links l (a, b, both ways) among ids: the least id that each reaches.
+_CLASSES = "r as (select id, id as o from ids union select l.b, r.o from r join l on r.id = l.a where r.o < l.b), c as (select id, min(o) as component_id from r group by id)"
+
+_VECTORS = f"""with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+ s as (select * from v where vec_id is not null and label is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+ l as (select a.vec_id as a, b.vec_id as b from s a join s b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id and list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93e0),
+ ids as (select vec_id as id from v), n as (select a, count(*) as n from l group by a), {_CLASSES}
+ select vec_id, cast(coalesce(n.n, 0) as bigint) as n_links, component_id, vec_id = component_id as kept from v join c on v.vec_id = c.id left join n on v.vec_id = n.a"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_SHINGLES = f"""with recursive w as (select doc_id, {_WORDS} as w from documents),
+ s as (select doc_id, case when len(w) >= 2 then list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) else w end as s from w),
+ e as (select doc_id, unnest(s) as g from s), i as (select a.doc_id as a, b.doc_id as b, count(*) as n from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+ l as (select a, b from i join s x on x.doc_id = a join s y on y.doc_id = b where 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+ ids as (select doc_id as id from documents), {_CLASSES}
+ select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join c on s.doc_id = c.id"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (maxent.op1_lm_scoring, pieces.op2_pieces, mixing.op3_mixing, resampling.op4_importance_resampling, fingerprint.op5_fingerprints, langid.op6_language_id, secrets.op7_secret_scan, vectors.op8_embedding_near_dedup, passages.op9_repeated_passages, minhash.op10_minhash_near_dedup)
@@ -15,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_embedding_near_dedup": _VECTORS, "op10_minhash_near_dedup": _SHINGLES}

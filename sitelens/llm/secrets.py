@@ -3,7 +3,8 @@
 Two first-order models over the characters of a token, one of random strings and one of ordinary
 identifiers, are counted from labelled samples: random are what the patterns catch in a bounded sample of
 documents and strings drawn from digests of a counter over the alphabets that keys are written in; ordinary are the other
-tokens of those documents, as they are and in capitals. A token of 16 characters or more whose log-likelihood ratio reaches
+tokens of those documents of less than 16 characters, as they are and in capitals, and their words put together by `_`, `-`, `/` and
+capitals. A token of 16 characters or more whose log-likelihood ratio reaches
 the threshold is added as a span of kind `random`, unless it overlaps a pattern's span. All of it is DataFrame expressions.
 
 Places of matches come from the lengths of the matches and of the gaps between them, in code points, added up in blocks of
@@ -95,13 +96,16 @@ def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> list[float]:
     own = docs.select("text", F.xxhash64(*docs.columns).alias("h"))
     last = own.select("h").orderBy("h").limit(documents).agg(F.max("h")).first()[0]
     sample = own.where(F.col("h") <= F.lit(last)).distinct() if last is not None else own
-    caught = _base(sample).select("text", F.concat("v0", "v1", "v2").alias("caught"))
+    caught = _base(sample).select("h", "text", F.concat("v0", "v1", "v2").alias("caught"))
     secret = caught.select(F.lit(1).alias("label"), F.explode("caught").alias("token")).where(F.length("token") >= 12)
     rest = F.col("text")
     for _, pattern, *_ in KINDS:
         rest = F.regexp_replace(rest, pattern, " ")
-    plain = caught.select(F.explode(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_-]{6,}"), F.lit(0))).alias("token"))
-    plain = plain.select(F.lit(0).alias("label"), F.explode(F.array("token", F.upper("token"), F.initcap("token"))).alias("token"))
+    rest = F.regexp_replace(rest, TOKEN, " ")  # what is long may be random itself: ordinary are short tokens, and words put together
+    tokens = lambda text: F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_-]{6,}"), F.lit(0))
+    plain = caught.select(F.explode(tokens(rest)).alias("token")).select(F.explode(F.array("token", F.upper("token"), F.initcap("token"))).alias("token"))
+    put = caught.where("pmod(h, 8) = 0").select(F.explode(F.array(*[F.translate(rest, " ", x) for x in "_-/"], F.upper(F.translate(rest, " ", "_")), F.translate(F.initcap(rest), " ", ""))).alias("text"))
+    plain = plain.unionAll(put.select(F.explode(tokens(F.col("text"))))).select(F.lit(0).alias("label"), "token")
     digest = F.sha2(F.concat_ws(" ", F.col("id"), F.col("k")), 256)
     drawn = spark.range(1000).select("id", F.posexplode(F.array(*[F.lit(x) for x in DRAWN])).alias("k", "a"))
     drawn = drawn.select(F.lit(1).alias("label"), F.col("a"), digest.alias("d")).select("label", F.expr("array_join(transform(sequence(0, 31), i -> substring(a, int(conv(substring(d, 2 * i + 1, 2), 16, 10)) % length(a) + 1, 1)), '')").alias("token"))
