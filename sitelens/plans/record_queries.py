@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +14,14 @@ from sitelens.operators import graph as G
 from sitelens.operators import match as M
 from sitelens.operators import raster as R
 from sitelens.operators import records as D
-from sitelens.operators.storage import numbered
+from sitelens.operators.storage import numbered, settle
 from sitelens.plans.panel_queries import PANEL, avg, panel, table
 from sitelens.plans.registry import query
 from sitelens.plans.table_queries import _GRID, _HIST, _KNN, PLACES, classes, knn, places
 from sitelens.sources import collections as C
 from sitelens.sources import connectors as K
 from sitelens.sources import files as S
+from sitelens.streaming import incremental as I
 
 SITE = "https://example.org/"
 
@@ -377,3 +380,23 @@ def census_answers(spark, sf):
     county = F.concat(F.lit('{"result": {"geographies": {"Counties": [{"NAME": "condado '), "s_nationkey", F.lit('", "STATE": "06", "COUNTY": "'), F.lpad(F.col("s_nationkey").cast("string"), 3, "0"), F.lit('"}], "States": [{"NAME": "California"}]}}}'))
     rows = table(spark, sf, "supplier").select(k, K.census_parts(F.when(k % 4 != 0, county).otherwise("{}")).alias("c"), K.population_answer(F.when(k % 4 != 0, F.concat(F.lit('[["B01003_001E"], ["'), k * 1000, F.lit('"]]'))).otherwise("[]")).alias("populacao"))
     return rows.select("s_suppkey", "c.municipio", "c.fips", "populacao")
+
+
+@query("changed_inputs", "select o_orderkey from orders where o_orderkey % 3 <> 0 or o_orderkey % 2 = 1")
+def changed_inputs(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderkey", "o_orderpriority"), 256).alias("sha256"))
+    done = o.where("o_orderkey % 3 = 0").withColumn("sha256", F.when(F.col("o_orderkey") % 2 == 0, F.col("sha256")).otherwise("old"))
+    return I.changed(o, done, ["o_orderkey"]).select("o_orderkey")
+
+
+@query("stream_daily_means", "select strftime(ts, '%Y-%m-%d') as dia, event_type, cast(sum(cast(value as decimal(28,6))) as double) / cast(count(value) as double) as mean_v, cast(count(value) as bigint) as n from events group by 1, 2")
+def stream_daily_means(spark, sf):
+    schema = table(spark, sf, "events").schema
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # days are those of the table's local times
+    try:
+        events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf)
+        found = I.drained(I.daily_means(events), f"daily-{uuid.uuid4().hex}")
+        return settle(found.select(F.date_format("window.start", "yyyy-MM-dd").alias("dia"), "event_type", "mean_v", "n"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
