@@ -1,8 +1,9 @@
 """Embedding near-duplicates by tiled comparison in the order of principal components.
 
 Unit vectors are rotated so that their leading coordinates carry most of their length. Cells of the first
-coordinate, as wide as two vectors at the threshold can differ, cut each label into packs of at most about
-PACK vectors; only packs of the same or neighbouring cells meet. A tile of two packs adds up products by
+coordinate, as wide as two vectors at the threshold can differ, cut each label into packs of about
+PACK bytes; only packs of the same or neighbouring cells meet, each once, and what moves for that is a pack, not a tile: two packs
+meet in tiles of SIDE x SIDE vectors. A tile adds up products by
 groups of leading coordinates; what the rest can add is at most the product of the suffix norms, so rows
 and columns that cannot reach the threshold any more are left out, and a tile without any ends. Cosines
 near the threshold are computed again from the vectors as given, in double precision.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from sitelens.llm import session
 
-PACK, GROUP, CLOSE = 1024, 16, 1e-9
+#: Bytes of the vectors of a pack, and vectors of a side of a tile.
+PACK, SIDE, GROUP, CLOSE = 1 << 22, 1024, 16, 1e-9
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -113,18 +115,29 @@ def _compare(threshold: float):
                 sides = [batch.column(i).slice(k, 1).flatten() for i in (1, 2)]
                 same = batch.column(0)[k].as_py()
                 (ia, ca, ua, ra), (ib, cb, ub, rb) = ((s.field("id").to_numpy(), s.field("c").to_numpy(), *(np.stack([np.frombuffer(x.as_buffer()) for x in s.field(f)]) for f in ("unit", "raw"))) for s in sides)
-                cos = tile(ua, ub, threshold)
-                for i, j in np.argwhere(np.abs(cos - threshold) < CLOSE):
-                    cos[i, j] = ra[i] @ rb[j] / (math.sqrt(ra[i] @ ra[i]) * math.sqrt(rb[j] @ rb[j]))
-                link = cos >= threshold
-                if same:
-                    np.fill_diagonal(link, False)
-                i, j = np.nonzero(link)
                 ids = np.concatenate((ia, ib))
-                count = np.concatenate((link @ cb, np.zeros(len(ib), np.int64) if same else ca @ link))
-                root = _span(len(ids), i, (j if same else j + len(ia)))
+                count, edges, shift = np.zeros(len(ids), np.int64), [], 0 if same else len(ia)
+                for x in range(0, len(ia), SIDE):
+                    for y in range(0, len(ib), SIDE):
+                        p, q = slice(x, x + SIDE), slice(y, y + SIDE)
+                        cos = tile(ua[p], ub[q], threshold)
+                        for i, j in np.argwhere(np.abs(cos - threshold) < CLOSE):
+                            u, v = ra[x + i], rb[y + j]
+                            cos[i, j] = u @ v / (math.sqrt(u @ u) * math.sqrt(v @ v))
+                        link = cos >= threshold
+                        if same and x == y:
+                            np.fill_diagonal(link, False)
+                        i, j = np.nonzero(link)
+                        count[x : x + link.shape[0]] += link @ cb[q]
+                        if not same:
+                            count[len(ia) + y : len(ia) + y + link.shape[1]] += ca[p] @ link
+                        root = _span(sum(link.shape), i, j + link.shape[0])
+                        at = np.flatnonzero(root != np.arange(len(root)))
+                        place = np.concatenate((np.arange(x, x + link.shape[0]), np.arange(y, y + link.shape[1]) + shift))
+                        edges.append(np.stack((place[at], place[root[at]])))
+                root = _span(len(ids), *np.concatenate(edges, axis=1))
                 some = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some].astype(np.int64)), pa.array(ids[root[some]])], ["id", "n", "to"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some]), pa.array(ids[root[some]])], ["id", "n", "to"])
 
     return run
 
@@ -139,7 +152,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
     width = math.sqrt(2 * (1 - threshold)) + 1e-6
     turned = session.settle(distinct.mapInArrow(_rotate(shared, width), f"label {distinct.schema['label'].dataType.simpleString()}, id long, c long, dim int, cell int, unit binary, raw binary"))
     sizes = turned.groupBy("label", "dim", "cell").agg(F.count("*").alias("m"))
-    packed = turned.join(sizes, ["label", "dim", "cell"]).withColumn("pack", F.expr(f"int(pmod(xxhash64(id), ceil(m / {PACK})))"))
+    packed = turned.join(sizes, ["label", "dim", "cell"]).withColumn("pack", F.expr(f"int(pmod(xxhash64(id), ceil(m * dim * 16 / {PACK})))"))
     packs = session.settle(packed.groupBy("label", "dim", "cell", "pack").agg(F.collect_list(F.struct("id", "c", "unit", "raw")).alias("members")))
     x, y = packs.alias("x"), packs.alias("y")
     meet = F.expr("x.label = y.label and x.dim = y.dim and (x.cell = y.cell and x.pack <= y.pack or x.cell + 1 = y.cell)")

@@ -155,7 +155,23 @@ def test_secrets(docs, texts):
     assert "AKIA" not in masked[10].text and masked[10].n_chars == len(masked[10].text) and masked[60].text is None
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("side, pack", [(1024, 1 << 22), (7, 1500)])
+def test_embeddings(spark, monkeypatch, side, pack):
+    monkeypatch.setattr(vectors, "PACK", pack)
+    small = vectors._compare
+
+    def compare(threshold):
+        run = small(threshold)
+
+        def with_side(batches):
+            from sitelens.llm import vectors as own
+
+            own.SIDE = side
+            yield from run(batches)
+
+        return with_side
+
+    monkeypatch.setattr(vectors, "_compare", compare)
     session.workers_find_package(spark)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8)], i % 3) for i in range(80)]
