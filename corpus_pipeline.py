@@ -19,8 +19,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     session.workers_find_package(spark)
     model = langid.train(docs.where(~langid.held_out()).select("lang", "text"))
-    found = langid.predict(docs.select("text", F.struct("*").alias("row")), model)
-    return found.where(f"lang_pred <> 'und' and score >= {CONFIDENCE}").select("row.*")
+    own = {c: f"_{k}" for k, c in enumerate(docs.columns)}  # names that the prediction's cannot clash with; rows carry each text once
+    found = langid.predict(docs.toDF(*own.values()), model, own["text"])
+    return found.where(f"lang_pred <> 'und' and score >= {CONFIDENCE}").select([F.col(k).alias(c) for c, k in own.items()])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
