@@ -223,3 +223,30 @@ def test_very_long_texts_and_clashing_columns(spark):
     for f in (maxent.score, mixing.apply, lambda d: resampling.select(d, labels), fingerprint.compare_edited, langid.identify, secrets.report):
         assert f(docs).count() == 4
     assert secrets.masked(docs).columns == docs.columns and secrets.masked(docs).where("score = 'q'").count() == 4
+
+
+def test_stages_keep_columns_nulls_and_repeats(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(10)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    en, de = "the and river stone walk night house with some more words here".split(), "der und fluss stein nacht haus gehen mit einige worte hier noch".split()
+    a, b = say(en, 80), say(de, 90)
+    rows = [(k, say(en if k % 2 else de, 60), "en" if k % 2 else "de") for k in range(20, 40)]
+    rows += [(1, a, "en"), (1, a, "en"), (1, b, "de"), (2, a, "en"), (None, a, "en"), (None, None, None), (3, "", None), (4, "1234", "en"), (5, f"{say(en, 30)} password=abcdefgh1234567", "en")]
+    docs = spark.createDataFrame([(*r, "src0", len(r[1] or ""), "p", 0.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double").repartition(3)
+    one = session.settle(C.language(spark, docs, ""))
+    assert one.columns == docs.columns and one.where("score <> 0 or lang_pred <> 'p'").isEmpty()
+    texts = Counter((r.doc_id, r.text) for r in one.collect())
+    assert texts == Counter((i, t) for i, t, _ in rows if t not in (None, "", "1234"))
+    two = session.settle(C.near_copies(spark, one, ""))
+    left = Counter((r.doc_id, r.text) for r in two.collect())
+    assert two.columns == docs.columns and left == Counter({k: 1 for k in texts if k[0] != 2})
+    three = session.settle(C.mask_secrets(spark, two, ""))
+    assert three.columns == docs.columns and three.count() == two.count() and "abcdefgh1234567" not in three.where("doc_id = 5").first().text
+    four = session.settle(C.mix(spark, three, ""))
+    assert four.columns == docs.columns and set(four.select("text").collect()) <= set(three.select("text").collect())
+    five = C.tokens(spark, four, "")
+    assert five.count() == four.count() and five.where("n_tokens <> size(ids)").isEmpty()
+    for k, (_, stage) in enumerate(C.STAGES):
+        assert stage(spark, docs.where("false"), "").count() == 0
