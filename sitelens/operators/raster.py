@@ -169,7 +169,7 @@ def area_series(counts: DataFrame, factors: DataFrame, resolution: float) -> Dat
 
     factors has classe, tratamento, site, fator; a class or site without one has factor 1.
     """
-    joined = counts.join(F.broadcast(factors), ["classe", "site"], "left")
+    joined = counts.join(factors, ["classe", "site"], "left")
     factor, band = series_band(F.col("sensor"), F.col("ano"), F.col("tratamento"), F.col("fator"))
     m2 = F.col("n").cast("double") * F.lit(resolution * resolution)
     out = joined.withColumns({"area_m2": m2, "area_ha": m2 / F.lit(10000.0), "pct_validos": F.try_divide(F.col("n").cast("double") * F.lit(100.0), F.col("n_valid")), "fator_correcao_sensor": factor, "faixa_serie": band})

@@ -147,7 +147,8 @@ _FACTORS = [(3, "b", 1.25), (4, "c", 0.9), (1, "b", 1.1)]
 def area_series(spark, sf):
     counts = classes(spark, sf).select("site", (F.col("ano") + 22).cast("int").alias("ano"), F.when(F.col("site") % 2 == 0, "landsat").otherwise("sentinel2").alias("sensor"), "classe", "n", "n_valid")
     sites = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site")).where("site % 3 = 0")
-    factors = spark.createDataFrame(_FACTORS, "classe int, tratamento string, fator double").crossJoin(sites)
+    one = F.array(*[F.struct(F.lit(c).alias("classe"), F.lit(t).alias("tratamento"), F.lit(f).alias("fator")) for c, t, f in _FACTORS])
+    factors = sites.select("site", F.inline(one))
     return R.area_series(counts, factors, 30.0)
 
 
