@@ -51,6 +51,11 @@ def settle_by(df: DataFrame, key: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect what is finished, so that Spark removes the shuffles of steps whose results are settled."""
+    spark._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Removes a settled table that nothing reads any more."""
     path = getattr(df, "_settled", None)
