@@ -3,9 +3,12 @@
 A token is a word or a text's end. The HEAD most frequent tokens are grouped by frequency into classes of
 SIDE tokens; all others fall into TAIL classes by a hash of their last two bytes, lower-cased. A token's probability is that of its
 class given the context, a softmax over hashed features, times that of the token in its class: a second softmax
-for head classes, (count + 1) / (tokens + types + 1) of the class for tail ones, whose last unit is for unseen words.
-Features are the previous token, the one before it (a skip), and both together, each a head token or else only a tail
-class; tables and head have one size for every corpus (the README has held-out figures of wider models).
+for head classes; in tail ones a softmax for each digit (base SIDE) of the token's hash, given the digits before it, down to a
+leaf, and (count + 1) / (tokens + types + 1) of the leaf, whose last unit is for unseen words. Digits grow in number with the counted
+vocabulary, so that a leaf has LEAF words on average, up to LEAVES leaves.
+Features are the previous token and the one before it (a skip), each by its own hash, so every word is a context, and both
+together, each a head token or else its tail class (pairs by their own hashes predict held-out texts worse, as most are met once). Digits
+look at the previous token alone. Weight tables have at most BUCKETS and INNER rows, fewer for few training tokens; features that meet in a row share it.
 
 Counts cover all training tokens. The gradient updates go over all training tokens too: in each round every task
 starts from the broadcast weights, takes AdaGrad steps over its mini-batches of the round's share of documents, and
@@ -22,19 +25,24 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.llm import session, text
 
 HEAD, SIDE, TAIL = 128, 16, 24
 CLASSES = HEAD // SIDE + TAIL
-BUCKETS, INNER = 1 << 14, 1 << 15
+BUCKETS, INNER = 1 << 17, 1 << 18
 HEAVY = 1 << 21
+#: Words a leaf of the tail has on average, and the most leaves.
+LEAF, LEAVES = 16, 1 << 21
+#: Partitions that one learning task takes, if there are enough for all cores.
+JOINED = 8
 RATES = (0.2, 0.1, 0.05)
 BATCH = 8192
 FLUSH = 1 << 20
 END = np.uint64(0x1234567890ABCDEF)
+_BITS = SIDE.bit_length() - 1
 _OUTER_PARTS, _INNER_PARTS = 16, 16
 
 
@@ -84,20 +92,36 @@ def _count(batches):
         yield rows(merged())
 
 
+def leaf(h, tail, depth: int):
+    """The leaf of each tail token: its class and the first digits of its hash; of numpy arrays or Spark columns."""
+    out = tail
+    for k in range(depth):
+        digit = F.shiftrightunsigned(h, _BITS * k).bitwiseAND(F.lit(SIDE - 1)) if isinstance(h, Column) else ((h >> np.uint64(_BITS * k)) & np.uint64(SIDE - 1)).astype(np.int64)
+        out = out * SIDE + digit
+    return out
+
+
 class Model:
-    """Head tokens, class totals and weights; what a task needs to learn or score."""
+    """Head tokens, leaf totals and weights; what a task needs to learn or score.
 
-    def __init__(self, head: np.ndarray, head_counts: np.ndarray, tail_tokens: np.ndarray, tail_types: np.ndarray):
+    tail_tokens and tail_types are by leaf, TAIL * SIDE ** depth of them.
+    """
+
+    def __init__(self, head: np.ndarray, head_counts: np.ndarray, tail_tokens: np.ndarray, tail_types: np.ndarray, buckets: int = BUCKETS, inner: int = INNER):
         order = np.argsort(head)
         self.head, self.order = head[order], order
         counts = np.zeros(HEAD)
         counts[: len(head)] = head_counts
         own = counts.reshape(-1, SIDE)
-        self.bias = np.log(np.concatenate((own.sum(axis=1), tail_tokens)) + 1).astype(np.float32)
-        self.inner_bias = np.log(own + 1).astype(np.float32)
+        self.bias = np.log(np.concatenate((own.sum(axis=1), tail_tokens.reshape(TAIL, -1).sum(axis=1))) + 1).astype(np.float32)
+        self.depth, levels = 0, [own]
+        while TAIL * SIDE**self.depth < len(tail_tokens):
+            levels.append(tail_tokens.reshape(TAIL * SIDE**self.depth, SIDE, -1).sum(axis=2))
+            self.depth += 1
+        self.inner_bias = np.log(np.concatenate(levels) + 1).astype(np.float32)
         self.tail_log = np.log10(tail_tokens + tail_types + 1)
-        self.outer = np.zeros((BUCKETS, CLASSES), np.float32)
-        self.inner = np.zeros((INNER, SIDE), np.float32)
+        self.outer = np.zeros((buckets, CLASSES), np.float32)
+        self.inner = np.zeros((inner, SIDE), np.float32)
 
     def place(self, h: np.ndarray) -> np.ndarray:
         """The number of each head token, -1 for others."""
@@ -108,16 +132,34 @@ class Model:
     def features(self, h: np.ndarray, rows: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashed features (tokens x 3), class, and number in the class (-1 in tail classes)."""
         place = self.place(h)
-        ident = np.where(place >= 0, place, HEAD + tail) + 1
-        back = [np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)]
+        ident = np.where(place >= 0, place, HEAD + tail).astype(np.uint64) + np.uint64(1)
+        back = np.zeros((4, len(h)), np.uint64)
         for k in (1, 2):
             same = rows[k:] == rows[:-k]
-            back[k - 1][k:][same] = ident[:-k][same]
-        one, two = back
-        keys = np.stack((one, two + 1000, one * 1000 + two + 1_000_000), axis=1).astype(np.uint64)
+            back[k - 1, k:][same] = h[:-k][same]
+            back[k + 1, k:][same] = ident[:-k][same]
+        one, two, near, far = back
+        keys = np.stack((one, text.mix(two + np.uint64(1)), near * np.uint64(1000) + far + np.uint64(1_000_000)), axis=1)
         kind = np.where(place >= 0, place // SIDE, HEAD // SIDE + tail)
         return text.mix(keys), kind, np.where(place >= 0, place % SIDE, -1)
 
+    def leaf(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """The leaf of each tail token: its class and the digits of its hash."""
+        return leaf(h, tail, self.depth)
+
+    def choices(self, f: np.ndarray, kind: np.ndarray, side: np.ndarray, h: np.ndarray | None):
+        """The choices that lead from a class to a token, or to its leaf: features that count, place of the token, node (a row of the inner bias), and what is chosen."""
+        at = np.flatnonzero(side >= 0)
+        yield f[at], at, kind[at], side[at]
+        if h is None:
+            return
+        rest = np.flatnonzero(side < 0)
+        node, first = kind[rest] - HEAD // SIDE, HEAD // SIDE
+        for k in range(self.depth):
+            digit = ((h[rest] >> np.uint64(_BITS * k)) & np.uint64(SIDE - 1)).astype(np.int64)
+            yield f[rest, :1], rest, first + node, digit
+            first, node = first + TAIL * SIDE**k, node * SIDE + digit
+
     @staticmethod
     def _soft(x: np.ndarray) -> np.ndarray:
         x -= x.max(axis=1, keepdims=True)
@@ -126,10 +168,10 @@ class Model:
         return x
 
     def outer_rows(self, f: np.ndarray) -> np.ndarray:
-        return (f >> np.uint64(50)).astype(np.int64)
+        return (f >> np.uint64(65 - len(self.outer).bit_length())).astype(np.int64)
 
     def inner_rows(self, f: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        return (text.mix(f + kind[:, None].astype(np.uint64)) >> np.uint64(49)).astype(np.int64)
+        return (text.mix(f + kind[:, None].astype(np.uint64)) >> np.uint64(65 - len(self.inner).bit_length())).astype(np.int64)
 
     def spread(self, table: np.ndarray, at: np.ndarray, bias: np.ndarray) -> np.ndarray:
         x = table[at[:, 0]]
@@ -137,17 +179,16 @@ class Model:
             x += table[at[:, k]]
         return self._soft(x + bias)
 
-    def log10(self, f: np.ndarray, kind: np.ndarray, side: np.ndarray) -> np.ndarray:
-        """log10 of each token's class, and token in a head class, given its features."""
+    def log10(self, f: np.ndarray, kind: np.ndarray, side: np.ndarray, h: np.ndarray | None = None) -> np.ndarray:
+        """log10 of each token's class, and token in a head class or, with tokens' hashes, leaf in a tail class, given its features."""
         out = np.empty(len(kind))
         for a in range(0, len(kind), BATCH):
             b = slice(a, a + BATCH)
             p = self.spread(self.outer, self.outer_rows(f[b]), self.bias)
             own = p[np.arange(len(p)), kind[b]].astype(float)
-            head = np.flatnonzero(side[b] >= 0)
-            if len(head):
-                q = self.spread(self.inner, self.inner_rows(f[b][head], kind[b][head]), self.inner_bias[kind[b][head]])
-                own[head] *= q[np.arange(len(q)), side[b][head]]
+            for g, token, node, to in self.choices(f[b], kind[b], side[b], None if h is None else h[b]):
+                q = self.spread(self.inner, self.inner_rows(g, node), self.inner_bias[node])
+                own[token] *= q[np.arange(len(q)), to]
             out[b] = np.log10(np.maximum(own, 1e-30))
         return out
 
@@ -160,57 +201,66 @@ class _Learner:
         self.power, self.met = np.zeros(len(table), np.float32), np.zeros(len(table), np.int64)
 
     def step(self, at: np.ndarray, error: np.ndarray) -> None:
-        flat = at.T.ravel()
-        order = np.argsort(flat, kind="stable")
-        own = flat[order]
+        flat = at.T.ravel().astype(np.int32)
+        order = np.argsort(flat)
+        own, order = flat[order], order % len(error)
         first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        slope = np.add.reduceat(error[order % len(error)], first, axis=0)
-        rows = own[first]
-        self.power[rows] += (slope * slope).mean(axis=1)
-        self.table[rows] -= (self.rate / np.sqrt(self.power[rows] + 1e-6))[:, None] * slope
-        self.met[rows] += np.diff(np.concatenate((first, [len(own)])))
+        rows, times = own[first], np.diff(np.concatenate((first, [len(own)])))
+        slope = error[order[first]]
+        again = np.flatnonzero(times > 1)  # most rows are met once
+        if len(again):
+            part = error[order[np.repeat(times > 1, times)]]
+            slope[again] = np.add.reduceat(part, np.cumsum(times[again]) - times[again], axis=0)
+        power = self.power[rows] + np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
+        self.power[rows] = power
+        slope *= (self.rate / np.sqrt(power + 1e-6))[:, None]
+        self.table[rows] -= slope
+        self.met[rows] += times
 
     def parts(self, name: int, n: int):
         for k, at in enumerate(np.array_split(np.arange(len(self.table)), n)):
             if self.met[at].any():
-                yield name, k, self.met[at].astype(float).tobytes(), ((self.table[at] - self.start[at]) * self.met[at][:, None]).astype(np.float64).tobytes()
+                yield name, k, self.met[at].astype(np.float32).tobytes(), (self.table[at] - self.start[at]).astype(np.float16).tobytes()
 
 
-def _learn(shared, rate: float):
+def _learn(shared, rate: float, salts: int):
     def run(batches):
         model = shared.value
         outer, inner = _Learner(model.outer, rate), _Learner(model.inner, rate)
         model.outer, model.inner = outer.table, inner.table
         for batch in batches:
             for _, _, data, offs in text.pieces(batch.column(0)):
-                f, kind, side = model.features(*tokens(data, offs))
+                h, rows, tail = tokens(data, offs)
+                f, kind, side = model.features(h, rows, tail)
                 for a in range(0, len(kind), BATCH):
                     b = slice(a, a + BATCH)
                     at = model.outer_rows(f[b])
                     p = model.spread(model.outer, at, model.bias)
                     p[np.arange(len(p)), kind[b]] -= 1
                     outer.step(at, p)
-                    head = np.flatnonzero(side[b] >= 0)
-                    if len(head):
-                        own = kind[b][head]
-                        at = model.inner_rows(f[b][head], own)
-                        p = model.spread(model.inner, at, model.inner_bias[own])
-                        p[np.arange(len(p)), side[b][head]] -= 1
-                        inner.step(at, p)
+                    for g, _, node, to in model.choices(f[b], kind[b], side[b], h[b]):
+                        if len(node):
+                            at = model.inner_rows(g, node)
+                            p = model.spread(model.inner, at, model.inner_bias[node])
+                            p[np.arange(len(p)), to] -= 1
+                            inner.step(at, p)
         model.outer, model.inner = outer.start, inner.start
         rows = [*outer.parts(0, _OUTER_PARTS), *inner.parts(1, _INNER_PARTS)]
         if rows:
             name, k, met, change = zip(*rows)
-            salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % 32
+            salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % salts
             yield pa.RecordBatch.from_arrays([pa.array(name, pa.int32()), pa.array(k, pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array(met, pa.binary()), pa.array(change, pa.binary())], ["name", "part", "salt", "met", "change"])
 
     return run
 
 
 def _sum(table: pa.Table) -> pa.Table:
+    """The mean of changes, by how often tasks met their rows."""
     met = change = 0
     for a, b in zip(table.column("met"), table.column("change")):
-        met, change = met + np.frombuffer(a.as_buffer()), change + np.frombuffer(b.as_buffer())
+        own = np.frombuffer(a.as_buffer(), np.float32)
+        met, change = met + own, change + np.frombuffer(b.as_buffer(), np.float16).reshape(len(own), -1) * own[:, None]
+    change = (change / np.maximum(met, 1)[:, None]).astype(np.float16)
     return table.slice(0, 1).select(["name", "part", "salt"]).append_column("met", pa.array([met.tobytes()], pa.binary())).append_column("change", pa.array([change.tobytes()], pa.binary()))
 
 
@@ -221,21 +271,32 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     end = counts.where(F.col("h") == int(END.view(np.int64))).agg(F.sum("c").alias("c")).first().c or 0
     ranked = sorted([(r.c, r.h) for r in top] + [(end, int(END.view(np.int64)))], key=lambda x: (-x[0], x[1]))
     head = np.array([h for _, h in ranked], np.int64)
-    tail_tokens, tail_types = np.zeros(TAIL), np.zeros(TAIL)
-    for r in counts.where(~F.col("h").isin(head.tolist())).groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        tail_tokens[r.tail], tail_types[r.tail] = r.c, r.v
-    model = Model(head.view(np.uint64), np.array([c for c, _ in ranked], float), tail_tokens, tail_types)
+    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    depth = 0
+    while TAIL * SIDE**depth * LEAF < types and TAIL * SIDE ** (depth + 1) <= LEAVES:
+        depth += 1
+    tail_tokens, tail_types = np.zeros(TAIL * SIDE**depth), np.zeros(TAIL * SIDE**depth)
+    found = counts.where(~F.col("h").isin(head.tolist())).groupBy(leaf(F.col("h"), F.col("tail").cast("long"), depth).alias("leaf")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).toArrow()
+    at = found.column("leaf").to_numpy()
+    tail_tokens[at], tail_types[at] = found.column("c").to_numpy(), found.column("v").to_numpy()
+    rows = 1 << max(12, int(total).bit_length() - 2)
+    model = Model(head.view(np.uint64), np.array([c for c, _ in ranked], float), tail_tokens, tail_types, min(BUCKETS, rows), min(INNER, 2 * rows))
+    tasks = max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // JOINED)
+    salts = max(1, tasks // 32)
     schema = "name int, part int, salt int, met binary, change binary"
     for k, rate in enumerate(RATES):
         shared = spark.sparkContext.broadcast(model)
-        own = docs.where(F.pmod(F.xxhash64("text"), F.lit(len(RATES))) == k).select("text")
-        sums = own.mapInArrow(_learn(shared, rate), schema).groupBy("name", "part", "salt").applyInArrow(_sum, schema)
-        for r in sums.groupBy("name", "part").applyInArrow(_sum, schema).collect():
+        own = docs.where(F.pmod(F.xxhash64("text"), F.lit(len(RATES))) == k).select("text").coalesce(tasks)
+        sums = own.mapInArrow(_learn(shared, rate, salts), schema)
+        for names in ([["name", "part", "salt"]] if salts > 1 else []) + [["name", "part"]]:
+            sums = sums.groupBy(*names).applyInArrow(_sum, schema)
+        for r in sums.collect():
             table, n = ((model.outer, _OUTER_PARTS), (model.inner, _INNER_PARTS))[r.name]
             at = np.array_split(np.arange(len(table)), n)[r.part]
-            met = np.frombuffer(r.met)
-            table[at] += (np.frombuffer(r.change).reshape(len(at), -1) / np.maximum(met, 1)[:, None]).astype(np.float32)
+            table[at] += np.frombuffer(r.change, np.float16).reshape(len(at), -1).astype(np.float32)
         shared.unpersist()
+        del own, sums
+        session.release(spark)
     return model
 
 
@@ -249,12 +310,12 @@ def _score(shared):
                 n = to - at
                 h, rows, tail = tokens(data, offs)
                 f, kind, side = model.features(h, rows, tail)
-                own = model.log10(f, kind, side)
+                own = model.log10(f, kind, side, h)
                 place = np.searchsorted(heavy, h)
                 place[place == len(heavy)] = 0
                 known = heavy[place] == h if len(heavy) else np.zeros(len(h), bool)
                 count_log = np.where(known, logs[place], 0.0) if len(heavy) else np.zeros(len(h))
-                own += np.where(side >= 0, 0.0, count_log - model.tail_log[tail])
+                own += np.where(side >= 0, 0.0, count_log - model.tail_log[model.leaf(h, tail)])
                 rare = ~known
                 cuts = np.concatenate(([0], np.cumsum(np.bincount(rows[rare], minlength=n)))).astype(np.int32)
                 sums = [np.bincount(rows, weights=x, minlength=n) for x in (count_log, own)]

@@ -83,6 +83,35 @@ def test_lm_probabilities_add_up():
     assert abs(total - 1) < 1e-5
 
 
+def test_lm_probabilities_of_leaves_add_up():
+    m = maxent.Model(np.arange(1, maxent.HEAD + 1, dtype=np.uint64), np.arange(maxent.HEAD, 0, -1.0), np.full(maxent.TAIL * maxent.SIDE**2, 3.0), np.full(maxent.TAIL * maxent.SIDE**2, 2.0))
+    rng = np.random.default_rng(2)
+    m.inner += rng.normal(size=m.inner.shape).astype(np.float32)
+    n = maxent.SIDE**2
+    f = np.repeat(rng.integers(0, 2**63, (1, 3)).astype(np.uint64), n, axis=0)
+    kind = np.full(n, maxent.HEAD // maxent.SIDE + 5)
+    h, none = np.arange(n).astype(np.uint64), np.full(n, -1)
+    assert np.array_equal(np.sort(m.leaf(h, np.full(n, 5))), 5 * n + np.arange(n))
+    assert math.isclose((10 ** m.log10(f, kind, none, h)).sum(), 10 ** m.log10(f[:1], kind[:1], none[:1])[0], rel_tol=1e-4)
+
+
+def test_lm_learns_pairs_of_words_outside_the_head(spark):
+    """400 pairs of rare words among more common ones: each is likelier in its own pair than in another's."""
+    session.workers_find_package(spark)
+    rng = random.Random(31)
+    common, pairs = [f"c{k}" for k in range(maxent.HEAD + 40)], [(f"l{k}left", f"r{k}right") for k in range(400)]
+    say = lambda own: " ".join(x for a, b in own for x in (a, b, rng.choice(common), rng.choice(common)))
+    rows = [(k, say(rng.choices(pairs, k=40))) for k in range(1500)]
+    held = [k for k in range(10_000, 12_000) if zlib.crc32(str(k).encode()) % 7 == 2][:60]
+    for k in range(0, 60, 2):
+        own = rng.choices(pairs, k=40)
+        told = say(own)
+        turned = dict(zip((b for _, b in pairs), (b for _, b in pairs[7:] + pairs[:7])))
+        rows += [(held[k], told), (held[k + 1], " ".join(turned.get(x, x) for x in told.split()))]
+    got = {r.doc_id: r.score for r in maxent.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert sum(got[held[k]] - got[held[k + 1]] for k in range(0, 60, 2)) / (30 * 40) > 0.5
+
+
 def test_pieces_round_trip_and_best_score(docs, texts):
     for r in pieces.encode(docs).collect():
         assert r.decoded == texts[r.doc_id] and (r.ids is None) == (texts[r.doc_id] is None)
