@@ -269,6 +269,26 @@ def test_fuzzy_passages_have_seeds(spark):
             assert got[d, r].last_word - got[d, r].first_word >= 50 and got[d, r].identity >= 0.8
 
 
+def test_every_k_mer_is_a_seed_of_one_pass(spark):
+    """Also a copy of 50 words with every fifth one changed none of whose common k-mers has a hash that 3 divides."""
+    session.workers_find_package(spark)
+    rng = random.Random(33)
+    rows = []
+    while len(rows) < 6:
+        own = [f"w{rng.randrange(10**9)}" for _ in range(51)]
+        data = " ".join(own).encode()
+        mers = passages._mers(passages.text.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0], np.zeros(51, np.int64), passages.K)[0]
+        if len(rows) < 2 and not any(mers[k] % 3 == 0 for k in range(0, 48, 5)) or len(rows) >= 2:
+            k = len(rows)
+            rows += [(k, " ".join(own)), (k + 1, " ".join(f"x{k}y{j}" if j % 5 == 4 else w for j, w in enumerate(own)))]
+    got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (1, 0) in got
+    data = " ".join(w for _, t in rows for w in t.split()).encode()
+    one, offs = np.frombuffer(data, np.uint8), np.array([0, len(data)])
+    places = [passages.seeds(one, offs, k)[2] for k in range(passages.PASSES)]
+    assert sorted(np.concatenate(places).tolist()) == list(range(len(data.split()) - passages.K + 1)) == sorted(passages.seeds(one, offs)[2].tolist())
+
+
 def test_parts_cover_every_agreeing_stretch():
     rng = np.random.default_rng(3)
     for _ in range(60):
