@@ -12,8 +12,8 @@ any size is spread over as many tasks as its share asks for. After it, what is k
 rows): for the at most HOT buckets that hold more than a share of 1 / HOT of all rows these are broadcast, and the
 rows of such a bucket stay where they are; all others are joined.
 
-Sets are written once, in buckets of their id, so no confirmation moves them all: a pair moves one of its two sets, and the
-set that many are compared to is copied once per SALTED of them, so no task meets all of them.
+Sets are written once, in buckets of their id, so no confirmation moves them all, and only texts that share a bucket (and a few that a table of
+bits lets through) move for that: a pair moves one of its two sets, and the set that many are compared to is copied once per SALTED of them, so no task meets all of them.
 
 Candidates are confirmed on full sets, without all pairs of a group: each band bucket's smallest
 document is compared to the rest and components are formed; documents in other components are compared to a
@@ -29,6 +29,7 @@ and memory follows the longest one. An empty table gives no rows. Other columns
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -233,20 +234,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.join(F.broadcast(mark), "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     met = session.settle(_by_bucket(rows, pivot).select("bucket", "id", "n", "hot", F.col("p.id").alias("p"), F.col("p.n").alias("pn")))
     alike = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
-    ids = met.select("id").distinct()
-    sets = session.settle_by(slim.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_full_sets(width), "id long, values binary"), "id")
+    ids = session.settle(met.select("id").distinct())
+    sets = session.settle_by(session.sift(slim, "id", ids)[0].join(ids.hint("merge"), "id", "left_semi").mapInArrow(_full_sets(width), "id long, values binary"), "id")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = session.settle(pairs.distinct())
-        size = pairs.groupBy("b").agg(F.count("*").alias("c"))
-        hot = size.where(F.col("c") * HOT > F.lit(pairs.count())).select("b", F.ceil(F.col("c") / SALTED).cast("int").alias("salts"))
-        salts = F.coalesce("salts", F.lit(1))
-        salted = pairs.join(F.broadcast(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"))
-        asked = size.join(F.broadcast(hot), "b", "left").select("b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-        left = salted.join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a")
-        right = asked.join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b")
-        both = left.join(right, ["b", "salt"])
-        return session.settle(both.select("a", "b", "va", "vb").mapInArrow(_confirm(percent), "a long, b long"))
+        n = pairs.count()
+        if not n:
+            return pairs
+        hot = pairs.groupBy("b").agg(F.count("*").alias("c")).where(f"c > {SALTED} and c * {HOT} > {n}")
+        hot = session.settle(hot.select("b", F.ceil(F.col("c") / SALTED).cast("int").alias("salts")))
+        va, vb = sets.select(F.col("id").alias("a"), F.col("values").alias("va")), sets.select(F.col("id").alias("b"), F.col("values").alias("vb"))
+        if hot.isEmpty():
+            both = pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb")
+        else:
+            marked = pairs.join(F.broadcast(hot), "b", "left").join(va, "a")
+            both = marked.where("salts is null").join(vb, "b").select("a", "b", "va", "vb")
+            left = marked.where("salts is not null").select("a", "b", "va", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"))
+            right = vb.join(F.broadcast(hot), "b").select("b", "vb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+            both = both.unionByName(left.join(right, ["b", "salt"]).select("a", "b", "va", "vb"))
+        return session.settle(both.mapInArrow(_confirm(percent), "a long, b long"))
 
     first = met.where(f"id <> p and {alike}").select(F.col("id").alias("a"), F.col("p").alias("b"))
     links = confirmed(first)
@@ -264,30 +271,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return session.settle(session.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more)))
 
     rows = still_open()
-    drawn = rows.groupBy("bucket", "hot").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "comp")).alias(f"d{k}") for k in range(PIVOTS)])
-    drawn = drawn.select("bucket", "hot", F.explode(F.array_distinct(F.transform(F.array(*[f"d{k}" for k in range(PIVOTS)]), lambda d: d.dropFields("h")))).alias("d"))
-    near = _by_bucket(rows, drawn).where(f"comp <> d.comp and 100 * least(n, d.n) >= {percent} * greatest(n, d.n)")
-    found = joined(near.select(F.col("id").alias("a"), F.col("d.id").alias("b")))
-    rows = still_open()
-    size = rows.groupBy("bucket", "hot", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    size = size.groupBy("bucket", "hot").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.sum("c").alias("m"), F.max("c").alias("c"), F.sum("s").alias("s"), F.max_by("s", F.struct("c", "comp")).alias("bs"))
-    packs = lambda s, m: F.expr(f"int(greatest(1, ceil(({s}) / {PACK}), ceil(({m}) / {MEMBERS})))")
-    size = session.settle(size.withColumns({"many": F.expr(f"m * (m - c) > {PAIRS}"), "outer": packs("s - bs", "m - c"), "all": packs("s", "m")}))
-    rows = session.settle(_by_bucket(rows, size.select("bucket", "hot", "big", "many", "outer", "all")))
-    few = rows.where("not many")
-    cross = few.alias("x").join(few.alias("y"), F.expr(f"x.bucket = y.bucket and x.comp < y.comp and x.id <> x.p and y.id <> y.p and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    last = confirmed(cross.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")))
-    many = rows.where("many").join(sets, "id")
-
-    def packed(side: DataFrame, count: str, name: str) -> DataFrame:
-        own = side.withColumn(name, F.expr(f"int(pmod(xxhash64(id), `{count}`))"))
-        return session.settle(own.groupBy("bucket", name).agg(F.collect_list(F.struct("comp", "values")).alias(f"{name}s")))
-
-    left, right = packed(many.where("comp <> big"), "outer", "l"), packed(many, "all", "r")
-    tiles = size.where("many").select("bucket", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("l"), "all").select("bucket", "l", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("r"))
-    dense = session.settle(tiles.join(left, ["bucket", "l"]).join(right, ["bucket", "r"]).select("ls", "rs").mapInArrow(_confirm_packs(percent), "a long, b long"))
-    last = last.unionAll(dense.distinct())
-    merged = found if last.isEmpty() else session.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(last))
+    if not rows.isEmpty():
+        drawn = rows.groupBy("bucket", "hot").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "comp")).alias(f"d{k}") for k in range(PIVOTS)])
+        drawn = drawn.select("bucket", "hot", F.explode(F.array_distinct(F.transform(F.array(*[f"d{k}" for k in range(PIVOTS)]), lambda d: d.dropFields("h")))).alias("d"))
+        near = _by_bucket(rows, drawn).where(f"comp <> d.comp and 100 * least(n, d.n) >= {percent} * greatest(n, d.n)")
+        found = joined(near.select(F.col("id").alias("a"), F.col("d.id").alias("b")))
+        rows = still_open()
+    last = []
+    if not rows.isEmpty():
+        size = rows.groupBy("bucket", "hot", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        size = size.groupBy("bucket", "hot").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.sum("c").alias("m"), F.max("c").alias("c"), F.sum("s").alias("s"), F.max_by("s", F.struct("c", "comp")).alias("bs"))
+        packs = lambda s, m: F.expr(f"int(greatest(1, ceil(({s}) / {PACK}), ceil(({m}) / {MEMBERS})))")
+        size = session.settle(size.withColumns({"many": F.expr(f"m * (m - c) > {PAIRS}"), "outer": packs("s - bs", "m - c"), "all": packs("s", "m")}))
+        rows = session.settle(_by_bucket(rows, size.select("bucket", "hot", "big", "many", "outer", "all")))
+        few = rows.where("not many")
+        cross = few.alias("x").join(few.alias("y"), F.expr(f"x.bucket = y.bucket and x.comp < y.comp and x.id <> x.p and y.id <> y.p and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
+        last.append(confirmed(cross.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))))
+        if not size.where("many").isEmpty():
+            many = rows.where("many").join(sets, "id")
+
+            def packed(side: DataFrame, count: str, name: str) -> DataFrame:
+                own = side.withColumn(name, F.expr(f"int(pmod(xxhash64(id), `{count}`))"))
+                return session.settle(own.groupBy("bucket", name).agg(F.collect_list(F.struct("comp", "values")).alias(f"{name}s")))
+
+            left, right = packed(many.where("comp <> big"), "outer", "l"), packed(many, "all", "r")
+            tiles = size.where("many").select("bucket", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("l"), "all").select("bucket", "l", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("r"))
+            dense = session.settle(tiles.join(left, ["bucket", "l"]).join(right, ["bucket", "r"]).select("ls", "rs").mapInArrow(_confirm_packs(percent), "a long, b long"))
+            last.append(dense.distinct())
+    more = functools.reduce(DataFrame.unionAll, last) if last else None
+    merged = found if more is None or more.isEmpty() else session.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
     final = node.join(merged, node.node == merged.id, "left").select("key", F.coalesce("component", "node").alias("component"), (F.col("c") * HOT > F.lit(linked.count())).alias("hot"))
     final = session.settle(final)
     out = seen.select("id", "n", "key").join(F.broadcast(final.where("hot").select("key", F.col("component").alias("own"))), "key", "left")

@@ -402,3 +402,41 @@ def test_pipeline_stages(spark, docs):
         counts.append(after.count())
         at = after
     assert counts[0] == 62 and counts[1] <= 61 and at.where("ids is null").count() == 0
+
+
+def test_few_links_take_few_jobs_and_give_the_same_classes(spark, monkeypatch):
+    rng = random.Random(8)
+    links = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5), (None, 7)]
+    table = spark.createDataFrame(links, "a long, b long")
+    spark.sparkContext.setJobGroup("few", "few")
+    got = sorted(tuple(r) for r in session.components(table).collect())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("many", "many")
+    monkeypatch.setattr(session, "FEW_LINKS", -1)
+    assert sorted(tuple(r) for r in session.components(table).collect()) == got
+    assert jobs <= 10 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("many"))
+    spark.sparkContext.setJobGroup("", "")
+    least = {x: x for x in {x for p in links if None not in p and p[0] != p[1] for x in p}}
+    for _ in least:
+        for a, b in links:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+    assert dict(got) == least
+
+
+def test_sift_moves_what_matches_and_little_else(spark):
+    docs = spark.range(20000).selectExpr("if(id % 7 = 0, null, id - 50) as `d.id`", "id as text")
+    ids = session.settle(spark.range(-50, 20000, 40).select(F.col("id").alias("x")))
+    may, rest = session.sift(docs, "d.id", ids)
+    a, b = may.collect(), rest.collect()
+    assert sorted(r.text for r in a + b) == list(range(20000)) and may.columns == rest.columns == docs.columns
+    wanted = set(range(-50, 20000, 40))
+    assert not [r for r in b if r[0] in wanted] and len(a) < 3000 + 20000 // 7
+    assert [len(x.collect()) for x in session.sift(docs, "d.id", session.settle(ids.where("false")))] == [0, 20000]
+
+
+@pytest.mark.parametrize("salted, hot", [(1, 1 << 40), (1 << 30, 1)])
+def test_much_asked_sets_give_the_same_classes(docs, texts, monkeypatch, salted, hot):
+    monkeypatch.setattr(minhash, "SALTED", salted)
+    monkeypatch.setattr(minhash, "HOT", hot)
+    test_near_duplicates(docs, texts, 2)
