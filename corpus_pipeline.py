@@ -31,14 +31,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     come first as JSON); different texts under one id are one document, which stays or goes with all its texts. An empty table stays empty.
     """
     session.workers_find_package(spark)
-    found = minhash.near_duplicates(docs).where("kept and doc_id is not null")
-    kept = session.settle(found.groupBy("doc_id").agg((F.count("*") > 1).alias("_again")))
-    out = docs.join(kept.where("not _again").select("doc_id"), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
-    again = kept.where("_again").select("doc_id")
+    found = minhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("_kept"), (F.count_if("kept") > 1).alias("_again"))
+    aside = session.settle(found.where("not _kept or _again"))  # fewer than stay: only they, and not all texts, move
+    ids = aside.select("doc_id")
+    may, rest = session.sift(docs, "doc_id", ids)
+    out = may.join(ids.hint("merge"), "doc_id", "left_anti").select(docs.columns).unionByName(rest)
+    again = aside.where("_kept and _again").select("doc_id")
     if again.isEmpty():
         return out
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"]
-    rows = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_rest"))
+    rows = session.sift(docs, "doc_id", again)[0].join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_rest"))
     return out.unionByName(rows.select([c if c in ("doc_id", "text") else f"_rest.`{c}`" for c in docs.columns]))
 
 

@@ -250,3 +250,27 @@ def test_stages_keep_columns_nulls_and_repeats(spark):
     assert five.count() == four.count() and five.where("n_tokens <> size(ids)").isEmpty()
     for k, (_, stage) in enumerate(C.STAGES):
         assert stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_near_copies_move_few_texts(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(12)
+    texts = [" ".join(f"{rng.getrandbits(24):06x}" for _ in range(5000)) for _ in range(200)]
+    texts[50] = texts[20] + " more"
+    rows = [(k, t, "x") for k, t in enumerate(texts)] + [(None, texts[20], "x")]
+    docs = session.settle(spark.createDataFrame(rows, "doc_id long, text string, _part string").repartition(4))
+
+    def moved() -> int:
+        store, jvm = spark._jsc.sc().statusStore(), spark._jvm
+        found = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(found.apply(k).shuffleWriteBytes() for k in range(found.size()))
+
+    before, small = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = C.near_copies(spark, docs, "").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert Counter((r.doc_id, r.text) for r in left) == Counter((k, t) for k, t, _ in rows if k != 50)
+    assert moved() - before < sum(map(len, texts)) / 4
