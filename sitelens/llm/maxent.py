@@ -41,6 +41,8 @@ JOINED = 8
 RATES = (0.2, 0.1, 0.05)
 BATCH = 8192
 FLUSH = 1 << 20
+#: Sums of weights and biases up to which exp() needs no shift by a row's greatest.
+REACH = 80.0
 END = np.uint64(0x1234567890ABCDEF)
 _BITS = SIDE.bit_length() - 1
 _OUTER_PARTS, _INNER_PARTS = 16, 16
@@ -101,6 +103,11 @@ def leaf(h, tail, depth: int):
     return out
 
 
+def _level(bias: np.ndarray) -> np.ndarray:
+    """Logarithms whose greatest is 0 in each row: a softmax does not change."""
+    return (bias - bias.max(axis=-1, keepdims=True)).astype(np.float32)
+
+
 class Model:
     """Head tokens, leaf totals and weights; what a task needs to learn or score.
 
@@ -113,12 +120,12 @@ class Model:
         counts = np.zeros(HEAD)
         counts[: len(head)] = head_counts
         own = counts.reshape(-1, SIDE)
-        self.bias = np.log(np.concatenate((own.sum(axis=1), tail_tokens.reshape(TAIL, -1).sum(axis=1))) + 1).astype(np.float32)
+        self.bias = _level(np.log(np.concatenate((own.sum(axis=1), tail_tokens.reshape(TAIL, -1).sum(axis=1))) + 1))
         self.depth, levels = 0, [own]
         while TAIL * SIDE**self.depth < len(tail_tokens):
             levels.append(tail_tokens.reshape(TAIL * SIDE**self.depth, SIDE, -1).sum(axis=2))
             self.depth += 1
-        self.inner_bias = np.log(np.concatenate(levels) + 1).astype(np.float32)
+        self.inner_bias = _level(np.log(np.concatenate(levels) + 1))
         self.tail_log = np.log10(tail_tokens + tail_types + 1)
         self.outer = np.zeros((buckets, CLASSES), np.float32)
         self.inner = np.zeros((inner, SIDE), np.float32)
@@ -162,9 +169,10 @@ class Model:
 
     @staticmethod
     def _soft(x: np.ndarray) -> np.ndarray:
-        x -= x.max(axis=1, keepdims=True)
+        if x.max(initial=0) > REACH or x.min(initial=0) < -REACH:  # else exp() can neither overflow nor leave a row without a sum
+            x -= x.max(axis=1, keepdims=True)
         np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
+        x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
         return x
 
     def outer_rows(self, f: np.ndarray) -> np.ndarray:
@@ -174,10 +182,11 @@ class Model:
         return (text.mix(f + kind[:, None].astype(np.uint64)) >> np.uint64(65 - len(self.inner).bit_length())).astype(np.int64)
 
     def spread(self, table: np.ndarray, at: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        x = table[at[:, 0]]
+        x = table.take(at[:, 0], axis=0)
         for k in range(1, at.shape[1]):
-            x += table[at[:, k]]
-        return self._soft(x + bias)
+            x += table.take(at[:, k], axis=0)
+        x += bias
+        return self._soft(x)
 
     def log10(self, f: np.ndarray, kind: np.ndarray, side: np.ndarray, h: np.ndarray | None = None) -> np.ndarray:
         """log10 of each token's class, and token in a head class or, with tokens' hashes, leaf in a tail class, given its features."""
@@ -187,7 +196,7 @@ class Model:
             p = self.spread(self.outer, self.outer_rows(f[b]), self.bias)
             own = p[np.arange(len(p)), kind[b]].astype(float)
             for g, token, node, to in self.choices(f[b], kind[b], side[b], None if h is None else h[b]):
-                q = self.spread(self.inner, self.inner_rows(g, node), self.inner_bias[node])
+                q = self.spread(self.inner, self.inner_rows(g, node), self.inner_bias.take(node, axis=0))
                 own[token] *= q[np.arange(len(q)), to]
             out[b] = np.log10(np.maximum(own, 1e-30))
         return out
@@ -206,15 +215,15 @@ class _Learner:
         own, order = flat[order], order % len(error)
         first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         rows, times = own[first], np.diff(np.concatenate((first, [len(own)])))
-        slope = error[order[first]]
+        slope = error.take(order[first], axis=0)
         again = np.flatnonzero(times > 1)  # most rows are met once
         if len(again):
-            part = error[order[np.repeat(times > 1, times)]]
+            part = error.take(order[np.repeat(times > 1, times)], axis=0)
             slope[again] = np.add.reduceat(part, np.cumsum(times[again]) - times[again], axis=0)
         power = self.power[rows] + np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
         self.power[rows] = power
         slope *= (self.rate / np.sqrt(power + 1e-6))[:, None]
-        self.table[rows] -= slope
+        self.table[rows] = self.table.take(rows, axis=0) - slope
         self.met[rows] += times
 
     def parts(self, name: int, n: int):
@@ -241,7 +250,7 @@ def _learn(shared, rate: float, salts: int):
                     for g, _, node, to in model.choices(f[b], kind[b], side[b], h[b]):
                         if len(node):
                             at = model.inner_rows(g, node)
-                            p = model.spread(model.inner, at, model.inner_bias[node])
+                            p = model.spread(model.inner, at, model.inner_bias.take(node, axis=0))
                             p[np.arange(len(p)), to] -= 1
                             inner.step(at, p)
         model.outer, model.inner = outer.start, inner.start

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -440,3 +441,29 @@ def test_much_asked_sets_give_the_same_classes(docs, texts, monkeypatch, salted,
     monkeypatch.setattr(minhash, "SALTED", salted)
     monkeypatch.setattr(minhash, "HOT", hot)
     test_near_duplicates(docs, texts, 2)
+
+
+def test_lm_softmax_is_right_and_takes_less_than_a_plain_one():
+    rng = np.random.default_rng(3)
+    model = maxent.Model(np.arange(128, dtype=np.uint64), np.arange(128, 0, -1.0), np.arange(1.0, 24 * 16 + 1), np.ones(24 * 16))
+    table, at = rng.normal(size=(1 << 12, 32)).astype(np.float32), rng.integers(0, 1 << 12, (8192, 3))
+
+    def plain(t):
+        x = t[at[:, 0]] + t[at[:, 1]] + t[at[:, 2]] + model.bias
+        x -= x.max(axis=1, keepdims=True)
+        np.exp(x, out=x)
+        return x / x.sum(axis=1, keepdims=True)
+
+    for scale in (0, 1, 40, 1000, -1000):
+        shifted = table * np.float32(abs(scale)) + np.float32(min(scale, 0))
+        assert np.allclose(model.spread(shifted, at, model.bias), plain(shifted), atol=2e-6)
+
+    def least(f):
+        took = []
+        for _ in range(15):
+            start = time.perf_counter()
+            f()
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    assert least(lambda: model.spread(table, at, model.bias)) < 0.8 * least(lambda: plain(table))
