@@ -467,3 +467,15 @@ def test_lm_softmax_is_right_and_takes_less_than_a_plain_one():
         return min(took)
 
     assert least(lambda: model.spread(table, at, model.bias)) < 0.8 * least(lambda: plain(table))
+
+
+def test_seeds_are_dealt_by_ranges_of_one_sample():
+    rng = np.random.default_rng(9)
+    seed, d = rng.integers(-(2**63), 2**63 - 1, 20000), rng.integers(0, 3000, 20000)
+    seed[rng.integers(0, 20000, 9000)] = seed[5]  # one seed in a third of all rows
+    begins = passages.cuts(seed[::10], d[::10], np.ones(2000), 12)
+    got = passages.ranges(seed, d, begins)
+    assert got.tolist() == [sum(x <= own for x in zip(*[c.tolist() for c in begins])) for own in zip(seed.tolist(), d.tolist())]
+    assert len(np.bincount(got)) == 12 and np.bincount(got).max() < 2 * 20000 / 12
+    none = np.zeros(0, np.int64)
+    assert len(np.bincount(passages.ranges(seed, d, passages.cuts(none, none, none, 12)))) == 12
