@@ -8,7 +8,8 @@ leaf, and (count + 1) / (tokens + types + 1) of the leaf, whose last unit is for
 vocabulary, so that a leaf has LEAF words on average, up to LEAVES leaves.
 Features are the previous token and the one before it (a skip), each by its own hash, so every word is a context, and both
 together, each a head token or else its tail class (pairs by their own hashes predict held-out texts worse, as most are met once). Digits
-look at the previous token alone. Weight tables have at most BUCKETS and INNER rows, fewer for few training tokens; features that meet in a row share it.
+look at the previous token alone. Weight tables have BUCKETS and INNER rows, fewer for few training tokens and more for many: a row for every
+SPAN tokens, up to GROWN times as many, which is what an executor's memory holds; features that meet in a row share it.
 
 Counts cover all training tokens. The gradient updates go over all training tokens too: in each round every task
 starts from the broadcast weights, takes AdaGrad steps over its mini-batches of the round's share of documents, and
@@ -33,6 +34,8 @@ from sitelens.llm import session, text
 HEAD, SIDE, TAIL = 128, 16, 24
 CLASSES = HEAD // SIDE + TAIL
 BUCKETS, INNER = 1 << 17, 1 << 18
+#: Training tokens for a row of the first table where it grows, and how many times as many rows as above both have at most.
+SPAN, GROWN = 1 << 8, 2
 HEAVY = 1 << 21
 #: Words a leaf of the tail has on average, and the most leaves.
 LEAF, LEAVES = 16, 1 << 21
@@ -103,6 +106,13 @@ def leaf(h, tail, depth: int):
     return out
 
 
+def sizes(total: int) -> tuple[int, int]:
+    """Rows of the two weight tables for so many training tokens: powers of two that follow them."""
+    rows = 1 << max(12, total.bit_length() - 2)
+    times = min(GROWN, max(1, (1 << total.bit_length()) // SPAN // BUCKETS))
+    return min(BUCKETS * times, rows), min(INNER * times, 2 * rows)
+
+
 def _level(bias: np.ndarray) -> np.ndarray:
     """Logarithms whose greatest is 0 in each row: a softmax does not change."""
     return (bias - bias.max(axis=-1, keepdims=True)).astype(np.float32)
@@ -288,8 +298,8 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     found = counts.where(~F.col("h").isin(head.tolist())).groupBy(leaf(F.col("h"), F.col("tail").cast("long"), depth).alias("leaf")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).toArrow()
     at = found.column("leaf").to_numpy()
     tail_tokens[at], tail_types[at] = found.column("c").to_numpy(), found.column("v").to_numpy()
-    rows = 1 << max(12, int(total).bit_length() - 2)
-    model = Model(head.view(np.uint64), np.array([c for c, _ in ranked], float), tail_tokens, tail_types, min(BUCKETS, rows), min(INNER, 2 * rows))
+    model = Model(head.view(np.uint64), np.array([c for c, _ in ranked], float), tail_tokens, tail_types, *sizes(int(total)))
+    del found, at, tail_tokens, tail_types
     tasks = max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // JOINED)
     salts = max(1, tasks // 32)
     schema = "name int, part int, salt int, met binary, change binary"
@@ -299,7 +309,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
         sums = own.mapInArrow(_learn(shared, rate, salts), schema)
         for names in ([["name", "part", "salt"]] if salts > 1 else []) + [["name", "part"]]:
             sums = sums.groupBy(*names).applyInArrow(_sum, schema)
-        for r in sums.collect():
+        for r in sums.select("name", "part", "change").collect():
             table, n = ((model.outer, _OUTER_PARTS), (model.inner, _INNER_PARTS))[r.name]
             at = np.array_split(np.arange(len(table)), n)[r.part]
             table[at] += np.frombuffer(r.change, np.float16).reshape(len(at), -1).astype(np.float32)

@@ -113,6 +113,20 @@ def test_lm_learns_pairs_of_words_outside_the_head(spark):
     assert sum(got[held[k]] - got[held[k + 1]] for k in range(0, 60, 2)) / (30 * 40) > 0.5
 
 
+def test_lm_tables_follow_the_training_tokens(spark, monkeypatch):
+    assert [maxent.sizes(n) for n in (0, 1 << 16, 1 << 20, (1 << 25) - 1)] == [(1 << 12, 1 << 13), (1 << 15, 1 << 16), *[(maxent.BUCKETS, maxent.INNER)] * 2]
+    assert maxent.sizes(1 << 26) == maxent.sizes(1 << 40) == (2 * maxent.BUCKETS, 2 * maxent.INNER)
+    monkeypatch.setattr(maxent, "BUCKETS", 1 << 10)
+    monkeypatch.setattr(maxent, "INNER", 1 << 11)
+    monkeypatch.setattr(maxent, "SPAN", 1)
+    session.workers_find_package(spark)
+    rows = spark.createDataFrame([(f"a{k} b{k % 7} c",) for k in range(1000)], "text string")
+    counts = rows.mapInArrow(maxent._count, "h long, tail int, c long").groupBy("h").agg({"tail": "first", "c": "sum"}).selectExpr("h", "`first(tail)` tail", "`sum(c)` c")
+    model = maxent.train(rows, counts)
+    assert (model.outer.shape, model.inner.shape) == ((1 << 11, maxent.CLASSES), (1 << 12, maxent.SIDE))
+    assert (model.outer[1 << 10 :] != 0).any() and (model.inner[1 << 11 :] != 0).any()
+
+
 def test_pieces_round_trip_and_best_score(docs, texts):
     for r in pieces.encode(docs).collect():
         assert r.decoded == texts[r.doc_id] and (r.ids is None) == (texts[r.doc_id] is None)
