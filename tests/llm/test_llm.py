@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -350,6 +351,34 @@ def test_bands_equal_one_by_one():
         assert score <= min(a1 - a0, b1 - b0)
 
 
+def test_bands_of_many_batches_are_aligned_together(monkeypatch):
+    """Few runs over tables of places, no second one for what falls short, and the passages of pairs taken one by one."""
+    rng, batches, want = random.Random(12), [], set()
+    for k in range(24):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        other = own[:70] + [f"x{rng.randrange(10**6)}" for _ in range(5)] + own[70:]
+        if k % 3 == 2:
+            other = [x if i % 2 else f"y{i}" for i, x in enumerate(other)]
+        a, b = ((passages.text.words(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[0] >> np.uint64(32)).astype(np.uint32) for x in (" ".join(own), " ".join(other)))
+        row = {"d": 1000 + k, "r": k, "p0": 0, "p1": 150, "q0": 0, "q1": 155, "low": -5, "high": 0, "lo": 0, "words": a.tobytes(), "text": " ".join(other)}
+        batches.append(pa.RecordBatch.from_pylist([row]))
+        want |= {(1000 + k, k, *x[1:]) for x in passages.found([(a, b, -5, 0)], [(0, 150)], 50, 0.8)}
+    calls, plain = [], passages._ends_together
+    monkeypatch.setattr(passages, "_ends_together", lambda pairs: calls.append(len(pairs)) or plain(pairs))
+    got = {tuple(r.values()) for out in passages._aligned(50, 0.8)(batches) for r in out.to_pylist()}
+    assert got == want and len(got) >= 16
+    assert len(calls) <= 4 and sum(calls) < 2 * calls[0]
+
+
+def test_scores_equal_best_runs():
+    rng = np.random.default_rng(5)
+    own = [rng.integers(0, 3, n).astype(np.uint32) for n in (0, 1, 7, 40, 0, 90, 3)]
+    other = [rng.integers(0, 3, len(x)).astype(np.uint32) for x in own]
+    gains = [np.where(x == y, 1, -1) for x, y in zip(own, other)]
+    assert passages._scores(own, other).tolist() == [max([0, *(g[i:j].sum() for i in range(len(g)) for j in range(i + 1, len(g) + 1))]) for g in gains]
+    assert passages._scores([], []).tolist() == []
+
+
 def test_chain_equals_quadratic():
     rng = np.random.default_rng(6)
     for _ in range(20):
