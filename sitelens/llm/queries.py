@@ -1,4 +1,4 @@
-"""The queries of this subpackage by name, and the SQL of those that SQL can express: the two whose contract leaves no choice of model, sketch or hash."""
+"""The queries of this subpackage by name, and the SQL of those that SQL can express: those whose contract leaves no choice of model, sketch or hash."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import fingerprint, langid, maxent, minhash, mixing, passages, pieces, resampling, secrets, vectors
+from sitelens.llm import fingerprint, langid, licenses, maxent, minhash, mixing, passages, periods, pieces, resampling, secrets, targeting, vectors
 
 #: Classes by links l (a, b, both ways) among ids: the least id that each reaches.
 _CLASSES = "r as (select id, id as o from ids union select l.b, r.o from r join l on r.id = l.a where r.o < l.b), c as (select id, min(o) as component_id from r group by id)"
@@ -25,11 +25,25 @@ _SHINGLES = f"""with recursive w as (select doc_id, {_WORDS} as w from documents
  ids as (select doc_id as id from documents), {_CLASSES}
  select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join c on s.doc_id = c.id"""
 
+#: crc32 word by word, by its table of 256 steps; the words of all texts are told apart first.
+_TARGET = r"""with recursive t(i, c, k) as (select i, i, 0 from range(256) r(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from t where k < 8),
+ steps as (select list(c order by i) as steps from t where k = 8),
+ w as (select 0 as side, doc_id, unnest(W) as w from documents union all select 1, null, unnest(W) from benchmark),
+ own as (select w, hex(encode(w)) as h from (select distinct w from w)),
+ hashed as (select w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint))), lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])), 4294967295) % 10000 as bucket from own, steps),
+ n as (select bucket, count(*) filter (where side = 0) as s, count(*) filter (where side = 1) as t from w join hashed using (w) group by bucket),
+ total as (select cast(sum(s) as double) as s, cast(sum(t) as double) as t from n),
+ gain as (select bucket, cast(floor(1000 * ln((n.t + 1e0) * (total.s + 10000) / ((n.s + 1e0) * (total.t + 10000)))) as bigint) as gain from n, total),
+ per as (select doc_id, count(*) as n, cast(sum(gain) as bigint) as weight from w join hashed using (w) join gain using (bucket) where side = 0 group by doc_id),
+ d as (select doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) + 0.5e0) / 4294967296e0))) as bigint) as score from documents left join per using (doc_id)),
+ r as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as total from d where n_features >= 20)
+ select d.*, case when place <= 10 * total // 100 then place end as rank from d left join r using (doc_id)""".replace("W)", r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (maxent.op1_lm_scoring, pieces.op2_pieces, mixing.op3_mixing, resampling.op4_importance_resampling, fingerprint.op5_fingerprints, langid.op6_language_id, secrets.op7_secret_scan, vectors.op8_embedding_near_dedup, passages.op9_repeated_passages, minhash.op10_minhash_near_dedup)
+    found = (maxent.op1_lm_scoring, pieces.op2_pieces, mixing.op3_mixing, resampling.op4_importance_resampling, fingerprint.op5_fingerprints, langid.op6_language_id, secrets.op7_secret_scan, vectors.op8_embedding_near_dedup, passages.op9_repeated_passages, minhash.op10_minhash_near_dedup, periods.op11_periodic_runs, licenses.op12_license_scan, targeting.op13_target_resampling)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_near_dedup": _VECTORS, "op10_minhash_near_dedup": _SHINGLES}
+    return {"op8_embedding_near_dedup": _VECTORS, "op10_minhash_near_dedup": _SHINGLES, "op13_target_resampling": _TARGET}

@@ -16,6 +16,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: As the text stands, for words that are told apart by case.
+AS_IS = np.arange(256, dtype=np.uint8)
+#: Bytes that are in no word where words are runs of digits, a to z and what is not ASCII, after A-Z is lower-cased.
+PLAIN = np.ones(256, dtype=bool)
+PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = PLAIN[128:] = False
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -69,12 +74,12 @@ def pieces(column: pa.Array, size: int = CHUNK):
         at = to
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row, first and past-last byte of each word, in order."""
+def words(data: np.ndarray, offs: np.ndarray, blank: np.ndarray = _BLANK, lower: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, first and past-last byte of each word, in order; blank says which bytes are in no word, lower what each byte counts as."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    solid = ~_BLANK[data]
+    solid = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
     first, last = solid.copy(), solid.copy()
@@ -84,7 +89,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     rows = np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(starts, offs)))
     power, inverse = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * power[: len(data)], out=sums[1:])
+    np.cumsum(_BYTE[lower[data]] * power[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     return hashes, rows, starts, ends
 
@@ -112,3 +117,26 @@ def sets(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
     return values[keep], rows[keep]
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of words, in order, each with one space after it, and where each word now starts and ends."""
+    sizes = ends - starts + 1
+    to = np.cumsum(sizes)
+    begin = to - sizes
+    at = np.arange(int(to[-1]) if len(to) else 0) + np.repeat(starts - begin, sizes)
+    out = data[np.minimum(at, max(0, len(data) - 1))]
+    out[to - 1] = 32
+    return out, begin, to - 1
+
+
+def rejoined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
+    """The n rows' words, in order, joined by one space."""
+    flat, _, last = joined(data, starts, ends)
+    bounds = np.searchsorted(rows, np.arange(n + 1))
+    some = bounds[1:] > bounds[:-1]
+    stay = np.ones(len(flat), bool)
+    stay[last[bounds[1:][some] - 1]] = False
+    sizes = np.bincount(rows, weights=ends - starts + 1, minlength=n).astype(np.int64) - some
+    offs = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offs), pa.py_buffer(flat[stay])).cast(pa.string())
