@@ -7,38 +7,16 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import geo
 from sitelens.functions.values import exact_avg
+from sitelens.operators import neighbours
 
 RING = 6
 
 
-def z_scores(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """Population z-scores within each group from exact sums; a constant column is divided by 1."""
-    d = lambda c: F.sum(c.cast("decimal(38,10)")).cast("double")
-    n = F.count("*").cast("double")
-    stats = rows.groupBy(group).agg(n.alias("_n"), *[x for c in columns for x in (d(F.col(c)).alias(f"_s_{c}"), d(F.col(c).cast("double") * F.col(c).cast("double")).alias(f"_q_{c}"))])
-    out = rows.join(stats, group)
-    for c in columns:
-        mean = F.col(f"_s_{c}") / F.col("_n")
-        var = F.greatest(F.lit(0.0), F.col(f"_q_{c}") / F.col("_n") - mean * mean)
-        out = out.withColumn(f"z_{c}", (F.col(c).cast("double") - mean) / F.coalesce(F.nullif(F.sqrt(var), F.lit(0.0)), F.lit(1.0)))
-    return out.drop("_n", *[f"_{p}_{c}" for p in "sq" for c in columns])
-
-
 def nearest(rows: DataFrame, ident: str, group: str | None, columns: list[str], k: int) -> DataFrame:
-    """The k nearest others of each row in its group by Euclidean distance of z-scores; ties by id. Without group, all rows are one.
-
-    Every row meets all others of its group (a region, or one country), as the definition asks; what a task has met is cut to k
-    for each row before it is sorted by rows, so no list of all distances is ever held.
-    """
+    """The k nearest others of each row in its group (without group, of all rows) by Euclidean distance of z-scores; ties by id. See neighbours.nearest."""
     if group is None:
         rows, group = rows.withColumn("_whole", F.lit(1)), "_whole"
-    z = z_scores(rows, group, columns).select(ident, group, *[f"z_{c}" for c in columns])
-    a, b = z.alias("a"), z.alias("b")
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{ident}") != F.col(f"b.{ident}")))
-    dist = F.sqrt(sum(((F.col(f"a.z_{c}") - F.col(f"b.z_{c}")) * (F.col(f"a.z_{c}") - F.col(f"b.z_{c}")) for c in columns), F.lit(0.0)))
-    near = pairs.select(F.col(f"a.{ident}").alias(ident), F.col(f"b.{ident}").alias("vizinho"), dist.alias("dist"))
-    rank = F.row_number().over(Window.partitionBy(ident).orderBy("dist", "vizinho"))
-    return near.withColumn("rn", rank).where(F.col("rn") <= k).select(ident, "rn", "vizinho", "dist")
+    return neighbours.nearest(rows, ident, group, columns, k)
 
 
 def similar_wide(rows: DataFrame, ident: str, region: str, columns: list[str], k: int, mode: str = "regiao") -> DataFrame:
