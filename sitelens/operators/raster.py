@@ -120,21 +120,26 @@ def widened(rows: DataFrame, by: list[str], month: str, valid: str, first: int,
     return stats.withColumn("width", F.array(*[F.lit(w) for w in widths])[chosen]).withColumn("pct_valid", F.col("p")[chosen]).drop("p")
 
 
-def patches(pixels: DataFrame, by: list[str], code: str, least: float, resolution: float) -> DataFrame:
-    """4-connected patches of equal code (columns row, col): area by group and code of those of at least `least` square metres.
+def labelled(pixels: DataFrame, by: list[str], code: str, scenes: int = 1 << 20) -> DataFrame:
+    """Pixels (columns row, col) with id and component: the least id of their 4-connected patch of equal code.
 
     A pixel is named by the number of its scene (values of `by` and code) and its packed place, so no two share a name: up to
-    2**20 scenes, and rows and columns below 2**21; beyond either it is an error.
+    `scenes` scenes, rows below 2**21 and columns below 2**21 - 1; beyond either it is an error.
     """
-    scenes = numbered(pixels.select(*by, code).distinct(), [*by, code], "_scene")
+    known = numbered(pixels.select(*by, code).distinct(), [*by, code], "_scene")
     at = F.expr("(_scene << 42) | (cast(row as bigint) << 21) | cast(col as bigint)")
-    sound = F.expr("_scene < 1048576 and row between 0 and 2097151 and col between 0 and 2097151")
+    sound = F.expr(f"_scene < {scenes} and row between 0 and 2097151 and col between 0 and 2097150")
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, code)]
-    named = pixels.alias("p").join(scenes.alias("s"), same).select("p.*", "s._scene")
-    named = named.withColumn("id", F.when(sound, at).otherwise(F.raise_error(F.lit("too many scenes, or a pixel out of bounds")).cast("bigint")))
+    named = pixels.alias("p").join(known.alias("s"), same).select("p.*", "s._scene")
+    named = named.withColumn("id", F.when(sound, at).otherwise(F.raise_error(F.lit("too many scenes, or a pixel out of bounds")).cast("bigint"))).drop("_scene")
     steps = named.select("id", F.explode(F.array(F.col("id") + 1, F.col("id") + F.lit(1 << 21))).alias("to"))
     edges = steps.join(named.select(F.col("id").alias("to")), "to").select(F.col("id").alias("a"), F.col("to").alias("b"))
-    out = named.join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return named.join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def patches(pixels: DataFrame, by: list[str], code: str, least: float, resolution: float) -> DataFrame:
+    """4-connected patches of equal code (see labelled): area by group and code of those of at least `least` square metres."""
+    out = labelled(pixels, by, code)
     sizes = out.groupBy(*by, code, "component").agg((F.count("*") * F.lit(resolution * resolution)).alias("area_m2"))
     return sizes.where(F.col("area_m2") >= least).groupBy(*by, code).agg(F.sum("area_m2").alias("area_m2"), F.count("*").alias("n_patches"))
 
