@@ -37,6 +37,12 @@ def means(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return rows.where(known).groupBy(*by).agg(*[exact_avg(F.col(c)).alias(c) for c in columns])
 
 
+def transposed(rows: DataFrame, by: str, columns: list[str], groups: list[str], digits: int) -> DataFrame:
+    """One row for each column, as `variavel`, with its rounded value in each group, as in a report's table; null for a group that is missing. rows has one row for each group."""
+    each = rows.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("variavel"), F.col(c).cast("double").alias("v")) for c in columns])).alias("e"))
+    return each.groupBy("e.variavel").agg(*[F.round(F.max(F.when(F.col(by) == g, F.col("e.v"))), digits).alias(g) for g in groups])
+
+
 def did(rows: DataFrame, variables: list[str]) -> DataFrame:
     """Difference in differences of each variable, (T pos - T pre) - (C pos - C pre); null if a cell is missing."""
     cell = lambda v, t, p: exact_avg(F.when((F.col("tipo") == t) & (F.col("fase") == p), F.col(v)))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import geo
 from sitelens.functions.values import exact_avg
 from sitelens.operators import neighbours
+from sitelens.operators.storage import drop, numbered, settle
 
 RING = 6
 
@@ -64,21 +67,45 @@ def free_azimuth(sites: DataFrame, others: DataFrame, km: float, clear_km: float
     return sites.select("id").join(free, "id", "left").select("id", F.coalesce("az", F.lit(0)).alias("azimuth"), F.col("az").isNotNull().alias("found"))
 
 
-def thinned(rows: DataFrame, order: Column, km: float, most: int) -> DataFrame:
-    """Greedy thinning of (id, lat, lon): in order, keep what is km from all kept, up to `most`.
+def thinned(rows: DataFrame, order: Column, km: float, most: int | None = None) -> DataFrame:
+    """Greedy thinning of (id, lat, lon): in order, then by id, keep what is km from all kept, up to `most`: place, id, lat, lon.
 
-    Greedy order is sequential, but what one pass can keep is bounded by `most`: each round finds the first row that
-    is far from all kept, by one minimum over the distributed rows, and the kept rows (at most `most`) are all the driver holds.
+    In rounds that take many rows at once: a row that comes before all undecided ones within km is kept, and those within km of it go. Of a fine cell, where all
+    are within km of each other, only the first row can be next, so a row meets the first ones of the cells around it, never all rows there, and
+    thousands of rows at one place meet one. Rounds are few unless the order itself leads from neighbour to neighbour. They end when `most` kept
+    rows come before all that is undecided. id tells rows apart; rows without coordinates are left out.
     """
-    left = rows.withColumn("_o", order)
-    kept: list[tuple] = []
-    while len(kept) < most:
-        first = left.agg(F.min(F.struct("_o", "id", "lat", "lon")).alias("x")).first().x
-        if first is None:
+    left = settle(rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("id", "lat", "lon", F.struct(order.alias("o"), F.col("id").alias("i")).alias("_o")))
+    high = max(km, 1e-3) / 2 / 111.2
+    band = F.floor(F.col("lat") / F.lit(high))
+    wide = F.lit(high) / F.greatest(F.lit(1e-9), F.cos(F.radians(F.least(F.abs(band), F.abs(band + 1)) * F.lit(high))))
+    kept: list[DataFrame] = []
+    apart = lambda: geo.haversine(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon")) < km
+    while True:
+        first = left.groupBy(band.alias("b"), F.floor(F.col("lon") / wide).alias("w")).agg(F.min(F.struct("_o", "lat", "lon")).alias("f"))
+        first = settle(first.select(F.col("f._o").alias("a"), F.col("f.lat").alias("alat"), F.col("f.lon").alias("alon")))
+        near = geo.around(first, "alat", "alon", max(km, 1e-3))
+        own = geo.placed(left, "lat", "lon", max(km, 1e-3))
+        behind = near.join(own, ["cy", "cx"]).where((F.col("_o") < F.col("a")) & apart()).select("a").distinct()
+        taken = settle(first.join(behind, "a", "left_anti"))
+        kept.append(taken)
+        gone = geo.around(taken, "alat", "alon", max(km, 1e-3)).join(own, ["cy", "cx"]).where(apart() | (F.col("_o") == F.col("a"))).select(F.col("_o").alias("g")).distinct()
+        after = settle(left.join(gone, F.col("_o") == F.col("g"), "left_anti"))
+        drop(left)
+        drop(first)
+        left = after
+        ahead = left.agg(F.min("_o").alias("m")).first().m
+        if ahead is None:
             break
-        kept.append((len(kept), first.id, first.lat, first.lon))
-        left = left.where(geo.haversine(F.col("lat"), F.col("lon"), F.lit(first.lat), F.lit(first.lon)) >= km)
-    return rows.sparkSession.createDataFrame(kept, "place int, id long, lat double, lon double")
+        if most is not None:
+            limit = left.agg(F.min("_o").alias("m"))
+            if sum(k.join(limit, F.col("a") < F.col("m")).limit(most).count() for k in kept) >= most:
+                break
+    found = reduce(DataFrame.unionAll, kept).select("a", F.col("a.i").alias("id"), F.col("alat").alias("lat"), F.col("alon").alias("lon"))
+    if most is None:
+        return numbered(found, ["a"]).select(F.col("place").cast("int").alias("place"), "id", "lat", "lon")
+    found = found.orderBy("a").limit(most)
+    return found.select((F.row_number().over(Window.orderBy("a")) - 1).alias("place"), "id", "lat", "lon")
 
 
 def pair_distance(shares: DataFrame, classes: list[str], before: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.functions.values import fold
 from sitelens.operators import nested
 from sitelens.operators.impact import first_wins
 
@@ -118,3 +119,15 @@ def batched(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     from sitelens.operators.storage import numbered
 
     return numbered(rows, order, "_place").withColumn("lote", F.expr(f"int(_place div {int(size)})")).drop("_place")
+
+
+def name_join(rows: DataFrame, places: DataFrame, name: str, state: str, columns: list[str]) -> DataFrame:
+    """rows with the columns of the place of their name in their state, and found; accents and case do not count.
+
+    Homonyms of other states are told apart by the state. Of several places with one name in one state the first by its columns counts, so every row stays once; a row without
+    name, state or match has found = false. Places are made one per name before they are met.
+    """
+    key = lambda df: (fold(F.trim(df[name])).alias("_n"), F.col(state).alias("_s"))
+    known = places.select(*key(places), F.struct(*columns).alias("_p")).where("_n <> '' and _s is not null").groupBy("_n", "_s").agg(F.min("_p").alias("_p"))
+    met = rows.withColumns({"_k": fold(F.trim(rows[name])), "_u": F.col(state)}).join(known, (F.col("_k") == F.col("_n")) & (F.col("_u") == F.col("_s")), "left")
+    return met.select(*rows.columns, *[F.col(f"_p.{c}").alias(c) for c in columns], F.col("_p").isNotNull().alias("found"))

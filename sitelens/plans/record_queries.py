@@ -84,10 +84,12 @@ def _enriched(spark, sf):
     return D.enriched(base, found, "c_nationkey", ["municipio", "populacao"], F.col("c_custkey") % 2 == 0)
 
 
-@query("enriched_base", f"with {_FOUND} select c_custkey, case when c_custkey % 2 = 0 and f.municipio <> '' then f.municipio else c_name end as municipio, cast(case when c_custkey % 2 = 0 and f.populacao <> 0 then f.populacao else -1 end as int) as populacao, case when c_custkey % 2 = 0 and f.populacao <> 0 then 'censo' else '' end as fonte_populacao from customer c left join f on c.c_nationkey = f.c_nationkey")
+@query("enriched_base", f"with {_FOUND} select c_custkey, case when c_custkey % 2 = 0 and f.municipio <> '' then f.municipio else c_name end as municipio, cast(case when c_custkey % 2 = 0 and f.populacao <> 0 then f.populacao else -1 end as int) as populacao, case when c_custkey % 2 = 1 then 'IBGE (municipio)' when f.populacao <> 0 then 'ACS 2022 5-year (condado)' else '' end as fonte_populacao from customer c left join f on c.c_nationkey = f.c_nationkey")
 def enriched_base(spark, sf):
     out = _enriched(spark, sf)[0]
-    return D.column_after(out, "fonte_populacao", X.population_source(F.col("populacao"), F.lit(0)), "populacao").drop("c_nationkey")
+    country, county = F.when(F.col("c_custkey") % 2 == 0, "EUA").otherwise("Brasil"), F.when(F.col("populacao") != -1, F.col("populacao").cast("string"))
+    label = X.population_source(country, county, F.col("populacao").cast("string"), F.lit(None).cast("string"), 2022)[1]
+    return D.column_after(out, "fonte_populacao", label, "populacao").drop("c_nationkey")
 
 
 @query("fill_counts", f"with {_FOUND} select 'municipio' as coluna, cast(sum(case when c_custkey % 2 = 0 and f.municipio <> '' then 1 else 0 end) as bigint) as preenchidos from customer c left join f on c.c_nationkey = f.c_nationkey union all select 'populacao', cast(sum(case when c_custkey % 2 = 0 and f.populacao <> 0 then 1 else 0 end) as bigint) from customer c left join f on c.c_nationkey = f.c_nationkey")

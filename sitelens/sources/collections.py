@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sitelens.operators.storage import settle
 
 
 def season(scenes: DataFrame, ts: str, year: int | Column, first_month: int, last_month: int, last_day: Column | None = None) -> DataFrame:
@@ -25,17 +28,52 @@ def effective_year(year: Column, last: int) -> tuple[Column, Column]:
     return own, year - own
 
 
+def nearest_in_time(rows: DataFrame, others: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """rows with the value of `others` nearest in time under the same key, either way, and how far: _near (null for none) and _gap in microseconds.
+
+    Of values at the same distance the greater one counts. An as-of merge: both tables are dealt by ranges of key, time and a hash, so a
+    single key is spread like many; a row finds the last value before it and the first one after it in its own range, and what lies over the
+    range's borders comes from one row for each range. No pair of a row and a value is ever made but these two. Every row stays once, equal ones too; those with a null key or time
+    have no value.
+    """
+    spark = rows.sparkSession
+    t = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    kind = dict(others.select(key, value).dtypes)[value]
+    values = others.where(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), t(ts).alias("t")).agg(F.max(value).alias("v"))
+    own = rows.select(F.col(key).alias("k"), t(ts).alias("t"), F.lit(None).cast(kind).alias("v"), F.struct(*rows.columns).alias("row"))
+    values = values.select("k", "t", "v", F.lit(None).cast(own.schema["row"].dataType).alias("row"))
+    both = own.unionAll(values).withColumn("salt", F.when(F.col("row").isNull(), F.lit(-(2**63))).otherwise(F.xxhash64("row")))
+    dealt = settle(both.repartitionByRange("k", "t", "salt").withColumn("part", F.spark_partition_id()))
+    spot = F.when(F.col("row").isNull(), F.struct("k", "t", "v"))
+    ends = {r.part: (r.first, r.last) for r in dealt.groupBy("part").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).collect()}
+    carried, before = {}, None
+    for part in sorted(ends):
+        carried[part] = [part, before, None]
+        before = ends[part][1] or before
+    after = None
+    for part in sorted(ends, reverse=True):
+        carried[part][2] = after
+        after = ends[part][0] or after
+    shape = dealt.select(spot.alias("s")).schema["s"].dataType
+    borders = spark.createDataFrame([tuple(x) for x in carried.values()], T.StructType([T.StructField("part", T.IntegerType()), T.StructField("before", shape), T.StructField("after", shape)]))
+    up = Window.partitionBy("part").orderBy("k", "t", "salt").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("part").orderBy(F.desc("k"), F.desc("t"), F.desc("salt")).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.withColumns({"p": F.last(spot, ignorenulls=True).over(up), "n": F.last(spot, ignorenulls=True).over(down)}).where(F.col("row").isNotNull())
+    met = met.join(F.broadcast(borders), "part")  # one row for each range
+    side = lambda c, border: F.coalesce(c, border)
+    met = met.select("row", "k", "t", side(F.col("p"), F.col("before")).alias("p"), side(F.col("n"), F.col("after")).alias("n"))
+    found = [F.when((F.col(f"{c}.k") == F.col("k")) & F.col("t").isNotNull(), F.struct((-F.abs(F.col("t") - F.col(f"{c}.t"))).alias("g"), F.col(f"{c}.v").alias("v"))) for c in "pn"]
+    best = F.greatest(*found)
+    return met.select("row.*", best["v"].alias("_near"), (-best["g"]).alias("_gap"))
+
+
 def cloud_scored(images: DataFrame, scores: DataFrame, index: str, ts: str, score: str, least: float = 0.60, hours: int = 24) -> DataFrame:
     """images with the score nearest in time among those of the same index within `hours`, where it is `least` or more; ties by the higher score.
 
-    Images without such a score are left out.
+    Images without such a score are left out; equal images stay apart.
     """
-    s = scores.select(F.col(index).alias("_i"), F.col(ts).alias("_t"), F.col(score).alias("_s"))
-    gap = F.abs(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_t").cast("timestamp")))
-    near = images.join(s, F.col(index) == F.col("_i")).where(gap <= F.lit(hours * 3_600_000_000))
-    keys = images.columns
-    best = near.groupBy(*keys).agg(F.max_by("_s", F.struct((-gap).alias("g"), F.col("_s"))).alias("cs_cdf"))
-    return best.where(F.col("cs_cdf") >= least)
+    near = nearest_in_time(images, scores, index, ts, score).where((F.col("_gap") <= hours * 3_600_000_000) & (F.col("_near") >= least))
+    return near.withColumn("cs_cdf", F.col("_near")).drop("_near", "_gap")
 
 
 def exact_or_newest(images: DataFrame, group: str, year: str, wanted: int, columns: list[str]) -> DataFrame:

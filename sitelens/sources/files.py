@@ -38,7 +38,7 @@ def documents(spark: SparkSession, path, data: str) -> DataFrame:
 
 def keyed_by_name(spark: SparkSession, path, prefix: str = "", suffix: str = "") -> DataFrame:
     """Text files by name without prefix and suffix; names ending in _<year> give the year too."""
-    df = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
     key = F.regexp_extract("name", f"^{prefix}(.*?){suffix}$", 1)
     return df.select(key.alias("key"), F.expr("try_cast(regexp_extract(name, '_([0-9]{4})[^0-9]*$', 1) as int)").alias("ano"), "content").where("key <> ''").orderBy("key")
 
