@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from sitelens.functions import projection as P
 from sitelens.operators import match as M
 from sitelens.operators import outlines as O
 from sitelens.operators import zones as Z
+from sitelens.operators.storage import shared_folder
 from sitelens.plans.panel_queries import table
 from sitelens.plans.registry import query
+from sitelens.sources import rasters as RF
+from sitelens.sources import store as S
 
 _ADD = lambda x: f"cast(sum(cast({x} as decimal(38,10))) as double)"
 _FEATURES = ("saldo", "pedidos", "valor")
@@ -183,3 +188,29 @@ def class_geojson(spark, sf):
     each = items.select(F.explode(read["features"]).alias("f")).select("f.properties.*", F.col("f.geometry.coordinates").alias("c"))
     rings = F.flatten("c")
     return each.select(F.col("classe_id").alias("classe"), F.size("c").cast("long").alias("poligonos"), F.size(rings).cast("long").alias("aneis"), F.size(F.flatten(rings)).cast("long").alias("vertices"), "area_m2")
+
+
+@query("raster_round_trip", f"with px as (select cast(l_linenumber as int) as site, cast(l_orderkey % 150 as int) as row, cast(l_partkey % 130 as int) as col, cast(min(l_suppkey) as double) as a, cast(max(l_quantity) as double) as b from lineitem group by 1, 2, 3) select site, 'a' as band, row, col, a as value, 300000e0 + (col + 0.5e0) * 30 as x, 7400000e0 - (row + 0.5e0) * 30 as y from px union all select site, 'b', row, col, case when b < 40 then b end, 300000e0 + (col + 0.5e0) * 30, 7400000e0 - (row + 0.5e0) * 30 from px where b < 40")
+def raster_round_trip(spark, sf):
+    """Pixels written as one raster file for each site and read again; no data is left out."""
+    li = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("int").alias("site"), (F.col("l_orderkey") % 150).cast("int").alias("row"), (F.col("l_partkey") % 130).cast("int").alias("col"), "l_suppkey", "l_quantity")
+    px = li.groupBy("site", "row", "col").agg(F.min("l_suppkey").alias("a"), F.max("l_quantity").alias("b")).withColumn("b", F.when(F.col("b") < 40, F.col("b")))
+    grid = {"west": 300000.0, "north": 7400000.0, "step": 30.0, "width": 130, "height": 150}
+    folder = f"{shared_folder(spark).rstrip('/')}/rasters-{uuid.uuid4().hex}"
+    RF.write_rasters(RF.encoded(px, ["site"], ["a", "b"], grid, 31983), folder)
+    back = RF.read_rasters(spark, folder).where("value is not null")
+    return back.select(F.regexp_extract("path", r"(\d+)[.]tif$", 1).cast("int").alias("site"), "band", "row", "col", "value", "x", "y")
+
+
+@query("scene_store", "with px as (select l_returnflag as sensor, cast(l_linenumber as int) as site, cast(year(l_shipdate) as int) as ano, l_partkey % 100 as row, l_suppkey as col, l_quantity as v from lineitem), w as (select distinct l_returnflag as sensor, cast(year(l_shipdate) as int) as ano from lineitem where l_shipdate < date '1997-01-01') select sensor, site, ano, count(*) as n, cast(sum(cast(v as decimal(28,6))) as double) as v, 0 as de_novo from px join w using (sensor, ano) group by 1, 2, 3")
+def scene_store(spark, sf):
+    """Lines as pixels, stored by sensor, site and year, and stored again, which writes nothing (de_novo); then the scenes of some sensors and years."""
+    li = table(spark, sf, "lineitem")
+    keys = [F.col("l_returnflag").alias("sensor"), F.year("l_shipdate").cast("int").alias("ano")]
+    px = li.select(keys[0], F.col("l_linenumber").cast("int").alias("site"), keys[1], (F.col("l_partkey") % 100).alias("row"), F.col("l_suppkey").alias("col"), F.col("l_quantity").alias("v"))
+    folder = f"{shared_folder(spark).rstrip('/')}/scenes-{uuid.uuid4().hex}"
+    S.save_scenes(px, folder)
+    again = S.save_scenes(px, folder).count()
+    wanted = li.where("l_shipdate < date '1997-01-01'").select(*keys)
+    found = S.read_scenes(spark, folder, wanted).groupBy("sensor", "site", "ano")
+    return found.agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(28,6)")).cast("double").alias("v"), F.lit(again).cast("int").alias("de_novo"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitelens.functions import text as X
+from sitelens.operators import effects as E
 from sitelens.operators import impact as I
 from sitelens.operators import match as M
 from sitelens.operators import records as D
-from sitelens.plans.panel_queries import PANEL, VARS, panel, table
+from sitelens.plans.panel_queries import BASE, DELTA, NET, PANEL, VARS, panel, table
 from sitelens.plans.registry import query
 from sitelens.plans.table_queries import PLACES, _hav, places
 from sitelens.sources import collections as C
@@ -60,3 +61,27 @@ def nearest_click(spark, sf):
 def thinned_whole(spark, sf):
     """All that greedy thinning keeps, without a limit."""
     return M.thinned(places(spark, sf), (F.col("id") * 7919) % 1009, 60.0)
+
+
+_LEFT_OUT = f"""with {PANEL}, {BASE}, {DELTA}, {NET}, e as (select *, cast(dense_rank() over (order by pair) - 1 as int) as fold from net where h between 0 and 2 and efeito is not null),
+ s as (select variavel, h, fold, sum(cast(efeito as decimal(28,6))) as s, count(*) as n from e group by 1, 2, 3), t as (select variavel, h, sum(s) as s, sum(n) as n from s group by 1, 2),
+ b as (select s.variavel, s.h, s.fold, case when t.n > s.n then cast(t.s - s.s as double) / cast(t.n - s.n as double) end as ingenuo from s join t using (variavel, h))"""
+
+
+def effects(spark, sf):
+    return I.net_effect(panel(spark, sf), VARS).where(F.col("h").isin(*E.HORIZONS))
+
+
+@query("effect_folds", f"{_LEFT_OUT} select e.pair, e.h, e.variavel, e.efeito, e.fold, b.ingenuo from e join b using (variavel, h, fold)")
+def effect_folds(spark, sf):
+    return E.naive(E.folds(effects(spark, sf).where("efeito is not null"), "pair"), ["variavel", "h"], "efeito")
+
+
+@query("effect_model")
+def effect_model(spark, sf):
+    """What a forest expects of the pairs it has not seen, by their size and region before the event, beside the mean of the other pairs."""
+    p = panel(spark, sf).where("h < 0")
+    size = p.where("tipo = 'tratamento'").groupBy("pair").agg(F.avg("v_sum").alias("porte"), F.avg("v_n").alias("pedidos"), F.max(F.col("site") % 5).cast("string").alias("regiao"))
+    rows = effects(spark, sf).where("variavel = 'v_avg'").join(size, "pair", "left")
+    found = E.left_out(rows, ["variavel", "h"], ["porte", "pedidos", "h"], ["regiao"], "efeito", "pair", trees=20)
+    return E.errors(found, ["variavel", "h"], "efeito")
