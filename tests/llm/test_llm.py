@@ -305,6 +305,88 @@ def test_every_k_mer_is_a_seed_of_one_pass(spark):
     assert sorted(np.concatenate(places).tolist()) == list(range(len(data.split()) - passages.K + 1)) == sorted(passages.seeds(one, offs)[2].tolist())
 
 
+def test_words_put_in_and_left_out(spark):
+    """Copies with a word put in after, or left out at, every fourth to eighth word, or changed, put in and left out by chance, are found nearly whole."""
+    session.workers_find_package(spark)
+    rng = random.Random(14)
+    rows, want = [], []
+    for k in range(36):
+        n = rng.choice([80, 150, 400])
+        own = [f"g{k}w{j}" for j in range(n)]
+        every, kind = 4 + k % 5, ("in", "out", "chance")[k // 5 % 3]
+        if kind == "in":
+            other = [x for j, w in enumerate(own) for x in ([w, f"z{k}_{j}"] if j % every == every - 1 else [w])]
+        elif kind == "out":
+            other = [w for j, w in enumerate(own) if j % (every + 1) != every]
+        else:
+            other = []
+            for j, w in enumerate(own):
+                edit = rng.choice(("keep", "in", "out", "change")) if rng.random() < 0.12 else "keep"
+                other += {"keep": [w], "in": [w, f"z{k}_{j}"], "out": [], "change": [f"y{k}_{j}"]}[edit]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([f"a{k}"] * 3 + other + [f"b{k}"] * 3))]
+        want.append((2 * k + 1, 2 * k, n, len(other)))
+    got = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault((r.doc_id, r.other_id), []).append(r)
+    for d, r, n, m in want:
+        assert (d, r) in got and sum(x.other_last - x.other_first for x in got[d, r]) >= 0.8 * n, (d, n, m)
+    assert all(d == r + 1 for d, r in got)
+
+
+def test_passage_whose_pieces_come_first_elsewhere(spark):
+    """Documents 2 and 5 share 80 words; 1 and 4 have them in two pieces too short to be passages, before and between."""
+    session.workers_find_package(spark)
+    v = [f"p{k}" for k in range(80)]
+    pad = lambda x, n: [f"{x}{k}" for k in range(n)]
+    pieces_of = lambda x: " ".join(pad(x, 20) + v[:44] + pad(x + "m", 30) + v[36:] + pad(x + "e", 10))
+    rows = [(1, pieces_of("a")), (2, " ".join(pad("b", 15) + v + pad("c", 15))), (4, pieces_of("d")), (5, " ".join(pad("e", 5) + v + pad("f", 40)))]
+    got = {(r.doc_id, r.other_id): (r.first_word, r.last_word, r.other_first, r.other_last) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5, 2] == (5, 85, 15, 95)
+
+
+def test_partners_against_all_occurrences():
+    """First of the seed and last of the document before, where alike; last with the same wide surroundings; each once."""
+    rng = np.random.default_rng(6)
+    n = 600
+    seed = np.sort(rng.integers(0, 60, n)).astype(np.uint64)
+    d, p = rng.integers(0, 12, n), np.arange(n) * 3
+    order = np.lexsort((p, d, seed))
+    seed, d, p = seed[order], d[order], p[order]
+    near, wide = rng.integers(1, 4, (n, 8)).astype(np.uint8), rng.integers(0, 3, n).astype(np.uint32)
+    one = lambda x: [Counter(x[:4].tolist()), Counter(x[4:].tolist())]
+
+    def like(i, j):
+        a, b = one(near[i]), one(near[j])
+        return min(sum(c for x, y in zip(u, w) for k, c in x.items() if k in y) for u, w in ((a, b), (b, a))) >= passages.AGREE
+
+    assert passages.alike(near[:300].view(np.int64).ravel(), near[300:].view(np.int64).ravel()).tolist() == [like(i, i + 300) for i in range(300)]
+    want = set()
+    for i in range(n):
+        run = [j for j in range(i) if seed[j] == seed[i]]
+        first = run[0] if run else i
+        back = [j for j in run if d[j] != d[i]]
+        if d[first] != d[i] and like(i, first):
+            want.add((d[i], d[first], p[first], p[i]))
+        if back and d[back[-1]] != d[first] and like(i, back[-1]):
+            want.add((d[i], d[back[-1]], p[back[-1]], p[i]))
+        same = [j for j in run if wide[j] == wide[i]]
+        if same and d[same[-1]] not in (d[i], d[first], d[back[-1]] if back else d[first]):
+            want.add((d[i], d[same[-1]], p[same[-1]], p[i]))
+    got = passages.partners(seed, near.view(np.int64).ravel(), wide, d, p)
+    assert set(zip(*[x.tolist() for x in got])) == {tuple(int(x) for x in r) for r in want} and len(got[0]) == len(want)
+
+
+def test_packs_come_back(spark):
+    rng = np.random.default_rng(2)
+    where = rng.integers(0, 9, 500)
+    columns = tuple(rng.integers(0, 1000, 500).astype(k) for k in passages._SEED)
+    places, packs = passages.pack(where, columns, passages._SEED)
+    assert places.tolist() == sorted(set(where.tolist()))
+    order = np.argsort(where, kind="stable")
+    assert all((a == b[order]).all() for a, b in zip(passages.unpack(packs, passages._SEED), columns))
+    assert [len(x) for x in passages.unpack([], passages._SEED)] == [0] * 5 and passages.pack(where[:0], tuple(c[:0] for c in columns), passages._SEED)[1] == []
+
+
 def test_parts_cover_every_agreeing_stretch():
     rng = np.random.default_rng(3)
     for _ in range(60):
