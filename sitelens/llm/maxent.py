@@ -43,6 +43,8 @@ LEAF, LEAVES = 16, 1 << 21
 JOINED = 8
 RATES = (0.2, 0.1, 0.05)
 BATCH = 8192
+#: Rows of weights that a batch meets up to so many times have their errors added one by one.
+FEW = 3
 FLUSH = 1 << 20
 #: Sums of weights and biases up to which exp() needs no shift by a row's greatest.
 REACH = 80.0
@@ -217,23 +219,36 @@ class _Learner:
 
     def __init__(self, table: np.ndarray, rate: float):
         self.start, self.table, self.rate = table, table.copy(), rate
-        self.power, self.met = np.zeros(len(table), np.float32), np.zeros(len(table), np.int64)
+        self.power, self.met = np.zeros(len(table), np.float32), np.zeros(len(table), np.int32)
 
     def step(self, at: np.ndarray, error: np.ndarray) -> None:
-        flat = at.T.ravel().astype(np.int32)
+        n, wide = at.shape
+        flat = (at.T.ravel() if wide > 1 else at[:, 0]).astype(np.int32)
         order = np.argsort(flat)
-        own, order = flat[order], order % len(error)
-        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        rows, times = own[first], np.diff(np.concatenate((first, [len(own)])))
-        slope = error.take(order[first], axis=0)
-        again = np.flatnonzero(times > 1)  # most rows are met once
+        own = flat.take(order)
+        if wide > 1:
+            order = np.tile(np.arange(n, dtype=np.int32), wide).take(order)
+        new = np.empty(len(own), bool)
+        new[:1] = True
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        rows, times = own.take(first), np.diff(first, append=len(own)).astype(np.int32)
+        slope = error.take(order.take(first), axis=0)
+        again, k = np.flatnonzero(times > 1), 1  # most rows are met once, and most others a few times
+        while len(again) and k < FEW:
+            slope[again] += error.take(order.take(first.take(again) + k), axis=0)
+            k += 1
+            again = again[times.take(again) > k]
         if len(again):
-            part = error.take(order[np.repeat(times > 1, times)], axis=0)
-            slope[again] = np.add.reduceat(part, np.cumsum(times[again]) - times[again], axis=0)
-        power = self.power[rows] + np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
+            left = times.take(again) - k
+            ends = np.cumsum(left)
+            places = np.arange(ends[-1]) + np.repeat(first.take(again) + k - ends + left, left)
+            slope[again] += np.add.reduceat(error.take(order.take(places), axis=0), ends - left, axis=0)
+        power = self.power.take(rows) + np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
         self.power[rows] = power
         slope *= (self.rate / np.sqrt(power + 1e-6))[:, None]
-        self.table[rows] = self.table.take(rows, axis=0) - slope
+        np.subtract(self.table.take(rows, axis=0), slope, out=slope)
+        self.table[rows] = slope
         self.met[rows] += times
 
     def parts(self, name: int, n: int):
@@ -319,10 +334,33 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     return model
 
 
+def starts(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Where the keys, risen, that begin with each number of some leading bits start, and by how much a key is shifted for that number: about one key for each."""
+    bits = max(1, len(keys).bit_length())
+    shift = 64 - bits
+    return np.concatenate(([0], np.cumsum(np.bincount((keys >> np.uint64(shift)).astype(np.int64), minlength=1 << bits)))).astype(np.int32), shift
+
+
+def find(keys: np.ndarray, begin: np.ndarray, shift: int, h: np.ndarray) -> np.ndarray:
+    """The place of each hash among the keys, -1 for none: keys with the same leading bits are tried in turn, which are few as hashes are even."""
+    first = (h >> np.uint64(shift)).astype(np.int64)
+    at, end = begin.take(first), begin.take(first + 1)
+    out = np.full(len(h), -1, np.int64)
+    left = np.flatnonzero(at < end)
+    at = at.take(left)
+    while len(left):
+        met = keys.take(at) == h.take(left)
+        out[left[met]] = at[met]
+        stay = ~met & (at + 1 < end.take(left))
+        left, at = left[stay], at[stay] + 1
+    return out
+
+
 def _score(shared):
     def run(batches):
         model, heavy, heavy_counts = shared.value
         logs = np.log10(heavy_counts + 1.0)
+        begin, shift = starts(heavy)
         task, serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, 0
         for batch in batches:
             for at, to, data, offs in text.pieces(batch.column(1)):
@@ -330,10 +368,10 @@ def _score(shared):
                 h, rows, tail = tokens(data, offs)
                 f, kind, side = model.features(h, rows, tail)
                 own = model.log10(f, kind, side, h)
-                place = np.searchsorted(heavy, h)
-                place[place == len(heavy)] = 0
-                known = heavy[place] == h if len(heavy) else np.zeros(len(h), bool)
-                count_log = np.where(known, logs[place], 0.0) if len(heavy) else np.zeros(len(h))
+                place = find(heavy, begin, shift, h)
+                known = place >= 0
+                count_log = np.zeros(len(h))
+                count_log[known] = logs[place[known]]
                 own += np.where(side >= 0, 0.0, count_log - model.tail_log[model.leaf(h, tail)])
                 rare = ~known
                 cuts = np.concatenate(([0], np.cumsum(np.bincount(rows[rare], minlength=n)))).astype(np.int32)

@@ -274,3 +274,33 @@ def test_near_copies_move_few_texts(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
     assert Counter((r.doc_id, r.text) for r in left) == Counter((k, t) for k, t, _ in rows if k != 50)
     assert moved() - before < sum(map(len, texts)) / 4
+
+
+def test_lm_steps_against_one_row_at_a_time():
+    """AdaGrad steps of batches whose rows repeat once, a few times and often, against sums row by row."""
+    rng = np.random.default_rng(5)
+    for wide, spread in ((3, 40), (1, 3), (3, 5000), (1, 1)):
+        table = rng.normal(size=(spread, 4)).astype(np.float32)
+        learner = maxent._Learner(table, 0.1)
+        want, power, met = table.astype(float), np.zeros(spread), np.zeros(spread, int)
+        for _ in range(4):
+            at, error = rng.integers(0, spread, (200, wide)), rng.normal(size=(200, 4)).astype(np.float32)
+            learner.step(at, error)
+            sums = np.zeros((spread, 4))
+            for i in range(200):
+                for j in at[i]:
+                    sums[j] += error[i]
+                    met[j] += 1
+            hit = np.unique(at)
+            power[hit] += (sums[hit] ** 2).mean(axis=1)
+            want[hit] -= 0.1 * sums[hit] / np.sqrt(power[hit] + 1e-6)[:, None]
+        assert np.allclose(learner.table, want, atol=1e-3) and learner.met.tolist() == met.tolist() and (learner.start == table).all()
+
+
+def test_hashes_are_found_where_they_are():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 1000, 70_000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        h = np.concatenate((keys[::3], rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)))
+        place = {int(x): k for k, x in enumerate(keys)}
+        assert maxent.find(keys, *maxent.starts(keys), h).tolist() == [place.get(int(x), -1) for x in h]
