@@ -352,14 +352,16 @@ def test_partners_against_all_occurrences():
     d, p = rng.integers(0, 12, n), np.arange(n) * 3
     order = np.lexsort((p, d, seed))
     seed, d, p = seed[order], d[order], p[order]
-    near, wide = rng.integers(1, 4, (n, 8)).astype(np.uint8), rng.integers(0, 3, n).astype(np.uint32)
-    one = lambda x: [Counter(x[:4].tolist()), Counter(x[4:].tolist())]
+    side = passages.AROUND
+    near, wide = rng.integers(1, 4, (n, 2 * side)).astype(np.uint8), rng.integers(0, 3, n).astype(np.uint32)
+    one = lambda x: [Counter(x[:side].tolist()), Counter(x[side:].tolist())]
+    told = near.view(passages._NEAR).ravel()
 
     def like(i, j):
         a, b = one(near[i]), one(near[j])
         return min(sum(c for x, y in zip(u, w) for k, c in x.items() if k in y) for u, w in ((a, b), (b, a))) >= passages.AGREE
 
-    assert passages.alike(near[:300].view(np.int64).ravel(), near[300:].view(np.int64).ravel()).tolist() == [like(i, i + 300) for i in range(300)]
+    assert passages.alike(told[:300], told[300:]).tolist() == [like(i, i + 300) for i in range(300)]
     want = set()
     for i in range(n):
         run = [j for j in range(i) if seed[j] == seed[i]]
@@ -372,14 +374,38 @@ def test_partners_against_all_occurrences():
         same = [j for j in run if wide[j] == wide[i]]
         if same and d[same[-1]] not in (d[i], d[first], d[back[-1]] if back else d[first]):
             want.add((d[i], d[same[-1]], p[same[-1]], p[i]))
-    got = passages.partners(seed, near.view(np.int64).ravel(), wide, d, p)
+    got = passages.partners(seed, told, wide, d, p)
     assert set(zip(*[x.tolist() for x in got])) == {tuple(int(x) for x in r) for r in want} and len(got[0]) == len(want)
 
 
+def test_chains_of_one_diagonal_are_those_of_the_tree():
+    """Pairs whose matches lie on one diagonal, near each other or not, and others: the same chains as by the tree alone."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for pair in range(60):
+        q = np.cumsum(rng.integers(1, (6, 30)[pair % 2], 25))
+        rows += [(1000 + pair, pair, int(x), int(x) + 7 + (int(rng.integers(0, 3)) if pair % 3 == 0 else 0)) for x in q]
+    found = [np.array(c) for c in zip(*rows)]
+    _, packs = passages.pack(np.zeros(len(rows), np.int64), tuple(found), passages._MATCH)
+    got = {tuple(r.values()) for out in passages._chains([pa.RecordBatch.from_arrays([pa.array([False]), pa.array(packs, pa.binary())], ["edge", "data"])]) for r in out.to_pylist()}
+    want = set()
+    for pair in range(60):
+        own = np.array([(q, p) for d, r, q, p in rows if r == pair])
+        own = own[np.lexsort((-own[:, 1], own[:, 0]))]
+        own = own[passages.thin(np.zeros(len(own), np.int64), own[:, 0], own[:, 1])]
+        for x in passages.chain(own[:, 1], own[:, 0]):
+            q, p = own[x, 0], own[x, 1]
+            want.add((1000 + pair, pair, int(p[0]), int(p[-1]) + passages.K, int(q[0]), int(q[-1]) + passages.K, int((p - q).min()), int((p - q).max())))
+    assert got == want and len(want) > 60
+
+
 def test_packs_come_back(spark):
     rng = np.random.default_rng(2)
     where = rng.integers(0, 9, 500)
-    columns = tuple(rng.integers(0, 1000, 500).astype(k) for k in passages._SEED)
+    hashes = rng.integers(0, 2**64, 500, dtype=np.uint64)
+    assert (passages._long(passages._short(hashes)) == hashes >> np.uint64(16) << np.uint64(16)).all()
+    near = rng.integers(0, 256, (500, 2 * passages.AROUND)).astype(np.uint8).view(passages._NEAR).ravel()
+    columns = (passages._short(hashes), near, *(rng.integers(0, 1000, 500).astype(k) for k in passages._SEED[2:]))
     places, packs = passages.pack(where, columns, passages._SEED)
     assert places.tolist() == sorted(set(where.tolist()))
     order = np.argsort(where, kind="stable")
