@@ -328,7 +328,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
             table, n = ((model.outer, _OUTER_PARTS), (model.inner, _INNER_PARTS))[r.name]
             at = np.array_split(np.arange(len(table)), n)[r.part]
             table[at] += np.frombuffer(r.change, np.float16).reshape(len(at), -1).astype(np.float32)
-        shared.unpersist()
+        shared.destroy()  # the driver keeps what is only unpersisted
         del own, sums
         session.release(spark)
     return model
