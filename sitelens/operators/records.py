@@ -131,3 +131,13 @@ def name_join(rows: DataFrame, places: DataFrame, name: str, state: str, columns
     known = places.select(*key(places), F.struct(*columns).alias("_p")).where("_n <> '' and _s is not null").groupBy("_n", "_s").agg(F.min("_p").alias("_p"))
     met = rows.withColumns({"_k": fold(F.trim(rows[name])), "_u": F.col(state)}).join(known, (F.col("_k") == F.col("_n")) & (F.col("_u") == F.col("_s")), "left")
     return met.select(*rows.columns, *[F.col(f"_p.{c}").alias(c) for c in columns], F.col("_p").isNotNull().alias("found"))
+
+
+def tabs(records: DataFrame, documents: DataFrame) -> DataFrame:
+    """records (chave) with both tabs of the cached documents (chave, aba, status, dados): status_overview and status_specs, `ausente` where there is no document, and
+    overview and specs, the data of those that are ok."""
+    side = lambda t: documents.where(F.col("aba") == t).groupBy("chave").agg(F.max_by(F.struct("status", "dados"), "status").alias(t))
+    out = records.join(side("overview"), "chave", "left").join(side("specs"), "chave", "left")
+    status = lambda t: F.coalesce(F.col(f"{t}.status"), F.lit("ausente"))
+    read = lambda t: F.when(F.col(f"{t}.status") == "ok", F.col(f"{t}.dados"))
+    return out.select(*records.columns, status("overview").alias("status_overview"), status("specs").alias("status_specs"), read("overview").alias("overview"), read("specs").alias("specs"))

@@ -16,6 +16,7 @@ from sitelens.plans.panel_queries import table
 from sitelens.plans.registry import query
 from sitelens.sources import rasters as RF
 from sitelens.sources import store as S
+from sitelens.sources.sink import write_files
 
 _ADD = lambda x: f"cast(sum(cast({x} as decimal(38,10))) as double)"
 _FEATURES = ("saldo", "pedidos", "valor")
@@ -197,7 +198,7 @@ def raster_round_trip(spark, sf):
     px = li.groupBy("site", "row", "col").agg(F.min("l_suppkey").alias("a"), F.max("l_quantity").alias("b")).withColumn("b", F.when(F.col("b") < 40, F.col("b")))
     grid = {"west": 300000.0, "north": 7400000.0, "step": 30.0, "width": 130, "height": 150}
     folder = f"{shared_folder(spark).rstrip('/')}/rasters-{uuid.uuid4().hex}"
-    RF.write_rasters(RF.encoded(px, ["site"], ["a", "b"], grid, 31983), folder)
+    write_files(RF.encoded(px, ["site"], ["a", "b"], grid, 31983), folder)
     back = RF.read_rasters(spark, folder).where("value is not null")
     return back.select(F.regexp_extract("path", r"(\d+)[.]tif$", 1).cast("int").alias("site"), "band", "row", "col", "value", "x", "y")
 

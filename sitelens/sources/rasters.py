@@ -2,7 +2,7 @@
 
 Reading: Spark reads the files' bytes, whatever store they are in; their strips become rows of their own, are dealt out, and each is inflated where it lands. Only the
 strips of the bands asked for move where bands lie apart. Writing: each strip of each image is deflated in a task of its own; a file is
-put together from its compressed strips, and written by the executors to a folder that they share.
+put together from its compressed strips, for sink.write_files.
 
 Classic TIFF in strips, 8 to 32 bit whole numbers and 32 or 64 bit floats, either byte order, deflate or none, predictor 1 or 2, bands by pixel or apart. Tiles, other
 compressions and 64-bit offsets are errors that name the file.
@@ -11,19 +11,16 @@ compressions and 64-bit offsets are errors that name the file.
 from __future__ import annotations
 
 import json
-import os
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 # Numbers of the format's tags and of its types with their sizes and codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, STRIP_ROWS, COUNTS, PLANAR, PREDICTOR, TILES, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 339
@@ -205,41 +202,3 @@ def encoded(pixels: DataFrame, by: list[str], bands: list[str], grid: dict, epsg
     keys = [own.schema[c] for c in by]
     parts = own.groupBy(*by, "strip").applyInPandas(_deflate(by, bands, grid["width"], kind, nodata or 0, grid["height"]), T.StructType([*keys, T.StructField("band", T.IntegerType()), T.StructField("strip", T.IntegerType()), T.StructField("data", T.BinaryType())]))
     return parts.groupBy(*by).applyInPandas(_assemble(by, bands, grid, kind, nodata, epsg), "name string, content binary")
-
-
-class _FileWriter(DataSourceWriter):
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
-        for name, content in iterator:
-            path = os.path.join(self.folder, name)
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            fresh = f"{path}.{uuid.uuid4().hex}"
-            with open(fresh, "wb") as f:
-                f.write(content)
-            os.replace(fresh, path)  # a task that runs twice leaves one whole file
-        return WriterCommitMessage()
-
-
-class FileSink(DataSource):
-    """Writes rows (name, content) as files below a folder that all executors share."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "sitelens_files"
-
-    def schema(self) -> str:
-        return "name string, content binary"
-
-    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        folder = self.options["path"].removeprefix("file://").removeprefix("file:")
-        if "://" in folder:
-            raise ValueError(f"{folder}: the executors write to a folder that they share, as paths")
-        return _FileWriter(folder)
-
-
-def write_rasters(files: DataFrame, path: str) -> None:
-    """Writes encoded() files below path; a file that is there already is replaced."""
-    files.sparkSession.dataSource.register(FileSink)
-    files.select("name", "content").write.format("sitelens_files").mode("append").save(path)

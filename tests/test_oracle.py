@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from sitelens.plans import panel_queries, record_queries, registry, space_queries, study_queries, table_queries  # noqa: F401
+from sitelens.plans import file_queries, panel_queries, record_queries, registry, space_queries, study_queries, table_queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 

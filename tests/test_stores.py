@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitelens.operators import effects
 from sitelens.sources import rasters as R
 from sitelens.sources import store
+from sitelens.sources.sink import write_files
 
 
 def tiff(values, order, planar, deflate, rows, predictor=1, tile=False):
@@ -76,8 +77,8 @@ def test_written_files_read_back(spark, tmp_path, kind, nodata):
     rows = [(s, r, c, (r * 7 + c) % 200 + 1, None if (r + c) % 5 == 0 else (c * 3) % 90 + 1) for s in ("s1", "s2") for r in range(130) for c in range(33) if not 64 <= r < 128 or s == "s1"]
     px = spark.createDataFrame(rows, "site string, row int, col int, a int, b int")
     grid = {"west": 100.0, "north": 900.0, "step": 10.0, "width": 33, "height": 130}
-    R.write_rasters(R.encoded(px, ["site"], ["a", "b"], grid, 32723, kind, nodata), f"{tmp_path}/out")
-    R.write_rasters(R.encoded(px, ["site"], ["a", "b"], grid, 32723, kind, nodata), f"{tmp_path}/out")
+    write_files(R.encoded(px, ["site"], ["a", "b"], grid, 32723, kind, nodata), f"{tmp_path}/out")
+    write_files(R.encoded(px, ["site"], ["a", "b"], grid, 32723, kind, nodata), f"{tmp_path}/out")
     got = R.read_rasters(spark, f"{tmp_path}/out").where("value is not null" + ("" if nodata is not None else " and value <> 0"))
     key = lambda p: p.rsplit("/", 1)[1][:-4]
     assert {(key(r.path), r.band, r.row, r.col): r.value for r in got.collect()} == {(s, b, r, c): float(v) for s, r, c, x, y in rows for b, v in (("a", x), ("b", y)) if v is not None}
