@@ -85,3 +85,26 @@ def effect_model(spark, sf):
     rows = effects(spark, sf).where("variavel = 'v_avg'").join(size, "pair", "left")
     found = E.left_out(rows, ["variavel", "h"], ["porte", "pedidos", "h"], ["regiao"], "efeito", "pair", trees=20)
     return E.errors(found, ["variavel", "h"], "efeito")
+
+
+
+@query("one_collection", "with v as (select event_id, user_id, ts, value from events where event_type = 'view'), c as (select user_id, ts, max(value / 350) as s from events where event_type = 'click' group by 1, 2), j as (select v.event_id, s, abs(epoch_us(v.ts) - epoch_us(c.ts)) as g from v join c using (user_id)), b as (select * from (select *, row_number() over (partition by event_id order by g, s desc) as rn from j) x where rn = 1 and g <= 86400000000 and s >= 0.1) select event_id, 'sentinel2' as sensor, round(value * 10 / 10000e0 * 0.9765e0 + 0.0009e0, 11) as red, round(value * 30 / 10000e0 * 0.9983e0 - 0.0001e0, 11) as nir from v join b using (event_id) union all select event_id, 'landsat', round(value * 10 * 0.0000275e0 - 0.2e0, 11), round(value * 30 * 0.0000275e0 - 0.2e0, 11) from events where event_type not in ('view', 'click') and event_id & 30 = 0 and event_id % 3 = 0")
+def one_collection(spark, sf):
+    """Views as the newer sensor's images, clicks as cloud scores, other events as the older sensor's images."""
+    e = table(spark, sf, "events").withColumns({"red": F.col("value") * 10, "nir": F.col("value") * 30})
+    older = e.where("event_type not in ('view', 'click')").withColumns({"qa_pixel": F.col("event_id"), "qa_radsat": F.col("event_id") % 3})
+    scores = e.where("event_type = 'click'").select("user_id", "ts", (F.col("value") / 350).alias("s"))
+    # each image is named by its own id, and scored by its user's clicks
+    newer = C.cloud_scored(e.where("event_type = 'view'"), scores, "user_id", "ts", "s", 0.1).select(F.col("event_id"), "ts", "red", "nir")
+    every = newer.select("event_id", "ts", F.lit(1.0).alias("s"))
+    out = C.both_sensors(newer, every, older, "event_id", "ts", "s", ["red", "nir"])
+    return out.select("event_id", "sensor", F.round("red", 11).alias("red"), F.round("nir", 11).alias("nir"))
+
+
+@query("label_bands", "with w as (select l_partkey, max(case when year(l_shipdate) = 1997 then l_linenumber end) as a, max(case when year(l_shipdate) = 1998 then l_linenumber end) as b, max(case when year(l_shipdate) = 1999 then l_linenumber end) as c from lineitem group by 1), y as (select unnest([1996, 1997, 1998, 1999, 2000, 2001]) as ano) select l_partkey, cast(ano as int) as ano, cast(case least(ano, 1999) when 1997 then a when 1998 then b when 1999 then c end as int) as codigo from w cross join y")
+def label_bands(spark, sf):
+    """Labels with one band a year: each year takes its own band, years after the last one the last."""
+    at = lambda y: F.max(F.when(F.year("l_shipdate") == y, F.col("l_linenumber"))).cast("int").alias(f"classification_{y}")
+    w = table(spark, sf, "lineitem").groupBy("l_partkey").agg(*[at(y) for y in (1997, 1998, 1999)])
+    spread = w.withColumn("ano", F.explode(F.sequence(F.lit(1996), F.lit(2001))))
+    return spread.select("l_partkey", "ano", C.year_band(w, "classification_", F.col("ano"), 1999).cast("int").alias("codigo"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.functions.values import bits_clear
+from sitelens.operators import raster
 from sitelens.operators.storage import settle
 
 
@@ -76,6 +78,24 @@ def cloud_scored(images: DataFrame, scores: DataFrame, index: str, ts: str, scor
     return near.withColumn("cs_cdf", F.col("_near")).drop("_near", "_gap")
 
 
+def both_sensors(newer: DataFrame, scores: DataFrame, older: DataFrame, index: str, ts: str, score: str, bands: list[str], least: float = 0.60, hours: int = 24, quality: str = "qa_pixel", saturated: str = "qa_radsat") -> DataFrame:
+    """One collection of both sensors' images in the older one's scale: index, ts, sensor and the bands as reflectances.
+
+    The newer sensor's are masked by the cloud score nearest in time and harmonised; the older one's by their quality bits and saturation. Null bands stay null.
+    """
+    new = cloud_scored(newer, scores, index, ts, score, least, hours)
+    old = older.where(bits_clear(F.col(quality), raster.CLOUD_MASK) & (F.col(saturated) == 0))
+    told = lambda df, name, scale: df.select(index, ts, F.lit(name).alias("sensor"), *[scale(b).alias(b) for b in bands])
+    return told(new, "sentinel2", lambda b: raster.harmonized(F.col(b), b)).unionAll(told(old, "landsat", lambda b: raster.landsat_reflectance(F.col(b))))
+
+
+def year_band(rows: DataFrame, prefix: str, year: Column, last: int) -> Column:
+    """The value of the band `prefix`<year> for the year whose labels stand for `year` (see effective_year); null for a year without a band."""
+    years = [c for c in rows.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()]
+    own = effective_year(year, last)[0]
+    return F.coalesce(*[F.when(own == int(c[len(prefix) :]), F.col(c)) for c in years], F.lit(None))
+
+
 def exact_or_newest(images: DataFrame, group: str, year: str, wanted: int, columns: list[str]) -> DataFrame:
     """By group the image of the wanted year, or else the newest."""
     rank = F.struct((F.col(year) == wanted).cast("int"), F.col(year))

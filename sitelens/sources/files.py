@@ -47,12 +47,16 @@ def keyed_by_name(spark: SparkSession, path, prefix: str = "", suffix: str = "")
 SENSORS = {"s2": "sentinel2", "landsat": "landsat"}
 
 
-def catalog(found: DataFrame, version: str, site: str | None = None, token: str | None = None, rasters: DataFrame | None = None) -> DataFrame:
+def catalog(found: DataFrame, version: str, site: str | None = None, token: str | None = None, rasters: DataFrame | None = None, sensor: str | None = None, year: int | None = None) -> DataFrame:
     """Rasters of one model version, sorted by site, year and sensor (its name in `sensor`, its token in `sensor_token`).
 
-    An error if none match, if a sensor is unknown, or if a raster is not among `rasters` (raster). `token` is what raster paths start with.
+    An error if none match, if a sensor is unknown (asked for or found), or if a raster is not among `rasters` (raster). `token` is what raster paths start with.
     """
+    if sensor is not None and sensor not in SENSORS:
+        raise ValueError(f"unknown sensor {sensor}: one of {sorted(SENSORS)}")
     df = found.where(F.col("modelo_versao") == version)
+    df = df if sensor is None else df.where(F.col("sensor") == sensor)
+    df = df if year is None else df.where(F.col("ano") == year)
     df = df if site is None else df.where(F.col("site_id") == site)
     df = df if token is None else df.where(F.col("raster").startswith(token))
     bad = df.agg(F.count("*").alias("n"), F.min(F.when(~F.coalesce(F.col("sensor").isin(*SENSORS), F.lit(False)), F.coalesce("sensor", F.lit("null")))).alias("sensor")).first()

@@ -107,3 +107,22 @@ def test_files_by_name_csv_and_documents(spark, tmp_path):
     assert sorted((r.chave, r.status, r.tentativas, r.dados) for r in files.upserted(old, new, "chave").collect()) == [("k", "bloqueado", 3, "f"), ("l", "ok", 1, "e"), ("m", "ok", 1, "g")]
     point = spark.createDataFrame([(1.5, -2.0, "n")], "lat double, lon double, nome string")
     assert json.loads(point.select(files.geojson(point, "lat", "lon")).first()[0]) == {"type": "Feature", "geometry": {"type": "Point", "coordinates": [-2.0, 1.5]}, "properties": {"nome": "n"}}
+
+
+def test_tabs_of_records(spark):
+    rec = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "chave string")
+    docs = spark.createDataFrame([("a", "overview", "ok", "1"), ("a", "specs", "bloqueado", "2"), ("b", "specs", "ok", "3"), ("a", "overview", "erro", "9")], "chave string, aba string, status string, dados string")
+    got = sorted(map(str, map(tuple, records.tabs(rec, docs).collect())))
+    assert got == sorted(map(str, [("a", "ok", "bloqueado", "1", None), ("b", "ausente", "ok", None, "3"), ("c", "ausente", "ausente", None, None), (None, "ausente", "ausente", None, None)]))
+
+
+def test_catalog_of_a_sensor_and_year(spark):
+    import pytest
+
+    found = spark.createDataFrame([("a", s, y, "v1", f"{s}/{y}.tif", "x") for s in ("s2", "landsat") for y in (2019, 2020)], files.MANIFEST)
+    assert [(r.sensor, r.sensor_token, r.ano) for r in files.catalog(found, "v1", sensor="s2").collect()] == [("sentinel2", "s2", 2019), ("sentinel2", "s2", 2020)]
+    assert files.catalog(found, "v1", sensor="landsat", year=2020).count() == 1
+    with pytest.raises(ValueError, match="unknown sensor s9"):
+        files.catalog(found, "v1", sensor="s9")
+    with pytest.raises(ValueError, match="no manifest"):
+        files.catalog(found, "v1", year=1990)
