@@ -304,3 +304,58 @@ def test_hashes_are_found_where_they_are():
         h = np.concatenate((keys[::3], rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)))
         place = {int(x): k for k, x in enumerate(keys)}
         assert maxent.find(keys, *maxent.starts(keys), h).tolist() == [place.get(int(x), -1) for x in h]
+
+
+def test_pieces_against_all_segmentations_with_ties():
+    """Small models with many equal scores: of all segmentations the best, and of equally good ones that with the longer last piece, and so on before it."""
+    import struct
+
+    from sitelens.llm import pieces
+
+    def message(name, score, kind):
+        own = b"\x0a" + bytes([len(name)]) + name + b"\x15" + struct.pack("<f", score) + b"\x18" + bytes([kind])
+        return b"\x0a" + bytes([len(own)]) + own
+
+    rng = random.Random(11)
+    for _ in range(40):
+        words = {"a", "b", "c", *("".join(rng.choice("abc") for _ in range(rng.randint(2, 4))) for _ in range(8))}
+        scores = {w: -float(rng.choice([1, 2, 2, 3])) * len(w) for w in words}
+        names = ["<unk>", *[f"<0x{b:02X}>" for b in range(256)], *sorted(words)]
+        raw = message(b"<unk>", 0.0, 2) + b"".join(message(n.encode(), 0.0, 6) for n in names[1:257]) + b"".join(message(w.encode(), scores[w], 1) for w in sorted(words))
+        model = pieces.load(raw)
+        lone = min([0.0, *scores.values()]) - 10
+        for _ in range(25):
+            s = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 8)))
+
+            def every(n, s=s):
+                if not n:
+                    yield 0.0, ()
+                for size in range(1, n + 1):
+                    own = s[n - size : n]
+                    if own in scores or size == 1 and own not in scores:
+                        for score, rest in every(n - size):
+                            yield score + scores.get(own, lone), (size, *rest)
+
+            _, sizes = max(every(len(s)))
+            cut, at = [], len(s)
+            for size in sizes:
+                own = s[at - size : at]
+                cut = ([names.index(own)] if own in scores else [1 + b for b in own.encode()]) + cut
+                at -= size
+            assert model.best(s) == cut, (s, sizes)
+
+
+def test_many_copies_and_clashing_columns_of_vectors(spark):
+    """700 copies under one label, near ones beside them, and columns named like those of the plan."""
+    from sitelens.llm import vectors
+
+    session.workers_find_package(spark)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=6)
+    rows = [(i, [float(x) for x in base], 1) for i in range(700)] + [(700 + i, [float(x) for x in base + rng.normal(size=6) * 0.01], 1) for i in range(20)] + [(800 + i, [float(x) for x in base], 2) for i in range(3)] + [(900, [float(x) for x in -base], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for c in ("dim", "pack", "a", "b", "x", "y", "id", "component", "n_links", "component_id", "kept", "row", "vectors", "cell"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == (719, 0, i == 0) for i in range(720)) and all(got[800 + i] == (2, 800, i == 0) for i in range(3)) and got[900] == (0, 900, True)
