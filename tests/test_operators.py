@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitelens.functions import geo
@@ -44,6 +45,25 @@ def test_components_of_a_long_chain_and_a_cycle(spark):
     assert set(got.values()) == {1, 100} and got[40] == 1 and got[102] == 100
 
 
+@pytest.mark.parametrize("few", [1 << 17, 0])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_against_brute_force(spark, monkeypatch, few, kind):
+    """By the driver's pass and by stars: chains, cycles, a hub, repeated links, loops, nulls; ids of numbers and of texts."""
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(200 + i, 200 + (i + 1) % 30) for i in range(30)] + [(300, 300 + i) for i in range(50)] + [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(90)] + [(700, 700), (5, 5), (0, 1), (1, 0)]
+    ids = (lambda x: x) if kind == "long" else (lambda x: f"n{x:04d}")
+    rows = [(ids(a), ids(b)) for a, b in edges] + [(None, ids(1)), (ids(2), None)]
+    root = {ids(x): ids(x) for e in edges for x in e}
+    for _ in range(len(root)):
+        for a, b in rows[:-2]:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(rows, f"a {kind}, b {kind}").repartition(5)
+    got = [tuple(r) for r in graph.components(df).collect()]
+    assert len(got) == len(root) and dict(got) == root
+    assert graph.components(df.limit(0)).columns == ["id", "component"] and not graph.components(df.limit(0)).collect()
+
+
 def test_geo_round_trip(spark):
     lat, lon = geo.destination(F.lit(40.0), F.lit(-75.0), F.lit(12.0), F.lit(77.0))
     r = spark.range(1).select(lat.alias("a"), lon.alias("o")).select(geo.haversine(F.lit(40.0), F.lit(-75.0), F.col("a"), F.col("o")).alias("d"), geo.bearing(F.lit(40.0), F.lit(-75.0), F.col("a"), F.col("o")).alias("b"), geo.cell(F.lit(-0.03), 0.02).alias("c")).first()
