@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.operators.storage import drop, numbered, settle
+from sitelens.operators.storage import drop, numbered, settle, workers_find_package
 
 #: Rows of a block; rows a cell should have; most cells of a group; rows compared with pivots, or with a block, at once.
 BLOCK, CELL, PIVOTS, CHUNK = 2048, 1024, 512, 4096
@@ -161,6 +161,7 @@ def meetings(members: DataFrame, ident: str, k: int) -> tuple[DataFrame, DataFra
     """What has to be compared: settled rows in blocks (ident, g, v, asks, cell, t, block), what they find in their own blocks, the meetings
     (ident, v, bound, block) of those that ask with other blocks, and the settled tables to drop in the end.
     """
+    workers_find_package(members.sparkSession)
     kind, place = members.schema[ident].dataType, Window.partitionBy("g").orderBy(F.xxhash64(F.col(ident).cast("string")), ident)
     pivots = members.withColumn("cell", F.row_number().over(place) - 1).where(F.col("cell") < PIVOTS)
     size = members.groupBy("g").agg(F.ceil(F.count("*") / CELL).alias("_m"))
@@ -188,6 +189,7 @@ def nearest(rows: DataFrame, ident: str, group: str, columns: list[str], k: int)
     ident tells rows apart. Rows alone in their group have no neighbours; those with a null group, or a null or NaN in a column, have none and are nobody's. A
     constant column tells nothing. An empty table gives no rows.
     """
+    workers_find_package(rows.sparkSession)
     z = settle(standard(rows, ident, group, columns))
     kind = z.schema[ident].dataType
     # k + 1 ids of a place are enough: each row there leaves itself out. Spark cuts them before they move.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -21,6 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it: to be called before a function is given to Spark."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes df and reads it back; the table goes with drop(), or when the driver's Python ends.
 

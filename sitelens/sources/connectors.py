@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.operators.storage import workers_find_package
+
 
 def with_retries(fetch: Callable[[str], str], tries: int = 5, first_wait: float = 1.0, again: Callable[[Exception], bool] = lambda e: True, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], tuple[str, str | None, int]]:
     """A fetch that never raises: (status, answer, attempts). Waits double from first_wait; errors that `again` refuses end at once."""
@@ -35,6 +37,7 @@ def over_quota(e: Exception) -> bool:
 
 def fetched(keys: DataFrame, key: str, fetch: Callable[[str], str], pause: float = 0.0, **retries) -> DataFrame:
     """(key, status, resposta, tentativas) of every distinct key, fetched by the executors, one answer at a time in each task."""
+    workers_find_package(keys.sparkSession)
     own = with_retries(fetch, **retries)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

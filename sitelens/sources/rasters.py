@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.operators.storage import workers_find_package
+
 # Numbers of the format's tags and of its types with their sizes and codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, STRIP_ROWS, COUNTS, PLANAR, PREDICTOR, TILES, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 339
 PIXEL_SCALE, TIEPOINT, GEO_KEYS, METADATA, NODATA = 33550, 33922, 34735, 42112, 42113
@@ -115,6 +117,7 @@ def read_rasters(spark: SparkSession, path: str, bands: list[str] | None = None)
 
     With bands, only those are inflated where they lie apart. A folder without files gives no rows; a file that is no raster is an error that names it.
     """
+    workers_find_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").option("recursiveFileLookup", True).load(path).select("path", "content")
     strips = files.mapInPandas(_cut(bands), "path string, about string, band int, row0 int, rows int, data binary")
     pixels = strips.repartition("path", "band", "row0").mapInPandas(_spread(bands), "path string, band string, row int, col int, value double, x double, y double")
@@ -196,6 +199,7 @@ def encoded(pixels: DataFrame, by: list[str], bands: list[str], grid: dict, epsg
 
     Values that are null, and pixels that are missing, are no data (0 where nodata is None). Pixels beyond the grid are an error. Of several rows of a pixel any one counts.
     """
+    workers_find_package(pixels.sparkSession)
     sound = F.col("row").between(0, grid["height"] - 1) & F.col("col").between(0, grid["width"] - 1)
     own = pixels.select(*by, F.when(sound, F.col("row")).otherwise(F.raise_error(F.lit("a pixel beyond the grid")).cast("int")).cast("int").alias("row"), F.col("col").cast("int").alias("col"), *[F.col(b).cast("double").alias(b) for b in bands])
     own = own.withColumn("strip", F.floor(F.col("row") / ROWS).cast("int"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from sitelens.operators.storage import workers_find_package
+
 
 class _FileWriter(DataSourceWriter):
     def __init__(self, folder: str):
@@ -45,5 +47,6 @@ class FileSink(DataSource):
 
 def write_files(files: DataFrame, path: str) -> None:
     """Writes files (name, content) below path; one that is there already is replaced."""
+    workers_find_package(files.sparkSession)
     files.sparkSession.dataSource.register(FileSink)
     files.select("name", "content").write.format("sitelens_files").mode("append").save(path)
