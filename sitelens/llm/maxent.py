@@ -71,24 +71,31 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, np.repeat(np.arange(docs), count + 1), tails
 
 
+def grouped(h: np.ndarray, k: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each hash once, in order, with its tail class, which any of its tokens tells, and the sum of c or how often it occurs."""
+    order = np.argsort(h)
+    own = h[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1])))
+    total = np.diff(first, append=len(own)) if c is None else np.add.reduceat(c[order], first) if len(first) else c
+    return own[first], k[order[first]], total.astype(np.int64)
+
+
 def _count(batches):
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def merged():
         h, k, c = (np.concatenate(x) for x in zip(*held))
-        values, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        return values, k[first], np.bincount(inverse, weights=c, minlength=len(values)).astype(np.int64)
+        return grouped(h, k, c)
 
     def rows(x):
         return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1].astype(np.int32)), pa.array(x[2])], ["h", "tail", "c"])
 
     size = 0
     for batch in batches:
-        for _, _, data, offs in text.pieces(batch.column(0)):
+        for _, _, data, offs in text.pieces(batch.column(0), text.CACHED):
             h, _, k = tokens(data, offs)
-            values, first, c = np.unique(h, return_index=True, return_counts=True)
-            held.append((values, k[first], c))
-            size += len(values)
+            held.append(grouped(h, k))
+            size += len(held[-1][0])
             if size > FLUSH:
                 held = [merged()]
                 size = len(held[0][0])
@@ -263,7 +270,7 @@ def _learn(shared, rate: float, salts: int):
         outer, inner = _Learner(model.outer, rate), _Learner(model.inner, rate)
         model.outer, model.inner = outer.table, inner.table
         for batch in batches:
-            for _, _, data, offs in text.pieces(batch.column(0)):
+            for _, _, data, offs in text.pieces(batch.column(0), text.CACHED):
                 h, rows, tail = tokens(data, offs)
                 f, kind, side = model.features(h, rows, tail)
                 for a in range(0, len(kind), BATCH):
@@ -363,7 +370,7 @@ def _score(shared):
         begin, shift = starts(heavy)
         task, serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, 0
         for batch in batches:
-            for at, to, data, offs in text.pieces(batch.column(1)):
+            for at, to, data, offs in text.pieces(batch.column(1), text.CACHED):
                 n = to - at
                 h, rows, tail = tokens(data, offs)
                 f, kind, side = model.features(h, rows, tail)

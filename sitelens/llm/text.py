@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+#: Bytes of a piece whose arrays of words stay in a core's cache.
+CACHED = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
