@@ -141,3 +141,14 @@ def tabs(records: DataFrame, documents: DataFrame) -> DataFrame:
     status = lambda t: F.coalesce(F.col(f"{t}.status"), F.lit("ausente"))
     read = lambda t: F.when(F.col(f"{t}.status") == "ok", F.col(f"{t}.dados"))
     return out.select(*records.columns, status("overview").alias("status_overview"), status("specs").alias("status_specs"), read("overview").alias("overview"), read("specs").alias("specs"))
+
+
+def merged(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left and right by equal keys, where a null key equals a null key, as in data frame libraries (SQL's = never finds one): the keys once, then the other columns.
+
+    Many null keys on both sides make as many pairs as they are many times over, like any key.
+    """
+    own = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    met = left.join(own, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], how)
+    found = [F.coalesce(F.col(k), F.col(f"_{k}")).alias(k) if how in ("right", "full", "outer") else F.col(k) for k in keys]
+    return met.select(*found, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys])

@@ -170,3 +170,12 @@ def _service(key: str) -> str:
 def fetched_answers(spark, sf):
     """Answers by key from a service with quotas: only what says that a quota is used up is asked for again."""
     return K.fetched(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")), "k", _service, tries=3, first_wait=0.001, again=K.over_quota)
+
+
+@query("download_cache", "select 'f' || s_suppkey as name, r as rodada, case when s_suppkey % 3 <> 1 then 'erro' when r = 1 then 'ok' else 'cache' end as status from supplier, (values (1), (2)) t(r)")
+def download_cache(spark, sf):
+    """Resources fetched to a folder twice: the second round finds what the first one wrote, and tries the others again."""
+    wanted = table(spark, sf, "supplier").select(F.concat(F.lit("f"), "s_suppkey").alias("name"), F.col("s_suppkey").cast("string").alias("url"))
+    folder = _folder(spark)
+    rounds = [K.downloaded(wanted, folder, _service, tries=2, first_wait=0.001, again=K.over_quota).select("name", F.lit(k).alias("rodada"), "status") for k in (1, 2)]
+    return rounds[0].unionAll(rounds[1])

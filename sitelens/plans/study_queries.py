@@ -108,3 +108,11 @@ def label_bands(spark, sf):
     w = table(spark, sf, "lineitem").groupBy("l_partkey").agg(*[at(y) for y in (1997, 1998, 1999)])
     spread = w.withColumn("ano", F.explode(F.sequence(F.lit(1996), F.lit(2001))))
     return spread.select("l_partkey", "ano", C.year_band(w, "classification_", F.col("ano"), 1999).cast("int").alias("codigo"))
+
+
+@query("null_key_merge", "with c as (select c_custkey, case when c_nationkey % 4 <> 0 then c_nationkey end as k from customer), n as (select n_name, case when n_nationkey > 2 then n_nationkey end as k from nation) select c_custkey, n_name, coalesce(c.k, n.k) as k from c full outer join n on c.k is not distinct from n.k")
+def null_key_merge(spark, sf):
+    """Customers and nations by a key that both sides sometimes lack: null meets null."""
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 4 != 0, F.col("c_nationkey")).alias("k"))
+    n = table(spark, sf, "nation").select("n_name", F.when(F.col("n_nationkey") > 2, F.col("n_nationkey")).alias("k"))
+    return D.merged(c, n, ["k"], "full").select("c_custkey", "n_name", "k")

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.operators.storage import workers_find_package
+from sitelens.operators.storage import settle, workers_find_package
+from sitelens.sources.sink import write_files
 
 
 def with_retries(fetch: Callable[[str], str], tries: int = 5, first_wait: float = 1.0, again: Callable[[Exception], bool] = lambda e: True, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], tuple[str, str | None, int]]:
@@ -89,3 +90,22 @@ def required_env(name: str) -> str:
     if not value:
         raise RuntimeError(f"set the environment variable {name}")
     return value
+
+
+def downloaded(resources: DataFrame, folder: str, fetch: Callable[[str], str], **retries) -> DataFrame:
+    """Resources (name, url) as files below folder, each fetched once: name and status, `cache` where the file was there, else `ok` or `erro` (settled).
+
+    What can't be fetched leaves no file, so the next run tries it again; null names and urls are left out, and of equal names the first url counts.
+    """
+    spark = resources.sparkSession
+    wanted = resources.where("name is not null and url is not null").groupBy("name").agg(F.min("url").alias("url"))
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = spark.createDataFrame([], "name string")
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        at = F.regexp_extract("path", r"([^/]+)$", 1)
+        there = spark.read.format("binaryFile").load(folder).select(at.alias("name"))  # names alone: no file is read
+    known = settle(wanted.join(there.distinct().withColumn("_there", F.lit(True)), "name", "left"))
+    answers = settle(fetched(known.where("_there is null").select("url"), "url", fetch, **retries))
+    fresh = known.where("_there is null").join(answers, "url")
+    write_files(fresh.where("status = 'ok'").select("name", F.encode("resposta", "UTF-8").alias("content")), folder)
+    return settle(known.where("_there").select("name", F.lit("cache").alias("status")).unionAll(fresh.select("name", "status")))

@@ -22,7 +22,7 @@ def brute(rows, k):
 
 def table(kind):
     rng = np.random.default_rng(3)
-    n = 900
+    n = 600
     x = np.round(rng.normal(size=(n, 3)), {"ties": 0, "clusters": 3, "copies": 2}[kind])
     if kind == "clusters":
         x += rng.integers(0, 9, size=(n, 1)) * 30
