@@ -173,3 +173,35 @@ def test_known_places(spark):
     assert wide.where(P.zone(F.col("lon"), F.col("lat")) != F.col("want")).count() == 0
     off = P.forward(F.lit(10.0), F.lit(100.0), F.lit(0.0), F.lit(False))
     assert spark.range(1).select(*off).first()[0] is None
+
+
+def rows_met(df):
+    """Runs df and gives the greatest number of rows that a join of it puts out."""
+    df.collect()
+    plan, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        at = plan.pop()
+        kind = at.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plan.append(at.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plan.append(at.plan())
+        if "Join" in kind and at.metrics().contains("numOutputRows"):
+            most = max(most, at.metrics().apply("numOutputRows").value())
+        plan += [at.children().apply(k) for k in range(at.children().size())]
+    return most
+
+
+def test_zonal_of_copies_meets_places_once(spark):
+    """40 zones and 60 points at each of few places: sums of all rows, from pairs of places."""
+    zones = [(40 * k + c, 30.0 + k % 3, -100.0 + k // 3) for k in range(9) for c in range(40)] + [(999, None, 1.0), (1, 80.0, 0.0)]
+    points = [(30.1 + k % 3, -100.1 + k // 3, None if c % 5 == 0 else float(k * c % 7) / 4) for k in range(9) for c in range(60)]
+    df = R.zonal(spark.createDataFrame(zones, "zone long, lat double, lon double"), spark.createDataFrame(points, "lat double, lon double, v double"), 120.0, "v")
+    assert rows_met(df) <= 9 * 9 * 9
+    far = lambda a, b, c, d: 12742 * math.asin(math.sqrt(math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2))
+    want = {}
+    for z, lat, lon in zones:
+        if lat is not None and lat < 80:
+            own = [v for a, b, v in points if v is not None and far(lat, lon, a, b) <= 120]
+            want[z] = (sum(own), len(own))
+    assert {r.zone: (r.sum_v, r.n) for r in df.collect()} == want and all(r.mean_v == r.sum_v / r.n for r in df.collect())
