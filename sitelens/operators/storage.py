@@ -58,6 +58,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many parts as spark.sql.shuffle.partitions says, for steps that put out far more than they read: parts merged by what they read would leave these to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
     """Adds the number from 0 of each row in the order of the columns, which are to tell rows apart.
 

@@ -11,9 +11,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelens.operators.storage import spread
+
 #: Cells by which an edge counts as wider than it is, against rounding where it crosses a scanline's border.
 MARGIN = 1e-6
 EXACT = "decimal(38,15)"
+#: Points of one place that meet its zones in one task; more are dealt to several.
+TOGETHER = 4096
 
 
 def circle(zones: DataFrame, corners: int = 64) -> DataFrame:
@@ -76,14 +80,21 @@ def inside(sides: DataFrame, points: DataFrame, ident: list[str], cell: float) -
 
     ident tells points apart. Points meet the cells of zones; those in a cell without edges are in or out with it, and only the others
     meet the edges of their own scanline. On an edge, points of the left and lower side are in, those of the right and upper side out.
-    Points without coordinates are in no zone.
+    A place with many points is looked up once, and its points meet only the zones it is in. Points without coordinates are in no zone.
     """
     own = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*ident, F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
     at = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("int")
-    met = own.withColumns({"cy": at("_y"), "cx": at("_x")}).join(cover(sides, cell), ["cy", "cx"])
+    spots = own.groupBy("_x", "_y").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_parts"))
+    met = spots.withColumns({"cy": at("_y"), "cx": at("_x")}).join(cover(sides, cell), ["cy", "cx"])
     bands = _bands(sides, cell).where("y1 <> y2").select("zone", "cy", "x1", "y1", "x2", "y2")
-    near = met.where(~F.col("whole")).join(bands, ["zone", "cy"]).groupBy("zone", *ident).agg((F.sum(_crossed(F.col("_x"), F.col("_y"))) % 2).alias("odd"))
-    return met.where("whole").select("zone", *ident).unionAll(near.where("odd = 1").select("zone", *ident))
+    near = met.where(~F.col("whole")).join(bands, ["zone", "cy"]).groupBy("zone", "_x", "_y", "_parts").agg((F.sum(_crossed(F.col("_x"), F.col("_y"))) % 2).alias("odd"))
+    found = met.where("whole").select("zone", "_x", "_y", "_parts").unionAll(near.where("odd = 1").select("zone", "_x", "_y", "_parts"))
+    found = found.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    many = spots.where("_parts > 1").withColumnsRenamed({"_x": "_mx", "_y": "_my"})  # one place in TOGETHER rows at most
+    own = own.join(F.broadcast(many), (F.col("_x") == F.col("_mx")) & (F.col("_y") == F.col("_my")), "left")
+    own = own.withColumn("_part", F.pmod(F.xxhash64(*ident), F.coalesce("_parts", F.lit(1))).cast("int"))
+    key = ("_x", "_y", "_part")
+    return spread(own, *key).join(spread(found, *key), list(key)).select("zone", *ident)
 
 
 def painted_polygons(sides: DataFrame, codes: DataFrame, pixels: DataFrame, cell: float) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from plans import rows_met
 from pyspark.sql import functions as F
 
 from sitelens.functions import projection as P
@@ -175,23 +176,6 @@ def test_known_places(spark):
     assert spark.range(1).select(*off).first()[0] is None
 
 
-def rows_met(df):
-    """Runs df and gives the greatest number of rows that a join of it puts out."""
-    df.collect()
-    plan, most = [df._jdf.queryExecution().executedPlan()], 0
-    while plan:
-        at = plan.pop()
-        kind = at.getClass().getSimpleName()
-        if kind == "AdaptiveSparkPlanExec":
-            plan.append(at.executedPlan())
-        elif kind.endswith("QueryStageExec"):
-            plan.append(at.plan())
-        if "Join" in kind and at.metrics().contains("numOutputRows"):
-            most = max(most, at.metrics().apply("numOutputRows").value())
-        plan += [at.children().apply(k) for k in range(at.children().size())]
-    return most
-
-
 def test_zonal_of_copies_meets_places_once(spark):
     """40 zones and 60 points at each of few places: sums of all rows, from pairs of places."""
     zones = [(40 * k + c, 30.0 + k % 3, -100.0 + k // 3) for k in range(9) for c in range(40)] + [(999, None, 1.0), (1, 80.0, 0.0)]
@@ -205,3 +189,14 @@ def test_zonal_of_copies_meets_places_once(spark):
             own = [v for a, b, v in points if v is not None and far(lat, lon, a, b) <= 120]
             want[z] = (sum(own), len(own))
     assert {r.zone: (r.sum_v, r.n) for r in df.collect()} == want and all(r.mean_v == r.sum_v / r.n for r in df.collect())
+
+
+def test_points_of_one_place_are_looked_up_once(spark, monkeypatch):
+    """300 points at each of three places among 40 zones: joins meet places, and only the last one puts out all pairs."""
+    monkeypatch.setattr(Z, "TOGETHER", 64)
+    shapes = {f"z{k}": [[(k / 8, 0), (k / 8 + 9, 0), (k / 8 + 9, 9), (k / 8, 9)]] for k in range(40)} | {"off": [[(50, 50), (60, 50), (60, 60)]]}
+    spots = [(2.03, 3.03), (5.51, 4.49), (70.0, 70.0)]
+    points = spark.createDataFrame([(3 * i + k, x, y) for k, (x, y) in enumerate(spots) for i in range(300)], "id long, x double, y double")
+    df = Z.inside(Z.edges(rings(spark, shapes)), points, ["id"], 4.0)
+    want = sorted((z, 3 * i + k) for z, own in shapes.items() for k, (x, y) in enumerate(spots) for i in range(300) if cast(own, x, y))
+    assert sorted(map(tuple, df.collect())) == want and rows_met(df) == len(want)  # edges met by every point would be more
