@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from sitelens.functions import geo
 from sitelens.functions.values import exact_avg
 from sitelens.operators import neighbours
-from sitelens.operators.storage import drop, numbered, settle
+from sitelens.operators.storage import drop, numbered, settle, spread
 
 RING = 6
+#: Rows of one place that go together, and rows of a group that meet as many others in one task.
+SAME, PART = 256, 1024
 
 
 def nearest(rows: DataFrame, ident: str, group: str | None, columns: list[str], k: int) -> DataFrame:
@@ -46,6 +48,26 @@ def similarity(dist: Column) -> Column:
     return F.exp(-dist / F.lit(2.0)) * F.lit(100.0)
 
 
+def spans(rows: DataFrame, group: str) -> DataFrame:
+    """All pairs a < b of a group's rows (id, lat, lon) with their distance and the bearing from a to b: a, b, km, azimute.
+
+    Rows of one place go together, up to SAME of them, and distance and bearing are worked out once for two places. Places are dealt to parts of about PART rows, and every
+    two parts of a group meet on their own, so no task has a whole group.
+    """
+    place = [F.col(group).alias("g"), "lat", "lon"]
+    own = rows.where(F.col(group).isNotNull() & F.col("id").isNotNull()).select("id", *place)
+    turn = F.row_number().over(Window.partitionBy("g", "lat", "lon").orderBy("id"))
+    spots = own.withColumn("turn", F.floor((turn - 1) / F.lit(SAME))).groupBy("g", "lat", "lon", "turn").agg(F.collect_list("id").alias("ids"))
+    size = own.groupBy("g").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = spots.join(size, "g").withColumns({"own": F.pmod(F.xxhash64("lat", "lon", "turn"), F.col("parts")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    left = dealt.select("g", F.col("own").alias("i"), F.col("other").alias("j"), F.col("lat").alias("la"), F.col("lon").alias("oa"), F.col("ids").alias("a"), F.array_min("ids").alias("low"))
+    right = dealt.select("g", F.col("other").alias("i"), F.col("own").alias("j"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), F.col("ids").alias("b"), F.array_max("ids").alias("high"))
+    met = spread(left, "g", "i", "j").join(spread(right, "g", "i", "j"), ["g", "i", "j"]).where("low < high")
+    spot = [F.col(c) for c in ("la", "oa", "lb", "ob")]
+    met = met.select("a", "b", F.round(geo.haversine(*spot), 6).alias("km"), F.round(geo.bearing(*spot), 6).alias("azimute"))
+    return met.select(F.explode("a").alias("a"), "b", "km", "azimute").select("a", F.explode("b").alias("b"), "km", "azimute").where("a < b")
+
+
 def ring(rows: DataFrame, lat: str, lon: str, km: Column, start: Column) -> DataFrame:
     """Six points around each place, 60 degrees apart; none for places without coordinates."""
     spread = rows.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(RING - 1))))

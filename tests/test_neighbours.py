@@ -1,5 +1,7 @@
 """Nearest neighbours by pivots against all pairs: clusters, copies, ties, nulls, several groups."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +65,23 @@ def test_meetings_fall_with_the_bound(spark, monkeypatch):
         blocks, _, met, _ = neighbours.meetings(df, "id", 4)
         pairs = met.agg(F.sum("rows")).first()[0]
         assert pairs <= most * 1500 * 1500
+
+
+def haversine(a, b):
+    (la, oa), (lb, ob) = [[math.radians(x) for x in p] for p in (a, b)]
+    return 12742 * math.asin(math.sqrt(min(1, math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((ob - oa) / 2) ** 2)))
+
+
+def test_pairs_of_one_group_are_shared_out(spark, monkeypatch):
+    """A group of 120 rows, copies among them, meets in parts: all pairs once, in more than one task."""
+    monkeypatch.setattr(match, "SAME", 4)
+    monkeypatch.setattr(match, "PART", 16)
+    rows = [(i, "n", 30.0 + i % 11, -100.0 + i % 7) for i in range(100)] + [(100 + i, "n", 1.0, 2.0) for i in range(20)] + [(200, None, 1.0, 2.0), (201, "alone", 1.0, 2.0), (202, "m", None, 2.0), (203, "m", 1.0, 2.0)]
+    df = match.spans(spark.createDataFrame(rows, "id long, nation string, lat double, lon double"), "nation")
+    got = {(r.a, r.b): r.km for r in df.collect()}
+    spots = {i: (lat, lon) for i, _, lat, lon in rows}
+    want = {(a, b): haversine(spots[a], spots[b]) for a in range(120) for b in range(a + 1, 120)}
+    got.pop((202, 203))  # as in the SQL, least() leaves out what is null
+    assert df.count() == len(want) + 1 and got.keys() == want.keys()
+    assert all(abs(got[x] - want[x]) < 1e-5 for x in got)
+    assert len({r.part for r in df.select(F.spark_partition_id().alias("part")).distinct().collect()}) > 1
