@@ -78,15 +78,22 @@ def ring(rows: DataFrame, lat: str, lon: str, km: Column, start: Column) -> Data
 def free_azimuth(sites: DataFrame, others: DataFrame, km: float, clear_km: float, step: int = 15) -> DataFrame:
     """For each site (id, lat, lon) the first azimuth whose point is clear_km from every other; 0 and found = false if none.
 
-    Others are met through grid cells one clear_km or more wide and high, so only neighbours are compared.
+    Others are met through grid cells one clear_km or more wide and high, so only neighbours are compared. Sites of one place try its points once, and others of one
+    place are met as one, by their least and greatest id: it is another's than a site's own unless both are the site's.
     """
-    tries = sites.select("id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(360 - step), F.lit(step))).alias("az"))
-    to_lat, to_lon = geo.destination(F.col("lat"), F.col("lon"), F.lit(km), F.col("az").cast("double"))
-    tries = tries.select("id", "az", to_lat.alias("plat"), to_lon.alias("plon"))
-    marked = geo.around(others.select(F.col("id").alias("oid"), F.col("lat").alias("olat"), F.col("lon").alias("olon")), "olat", "olon", clear_km)
-    hit = geo.placed(tries, "plat", "plon", clear_km).join(marked, ["cy", "cx"]).where((F.col("id") != F.col("oid")) & (geo.haversine(F.col("plat"), F.col("plon"), F.col("olat"), F.col("olon")) < clear_km))
-    free = tries.join(hit.select("id", "az").distinct(), ["id", "az"], "left_anti").groupBy("id").agg(F.min("az").alias("az"))
-    return sites.select("id").join(free, "id", "left").select("id", F.coalesce("az", F.lit(0)).alias("azimuth"), F.col("az").isNotNull().alias("found"))
+    tries = sites.select(F.col("lat").alias("slat"), F.col("lon").alias("slon")).distinct()
+    tries = tries.withColumn("az", F.explode(F.sequence(F.lit(0), F.lit(360 - step), F.lit(step))))
+    to_lat, to_lon = geo.destination(F.col("slat"), F.col("slon"), F.lit(km), F.col("az").cast("double"))
+    tries = tries.select("slat", "slon", "az", to_lat.alias("plat"), to_lon.alias("plon"))
+    spots = others.groupBy(F.col("lat").alias("olat"), F.col("lon").alias("olon")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    marked = geo.around(spots, "olat", "olon", clear_km)
+    hit = geo.placed(tries, "plat", "plon", clear_km).join(marked, ["cy", "cx"]).where(geo.haversine(F.col("plat"), F.col("plon"), F.col("olat"), F.col("olon")) < clear_km)
+    hit = hit.groupBy("slat", "slon", "az").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    told = hit.groupBy("slat", "slon").agg(F.collect_list(F.struct("az", "low", "high")).alias("hits"))  # as many as azimuths
+    met = sites.select("id", "lat", "lon").join(told, (F.col("lat") == F.col("slat")) & (F.col("lon") == F.col("slon")), "left")
+    taken = F.transform(F.filter("hits", lambda h: (h["low"] != F.col("id")) | (h["high"] != F.col("id"))), lambda h: h["az"])
+    free = F.array_except(F.sequence(F.lit(0), F.lit(360 - step), F.lit(step)), F.coalesce(taken, F.array().cast("array<int>")))
+    return met.select("id", F.get(free, 0).alias("az")).select("id", F.coalesce("az", F.lit(0)).alias("azimuth"), F.col("az").isNotNull().alias("found"))
 
 
 def thinned(rows: DataFrame, order: Column, km: float, most: int | None = None) -> DataFrame:

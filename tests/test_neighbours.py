@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from plans import rows_met
 from pyspark.sql import functions as F
 
 from sitelens.operators import match, neighbours
@@ -85,3 +86,20 @@ def test_pairs_of_one_group_are_shared_out(spark, monkeypatch):
     assert df.count() == len(want) + 1 and got.keys() == want.keys()
     assert all(abs(got[x] - want[x]) < 1e-5 for x in got)
     assert len({r.part for r in df.select(F.spark_partition_id().alias("part")).distinct().collect()}) > 1
+
+
+def test_azimuths_of_copies(spark):
+    """Sites and others with copies, at sites' own places too, with and without the clear radius reaching back to them."""
+    sites = [(i, 40.0 + i % 3 * 0.3, -100.0 + i % 4 * 0.4) for i in range(60)] + [(99, None, 1.0), (98, -20.0, 5.0)]
+    others = [(7, 40.3, -99.2), (8, 40.6, -100.3), (98, -20.0, 5.0), (None, 40.0, -100.0)] + [(i, 40.45, -99.5) for i in range(20)]
+    to = lambda lat, lon, az, km: (lambda p, a, d: (lambda g: (math.degrees(g), lon + math.degrees(math.atan2(math.sin(a) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * math.sin(g)))))(math.asin(math.sin(p) * math.cos(d) + math.cos(p) * math.sin(d) * math.cos(a))))(math.radians(lat), math.radians(az), km / 6371)
+    kind = "id long, lat double, lon double"
+    for own, km, clear in ((others, 50.0, 40.0), (sites, 30.0, 35.0), (others, 10.0, 25.0)):
+        df = match.free_azimuth(spark.createDataFrame(sites, kind), spark.createDataFrame(own, kind), km, clear)
+        want = {}
+        for i, lat, lon in sites:
+            free = [az for az in range(0, 360, 15) if lat is None or not any(o is not None and a is not None and o != i and haversine(to(lat, lon, az, km), (a, b)) < clear for o, a, b in own)]
+            want[i] = (free[0], True) if free else (0, False)
+        assert {r.id: (r.azimuth, r.found) for r in df.collect()} == want
+    # 60 sites at 12 places with 24 points each meet others by places: no join has sites times others
+    assert rows_met(match.free_azimuth(spark.createDataFrame(sites, kind), spark.createDataFrame([(i, 40.45, -99.5) for i in range(500)], kind), 50.0, 40.0)) <= 24 * 14
