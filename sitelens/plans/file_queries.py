@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitelens.operators import nested as N
 from sitelens.operators import records as D
-from sitelens.operators.storage import shared_folder
+from sitelens.operators.storage import drop, settle, shared_folder
 from sitelens.plans.panel_queries import table
 from sitelens.plans.registry import query
 from sitelens.sources import connectors as K
@@ -35,13 +35,14 @@ _WORD = r"regexp_extract(text, '^[A-Za-zÀ-ÿ]+')"
 def csv_dialects(spark, sf):
     """The same rows with commas, with semicolons and a byte order mark, and in Latin 1, read with types."""
     mark = chr(0xFEFF)
-    d = table(spark, sf, "documents").select("doc_id", "lang", "source", F.regexp_extract("text", r"^[A-Za-zÀ-ÿ]+", 0).alias("palavra"), "n_chars")
+    d = settle(table(spark, sf, "documents").select("doc_id", "lang", "source", F.regexp_extract("text", r"^[A-Za-zÀ-ÿ]+", 0).alias("palavra"), "n_chars"))
     out = []
     for name, sep, encoding in ((",", ",", "UTF-8"), (";", ";", "UTF-8"), ("latin1", ";", "ISO-8859-1")):
         folder = _folder(spark)
         S.write_csv(d.withColumnRenamed("doc_id", f"{mark}doc_id") if name == ";" else d, folder, sep, encoding)
         back = S.csv(spark, folder, sep, encoding)
         out.append(back.select(F.col("doc_id").cast("long").alias("doc_id"), F.nullif("lang", F.lit("")).alias("lang"), "source", F.coalesce("palavra", F.lit("")).alias("palavra"), F.col("n_chars").cast("long").alias("n_chars"), F.lit(name).alias("dialeto")))
+    drop(d)
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 

@@ -185,7 +185,8 @@ def replaced(df: DataFrame, path: str) -> None:
     fs.delete(make(old), True)
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8", single: bool = True) -> None:
+def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8", single: bool = False) -> None:
+    """Writes a folder of CSV files with header, one for each part of df; with `single` one file, for which one task works out and writes all rows."""
     (df.coalesce(1) if single else df).write.option("header", True).option("sep", sep).option("encoding", encoding).mode("overwrite").csv(path)
 
 

@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitelens.functions import text as X
@@ -126,3 +127,12 @@ def test_catalog_of_a_sensor_and_year(spark):
         files.catalog(found, "v1", sensor="s9")
     with pytest.raises(ValueError, match="no manifest"):
         files.catalog(found, "v1", year=1990)
+
+
+@pytest.mark.parametrize("sep,encoding,mark", [(",", "UTF-8", ""), (";", "UTF-8", chr(0xFEFF)), (";", "ISO-8859-1", "")])
+def test_csv_is_written_in_parts(spark, tmp_path, sep, encoding, mark):
+    df = spark.range(40, numPartitions=4).select(F.col("id").alias(f"{mark}id"), F.concat(F.lit("é;,"), "id").alias("t"))
+    files.write_csv(df, f"{tmp_path}/out", sep, encoding)
+    back = files.csv(spark, f"{tmp_path}/out", sep, encoding)
+    assert len(back.inputFiles()) == 4
+    assert sorted(map(tuple, back.collect())) == sorted((str(k), f"é;,{k}") for k in range(40))
