@@ -7,6 +7,10 @@ the row goes on only to cells, and in these to blocks, within its bound. What it
 Blocks, the queries that meet one and the chunks that are compared with pivots all have a bounded number of rows, whatever a
 group's size; a group of up to BLOCK rows is one block.
 
+In more than FEW columns such bounds rule out next to nothing. There rows are dealt to parts of about SQUARE rows, every two parts of a group meet
+in a task of their own, and a matrix product tells which rows can be among the nearest; only for these are distances summed. Work is quadratic in
+a group, as no bound helps, but a row moves once for each SQUARE rows of its group, and a task holds two parts, whatever the group's size.
+
 Rows at one and the same place stand for each other: the k + 1 least ids of a place are kept to be found (more are in nobody's
 neighbours), and a place is searched for once, so thousands of copies cost no more than a few.
 
@@ -21,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.operators.storage import drop, numbered, settle, workers_find_package
+from sitelens.operators.storage import drop, numbered, settle, spread, workers_find_package
 
 #: Rows of a block; rows a cell should have; most cells of a group; rows compared with pivots, or with a block, at once.
 BLOCK, CELL, PIVOTS, CHUNK = 2048, 1024, 512, 4096
 #: Queries of a tile, columns summed before rows are given up. What rounding can add to a bound.
 TILE, COLUMNS, SLACK = 256, 8, 1e-9
+#: Columns up to which pivots rule rows out; rows of a part beyond that.
+FEW, SQUARE = 16, 16384
 
 
 def standard(rows: DataFrame, ident: str, group: str, columns: list[str]) -> DataFrame:
@@ -76,6 +82,65 @@ def best(queries: np.ndarray, members: np.ndarray, idents: np.ndarray, k: int, b
             yield idents[at[near]], row[near]
 
 
+def closest(queries: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest members of each query (query, member, distance), in order of query, distance and member.
+
+    A matrix product gives squared distances but for rounding; those that are not beyond a query's k-th so far, with room for that, are summed column by column.
+    """
+    room = 1e-14 * (queries.shape[1] + 8)
+    sizes = (members * members).sum(axis=1)
+    out = []
+    for first in range(0, len(queries), TILE):
+        own = queries[first : first + TILE]
+        size = (own * own).sum(axis=1)
+        most = np.full(len(own), np.inf)
+        q, m, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for low in range(0, len(members), BLOCK):
+            other = members[low : low + BLOCK]
+            both = size[:, None] + sizes[None, low : low + BLOCK]
+            near = both - 2 * (own @ other.T)
+            spare = room * both.max(axis=1)
+            if len(other) >= k and not np.isfinite(most).all():
+                most = np.minimum(most, np.partition(near, k - 1, axis=1)[:, k - 1] + spare)
+            i, j = np.nonzero(near <= (most + spare)[:, None])
+            total = np.zeros(len(i))
+            for c in range(queries.shape[1]):
+                step = own[i, c] - other[j, c]
+                total += step * step
+            q, m, d = np.concatenate((q, i)), np.concatenate((m, j + low)), np.concatenate((d, np.sqrt(total)))
+            order = np.lexsort((m, d, q))
+            q, m, d = q[order], m[order], d[order]
+            turn = np.arange(len(q)) - np.searchsorted(q, q)
+            most[q[turn == k - 1]] = (d[turn == k - 1] * (1 + SLACK)) ** 2
+            q, m, d = q[turn < k], m[turn < k], d[turn < k]
+        out.append((q + first, m, d))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _met_part(ident: str, k: int):
+    """Of a part's places that ask, the k nearest of another part's rows."""
+
+    def run(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks) or not len(rows):
+            return _tell(ident, [], [])
+        rows = rows.sort_values(ident)
+        q, m, d = closest(_matrix(asks["v"]), _matrix(rows["v"]), k)
+        return pd.DataFrame({ident: asks[ident].to_numpy()[q], "vizinho": rows[ident].to_numpy()[m], "dist": d})
+
+    return run
+
+
+def _squares(members: DataFrame, ident: str, k: int) -> DataFrame:
+    """What the places that ask find in each part of their group."""
+    size = members.groupBy("g").agg(F.ceil(F.count("*") / SQUARE).cast("int").alias("parts"))
+    own = members.join(F.broadcast(size), "g").withColumn("own", F.pmod(F.xxhash64(F.col(ident)), F.col("parts")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asks = own.where("asks").select("g", F.col("own").alias("i"), F.col("other").alias("j"), ident, "v")
+    meet = _anew(own).select("g", F.col("other").alias("i"), F.col("own").alias("j"), ident, "v")
+    keys = ("g", "i", "j")
+    return spread(asks, *keys).groupBy(*keys).cogroup(spread(meet, *keys).groupBy(*keys)).applyInPandas(_met_part(ident, k), _found(ident, members.schema[ident].dataType))
+
+
 def _found(ident: str, kind: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(ident, kind), T.StructField("vizinho", kind), T.StructField("dist", T.DoubleType())])
 
@@ -199,6 +264,8 @@ def nearest(rows: DataFrame, ident: str, group: str, columns: list[str], k: int)
     used = [z, members]
     if most <= BLOCK:
         found = members.groupBy("g").applyInPandas(_own_block(ident, k + 1), _found(ident, kind))
+    elif len(columns) > FEW:
+        found = _squares(members, ident, k + 1)
     else:
         blocks, found, met, more = meetings(members, ident, k + 1)
         used += more

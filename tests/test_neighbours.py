@@ -103,3 +103,34 @@ def test_azimuths_of_copies(spark):
         assert {r.id: (r.azimuth, r.found) for r in df.collect()} == want
     # 60 sites at 12 places with 24 points each meet others by places: no join has sites times others
     assert rows_met(match.free_azimuth(spark.createDataFrame(sites, kind), spark.createDataFrame([(i, 40.45, -99.5) for i in range(500)], kind), 50.0, 40.0)) <= 24 * 14
+
+
+@pytest.mark.parametrize("kind", ["ties", "clusters", "copies"])
+def test_many_columns_same_as_all_pairs(spark, monkeypatch, kind):
+    """Parts and blocks of a few rows, ties and copies: the same neighbours, and a row moves once for each part, not for each block."""
+    monkeypatch.setattr(neighbours, "FEW", 2)
+    monkeypatch.setattr(neighbours, "BLOCK", 48)
+    monkeypatch.setattr(neighbours, "SQUARE", 128)
+    monkeypatch.setattr(neighbours, "meetings", None)
+    rows = table(kind)
+    df = spark.createDataFrame(rows, "id long, region string, a double, b double, c double")
+    got = {(r.id, r.rn): (r.vizinho, r.dist) for r in match.nearest(df, "id", "region", ["a", "b", "c"], 3).collect()}
+    want = brute(rows, 3)
+    assert got.keys() == want.keys() and got[2004, 1] == (2005, 0.0)
+    assert all(abs(got[x][1] - want[x][1]) < 1e-6 and (got[x][0] == want[x][0] or kind == "ties") for x in got)
+
+
+def test_closest_with_rounding_and_ties(monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "TILE", 8)
+    rng = np.random.default_rng(4)
+    for x in (rng.integers(0, 3, size=(90, 4)).astype(float), 1e6 + rng.normal(size=(90, 20)) * 1e-3, np.zeros((40, 3))):
+        for k in (1, 4, 30):
+            q, m, d = neighbours.closest(x, x, k)
+            full = np.zeros((len(x), len(x)))
+            for c in range(x.shape[1]):
+                full += (x[:, None, c] - x[None, :, c]) ** 2
+            full = np.sqrt(full)
+            order = np.argsort(full, axis=1, kind="stable")[:, :k]
+            assert (q.reshape(-1, k) == np.arange(len(x))[:, None]).all() and (m.reshape(-1, k) == order).all()
+            assert (d.reshape(-1, k) == np.take_along_axis(full, order, axis=1)).all()
