@@ -71,15 +71,28 @@ def distances(queries: np.ndarray, members: np.ndarray, bound: np.ndarray) -> tu
     return np.sqrt(total), at
 
 
-def best(queries: np.ndarray, members: np.ndarray, idents: np.ndarray, k: int, bound: np.ndarray):
-    """For each query, the places in members and the distances of its k nearest within the bound, ties by ident (members are in order of it)."""
+def _first(q: np.ndarray, m: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, member, distance) each query's k nearest, ties by member, in order."""
+    order = np.lexsort((m, d, q))
+    q, m, d = q[order], m[order], d[order]
+    near = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[near], m[near], d[near]
+
+
+def best(queries: np.ndarray, members: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest members within the bound of each query (query, member, distance), ties by the place in members. Only those within the bound are sorted."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for first in range(0, len(queries), TILE):
         own = slice(first, first + TILE)
         dist, at = distances(queries[own], members, bound[own])
-        order = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        for row, near, most in zip(dist, order, bound[own]):
-            near = near[row[near] <= most * (1 + SLACK)]
-            yield idents[at[near]], row[near]
+        most = bound[own] * (1 + SLACK)
+        wide = np.isinf(most)
+        if wide.any() and dist.shape[1] > k:
+            most[wide] = np.partition(dist[wide], k - 1, axis=1)[:, k - 1]
+        q, m = np.nonzero(dist <= most[:, None])
+        q, m, d = _first(q, m, dist[q, m], k)
+        out.append((q + first, at[m], d))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def closest(queries: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,12 +120,9 @@ def closest(queries: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarra
             for c in range(queries.shape[1]):
                 step = own[i, c] - other[j, c]
                 total += step * step
-            q, m, d = np.concatenate((q, i)), np.concatenate((m, j + low)), np.concatenate((d, np.sqrt(total)))
-            order = np.lexsort((m, d, q))
-            q, m, d = q[order], m[order], d[order]
-            turn = np.arange(len(q)) - np.searchsorted(q, q)
-            most[q[turn == k - 1]] = (d[turn == k - 1] * (1 + SLACK)) ** 2
-            q, m, d = q[turn < k], m[turn < k], d[turn < k]
+            q, m, d = _first(np.concatenate((q, i)), np.concatenate((m, j + low)), np.concatenate((d, np.sqrt(total))), k)
+            last = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == k - 1)
+            most[q[last]] = (d[last] * (1 + SLACK)) ** 2
         out.append((q + first, m, d))
     return tuple(np.concatenate(x) for x in zip(*out))
 
@@ -121,11 +131,9 @@ def _met_part(ident: str, k: int):
     """Of a part's places that ask, the k nearest of another part's rows."""
 
     def run(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(asks) or not len(rows):
-            return _tell(ident, [], [])
         rows = rows.sort_values(ident)
-        q, m, d = closest(_matrix(asks["v"]), _matrix(rows["v"]), k)
-        return pd.DataFrame({ident: asks[ident].to_numpy()[q], "vizinho": rows[ident].to_numpy()[m], "dist": d})
+        found = closest(_matrix(asks["v"]), _matrix(rows["v"]), k) if len(asks) and len(rows) else _NOTHING
+        return _tell(ident, asks[ident].to_numpy(), rows[ident].to_numpy(), found)
 
     return run
 
@@ -149,11 +157,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
-def _tell(ident: str, who, found) -> pd.DataFrame:
-    found = list(found)
-    sizes = [len(d) for _, d in found]
-    empty = [np.zeros(0)]
-    return pd.DataFrame({ident: np.repeat(who, sizes), "vizinho": np.concatenate([x for x, _ in found] or empty), "dist": np.concatenate([d for _, d in found] or empty)})
+def _tell(ident: str, who: np.ndarray, idents: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pd.DataFrame:
+    q, m, d = found
+    return pd.DataFrame({ident: who[q], "vizinho": idents[m], "dist": d})
+
+
+_NOTHING = tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, float))
 
 
 def _own_block(ident: str, k: int):
@@ -161,10 +170,8 @@ def _own_block(ident: str, k: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(ident)
-        v, asks = _matrix(rows["v"]), rows["asks"].to_numpy()
-        if not asks.any():
-            return _tell(ident, [], [])
-        return _tell(ident, rows[ident].to_numpy()[asks], best(v[asks], v, rows[ident].to_numpy(), k, np.full(asks.sum(), np.inf)))
+        v, asks, idents = _matrix(rows["v"]), rows["asks"].to_numpy(), rows[ident].to_numpy()
+        return _tell(ident, idents[asks], idents, best(v[asks], v, k, np.full(asks.sum(), np.inf)) if asks.any() else _NOTHING)
 
     return run
 
@@ -173,18 +180,17 @@ def _met_block(ident: str, k: int):
     """Of the rows that ask of a block, the k nearest of its rows within their bounds."""
 
     def run(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(asks) or not len(rows):
-            return _tell(ident, [], [])
         rows = rows.sort_values(ident)
-        return _tell(ident, asks[ident].to_numpy(), best(_matrix(asks["v"]), _matrix(rows["v"]), rows[ident].to_numpy(), k, asks["bound"].to_numpy()))
+        found = best(_matrix(asks["v"]), _matrix(rows["v"]), k, asks["bound"].to_numpy()) if len(asks) and len(rows) else _NOTHING
+        return _tell(ident, asks[ident].to_numpy(), rows[ident].to_numpy(), found)
 
     return run
 
 
 def _nearest_pivot(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     rows, pivots = rows.drop(columns="chunk"), pivots.sort_values("cell")
-    near = list(best(_matrix(rows["v"]), _matrix(pivots["v"]), pivots["cell"].to_numpy(), 1, np.full(len(rows), np.inf))) if len(rows) else []
-    return rows.assign(cell=[int(x[0]) for x, _ in near], t=[float(d[0]) for _, d in near])
+    _, m, d = best(_matrix(rows["v"]), _matrix(pivots["v"]), 1, np.full(len(rows), np.inf)) if len(rows) else _NOTHING
+    return rows.assign(cell=pivots["cell"].to_numpy()[m], t=d)
 
 
 def _within_reach(ident: str, k: int):
@@ -268,7 +274,8 @@ def nearest(rows: DataFrame, ident: str, group: str, columns: list[str], k: int)
         found = _squares(members, ident, k + 1)
     else:
         blocks, found, met, more = meetings(members, ident, k + 1)
-        used += more
+        met = settle(met)  # read twice
+        used += [*more, met]
         dealt = met.groupBy("g", "cell", "block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
         met = _anew(met)
         asks = met.join(_anew(dealt), ["g", "cell", "block"]).withColumn("chunk", F.pmod(F.xxhash64(ident), F.col("chunks")).cast("int"))

@@ -134,3 +134,15 @@ def test_closest_with_rounding_and_ties(monkeypatch):
             order = np.argsort(full, axis=1, kind="stable")[:, :k]
             assert (q.reshape(-1, k) == np.arange(len(x))[:, None]).all() and (m.reshape(-1, k) == order).all()
             assert (d.reshape(-1, k) == np.take_along_axis(full, order, axis=1)).all()
+
+
+def test_only_rows_within_the_bound_are_sorted(monkeypatch):
+    """Places in few columns: the k nearest within bounds, with ties, and no sort over whole blocks."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate((rng.integers(0, 4, size=(150, 3)), rng.normal(size=(150, 3))))
+    full = np.sqrt(((x[:, None] - x[None]) ** 2).cumsum(axis=2)[:, :, -1])
+    monkeypatch.setattr(np, "argsort", None)
+    for k, bound in ((1, np.full(300, np.inf)), (4, np.where(np.arange(300) % 2, np.inf, 1.0)), (400, np.full(300, np.inf)), (3, np.zeros(300))):
+        q, m, d = neighbours.best(x, x, k, bound)
+        want = [(i, j) for i in range(300) for j in sorted(np.flatnonzero(full[i] <= bound[i] * (1 + neighbours.SLACK)), key=lambda j: (full[i, j], j))[:k]]
+        assert list(zip(q, m)) == want and (d == full[q, m]).all()
