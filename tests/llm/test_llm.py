@@ -630,3 +630,41 @@ def test_seeds_are_dealt_by_ranges_of_one_sample():
     assert len(np.bincount(got)) == 12 and np.bincount(got).max() < 2 * 20000 / 12
     none = np.zeros(0, np.int64)
     assert len(np.bincount(passages.ranges(seed, d, passages.cuts(none, none, none, 12)))) == 12
+
+
+@pytest.mark.parametrize("others", [4, 150])
+def test_passages_of_frequent_seeds_only(spark, others):
+    """Documents 500 and 700 share 60 words but for every fifth; each run of four of these stands in all others too, before, between and after, elsewhere in each."""
+    rng = np.random.default_rng(8)
+    runs = [[f"w{4 * k + j}" for j in range(4)] for k in range(12)]
+    own = lambda doc: [w for k, run in enumerate(runs) for w in (*run, f"d{doc}x{k}")]
+    rows = [(doc, " ".join(own(doc))) for doc in (500, 700)]
+    for doc in (2 * np.linspace(1, 500, others).astype(int) + 1).tolist():
+        rows.append((doc, " ".join(w for n, k in enumerate(rng.permutation(12)) for w in (*runs[k], *[f"o{doc}x{n}x{j}" for j in range(9)]))))
+    assert len({d for d, _ in rows}) == others + 2
+    got = {tuple(r)[:2] for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(700, 500)}
+
+
+def test_meetings_of_one_seed(spark):
+    """A line that all have links nothing and near copies are linked by a forest; a passage with words put in is met, in one part and across two."""
+    rng = np.random.default_rng(1)
+    reach, need = passages.bounds(50, 0.8)
+    assert (reach, need) == (95, 18)
+    words = rng.integers(1, 500, (300, 2 * reach + 4)).astype(np.uint16)
+    words[:, reach - 4 : reach + 8] = words[0, reach - 4 : reach + 8]
+    for k in range(50, 90):
+        change = rng.random(194) < 0.1
+        change[reach : reach + 4] = False
+        words[k] = np.where(change, rng.integers(1, 500, 194), words[0])
+    fuzzy = np.insert(words[200], [reach + 10, reach + 30], [7, 9])[:194]
+    words[120, reach - 20 : reach + 45] = fuzzy[reach - 20 : reach + 45]
+    copies = {0, *range(50, 90)}
+    for side in (np.zeros(300, int), np.arange(300) // 150):
+        first, *more = [set(zip(x.tolist(), y.tolist())) for x, y in passages.meet(words, np.arange(300), side, 50, 0.8)]
+        assert set().union(*more) == {(200, 120)}
+        assert (len(first) == 40 and {x for pair in first for x in pair} == copies) if not side.any() else not first
+    assert not any(len(x) for x, _ in passages.meet(words, np.zeros(300, int), side, 50, 0.8))
+    counts = rng.integers(0, 9, 50) % (np.arange(50) + 1)
+    got = sorted(p for x, y in passages.before(counts) for p in zip(x.tolist(), y.tolist()))
+    assert got == [(x, y) for x in range(50) for y in range(x - counts[x], x)]
