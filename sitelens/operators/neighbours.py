@@ -127,26 +127,35 @@ def closest(queries: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _met_part(ident: str, k: int):
-    """Of a part's places that ask, the k nearest of another part's rows."""
+def _met_parts(ident: str, k: int):
+    """Of the places that ask in two parts, the k nearest of the other part's rows; of a part that meets itself, of its own."""
 
-    def run(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(ident)
-        found = closest(_matrix(asks["v"]), _matrix(rows["v"]), k) if len(asks) and len(rows) else _NOTHING
-        return _tell(ident, asks[ident].to_numpy(), rows[ident].to_numpy(), found)
+        first, same = (rows["own"] == rows["i"]).to_numpy(), rows["i"].iloc[0] == rows["j"].iloc[0]
+        v, asks, idents = _matrix(rows["v"]), rows["asks"].to_numpy(bool), rows[ident].to_numpy()
+        out = [_tell(ident, idents[:0], idents[:0], _NOTHING)]
+        for own in [first] if same else [first, ~first]:
+            who, met = own & asks, own if same else ~own
+            if who.any() and met.any():
+                out.append(_tell(ident, idents[who], idents[met], closest(v[who], v[met], k)))
+        return pd.concat(out[1:] or out, ignore_index=True)
 
     return run
 
 
-def _squares(members: DataFrame, ident: str, k: int) -> DataFrame:
-    """What the places that ask find in each part of their group."""
+def in_parts(members: DataFrame, ident: str) -> DataFrame:
+    """Each group's rows once for each part of it (g, i, j, own, ident, v, asks): parts own and another are i and j, the lesser first."""
     size = members.groupBy("g").agg(F.ceil(F.count("*") / SQUARE).cast("int").alias("parts"))
     own = members.join(F.broadcast(size), "g").withColumn("own", F.pmod(F.xxhash64(F.col(ident)), F.col("parts")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asks = own.where("asks").select("g", F.col("own").alias("i"), F.col("other").alias("j"), ident, "v")
-    meet = _anew(own).select("g", F.col("other").alias("i"), F.col("own").alias("j"), ident, "v")
+    return own.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", ident, "v", "asks")
+
+
+def _squares(members: DataFrame, ident: str, k: int) -> DataFrame:
+    """What the places that ask find in each part of their group; two parts meet once, for both."""
     keys = ("g", "i", "j")
-    return spread(asks, *keys).groupBy(*keys).cogroup(spread(meet, *keys).groupBy(*keys)).applyInPandas(_met_part(ident, k), _found(ident, members.schema[ident].dataType))
+    return spread(in_parts(members, ident), *keys).groupBy(*keys).applyInPandas(_met_parts(ident, k), _found(ident, members.schema[ident].dataType))
 
 
 def _found(ident: str, kind: T.DataType) -> T.StructType:

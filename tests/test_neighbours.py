@@ -146,3 +146,14 @@ def test_only_rows_within_the_bound_are_sorted(monkeypatch):
         q, m, d = neighbours.best(x, x, k, bound)
         want = [(i, j) for i in range(300) for j in sorted(np.flatnonzero(full[i] <= bound[i] * (1 + neighbours.SLACK)), key=lambda j: (full[i, j], j))[:k]]
         assert list(zip(q, m)) == want and (d == full[q, m]).all()
+
+
+def test_two_parts_meet_once(spark, monkeypatch):
+    """A row moves once for each part of its group, not once to ask and once to be met, and every two parts meet in one task."""
+    monkeypatch.setattr(neighbours, "SQUARE", 50)
+    df = spark.createDataFrame([(i, i % 2, [float(i)], True) for i in range(400)], "id long, g int, v array<double>, asks boolean")
+    dealt = neighbours.in_parts(df, "id")
+    assert dealt.count() == 400 * 4 and dealt.select("g", "i", "j").distinct().count() == 2 * 10
+    assert not dealt.where("i > j or (own <> i and own <> j)").count()
+    found = neighbours._squares(df, "id", 3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroups") == 0
