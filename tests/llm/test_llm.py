@@ -668,3 +668,68 @@ def test_meetings_of_one_seed(spark):
     counts = rng.integers(0, 9, 50) % (np.arange(50) + 1)
     got = sorted(p for x, y in passages.before(counts) for p in zip(x.tolist(), y.tolist()))
     assert got == [(x, y) for x in range(50) for y in range(x - counts[x], x)]
+
+
+def test_runs_of_one_word_meet_by_their_length():
+    """Of junk that repeats one word, 20 words do not meet 60 nor each other: before, each of the 60 counted for itself; long ones are linked."""
+    reach = passages.bounds(50, 0.8)[0]
+    words = np.arange(1, 60 * (2 * reach + 4) + 1).reshape(60, -1).astype(np.uint16)
+    for k in range(60):
+        words[k, reach - 8 : reach + (52 if k < 20 else 12)] = 60000
+    first, *more = passages.meet(words, np.arange(60), np.zeros(60, int), 50, 0.8)
+    assert len(first[0]) == 19 and first[0].max() < 20
+    assert not any(len(x) for x, _ in more)
+
+
+def test_all_passages_around_a_seed_are_dense():
+    """Parts of 50 to 99 words that agree in 0.8 of them, with words changed, put in and left out, many of them common, anywhere around the seed."""
+    rng = np.random.default_rng(3)
+    reach = passages.bounds(50, 0.8)[0]
+    wide, seen = 2 * reach + 4, 0
+    for turn in range(400):
+        few = (12, 40, 5000)[turn % 3]
+        x = rng.integers(1, few, wide + 60)
+        n = int(rng.integers(50, 100))
+        low = int(rng.integers(max(0, reach + 4 - n), min(reach, wide - n) + 1))
+        kinds = rng.choice(3, n, p=((1, 0, 0), (0, 0.5, 0.5), (0.4, 0.3, 0.3))[turn % 3 if turn % 2 else 2])
+        edit = rng.random(n) < 0.18
+        edit[reach - low : reach - low + 4] = False
+        sides, same, edits, inside = ([], []), 0, 0, 0
+        for k in range(n):
+            right = k >= reach - low
+            if not edit[k] or kinds[k] == 1:
+                sides[right].append(x[low + k])
+                same += 1
+            if edit[k]:
+                edits += 1
+                inside += kinds[k] == 1
+                if kinds[k] < 2:
+                    sides[right].append(few + 10 + k)
+        long = max(n, len(sides[0]) + len(sides[1]))
+        if len(sides[0]) > reach or len(sides[1]) > wide - reach or (same - edits + long) / 2 / long < 0.8 or long > 99:
+            continue
+        seen += 1
+        y = rng.integers(6000, 9000, wide)
+        y[reach - len(sides[0]) : reach] = sides[0]
+        y[reach : reach + len(sides[1])] = sides[1]
+        own = passages.tokens(np.stack((x[:wide], y)).astype(np.uint16))
+        for a, b in ((0, 1), (1, 0)):
+            assert passages.dense(np.isin(own[a], own[b])[None] & (own[a] > 0), 50, 0.8).all(), turn
+    assert seen > 150
+
+
+def test_chains_are_packed_by_document():
+    """One row for all chains of a document, so that its text is joined once, and the chains and words that come out of the packs."""
+    n = 40
+    found = np.full(n, 99), np.arange(n), np.arange(n) % 7, np.arange(n) % 7 + 5
+    _, packs = passages.pack(np.zeros(n, np.int64), found, passages._MATCH)
+    matches = lambda: iter([pa.RecordBatch.from_arrays([pa.array([False]), pa.array(packs, pa.binary())], ["edge", "data"])])
+    rows = [r for b in passages._links(matches()) for r in b.to_pylist()]
+    assert [r["d"] for r in rows] == [99]
+    texts = {99: " ".join(f"a{k}" for k in range(90)), **{r: f"b{r}" for r in range(n)}}
+    cut = [r for b in passages._cut([pa.RecordBatch.from_pylist([{"text": texts[r["d"]], **r} for r in rows])]) for r in b.to_pylist()]
+    flat = [r for b in passages._spread([pa.RecordBatch.from_pylist([{"text": texts[r["r"]], **r} for r in cut])]) for r in b.to_pylist()]
+    want = [r for b in passages._chains(matches()) for r in b.to_pylist()]
+    (own,) = passages._words(np.array([99]), pa.array([texts[99]]))
+    assert sorted(tuple(r[c] for c in passages._CHAIN) for r in flat) == sorted(tuple(r.values()) for r in want) and len(want) == n
+    assert all(r["text"] == texts[r["r"]] and r["words"] == own[r["lo"] : r["p1"] + passages.MARGIN].tobytes() for r in flat)
